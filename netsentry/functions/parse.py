@@ -17,6 +17,17 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` as a lambda variable.
+
+    Spark inlines a column expression wherever it is referenced, and inside a
+    lambda a reference is re-evaluated per element; binding the value as the
+    single element of an array keeps each of those references a variable
+    lookup.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def jvm_split(c, sep: str) -> Column:
     """``split`` with JVM semantics for one literal separator character:
     trailing empty pieces are dropped, and a string made only of separators
@@ -70,13 +81,17 @@ def parse_records(df: DataFrame, schema: T.StructType, col: str = "line", mode:
         return guarded.select(*keep, *fields), None
     if mode != "lenient":
         raise ValueError(f"mode must be strict or lenient, not {mode}")
-    numeric = [f.name for f in schema.fields if not isinstance(f.dataType, T.StringType)]
-    parsed = base.select(*keep, "_ns_line", F.size(F.col(parts)).alias("_ns_n"), *fields)
-    bad_num = F.lit(False)
-    for name in numeric:
-        bad_num = bad_num | F.col(name).isNull()
-    reason = F.when(F.col("_ns_n") < n, F.lit("short")).when(bad_num, F.lit("bad_number"))
-    tagged = parsed.withColumn("_ns_reason", reason)
+    # One pass over the pieces decides the row: the check references the
+    # split array once, so a filter pushed below the projection re-splits
+    # the line once, not once per field.
+    kinds = F.array(*[F.lit(0 if isinstance(f.dataType, T.StringType) else 1) for f in schema.fields])
+    reason = F.aggregate(
+        F.zip_with(F.col(parts), kinds, lambda p, k: F.when(k.isNull(), F.lit(0))
+                   .when(p.isNull(), F.lit(2))
+                   .when((k == 1) & p.try_cast("double").isNull(), F.lit(1)).otherwise(F.lit(0))),
+        F.lit(0), lambda acc, x: F.greatest(acc, x))
+    reason = F.when(reason == 2, F.lit("short")).when(reason == 1, F.lit("bad_number"))
+    tagged = base.withColumn("_ns_reason", reason).select(*keep, "_ns_line", "_ns_reason", *fields)
     good = tagged.filter(F.col("_ns_reason").isNull()).select(*keep, *[f.name for f in schema.fields])
     rejects = tagged.filter(F.col("_ns_reason").isNotNull()).select(
         *keep, F.col("_ns_line").alias("line"), F.col("_ns_reason").alias("reason"))
@@ -108,17 +123,18 @@ def parse_vector(c) -> Column:
     the sparse form is densified with a map lookup per slot. Anything else
     gives null.
     """
-    s = F.trim(_col(c))
-    dense_inner = F.regexp_extract(s, r"^\[(.*)\]$", 1)
-    is_dense = s.rlike(r"^\[.*\]$")
-    is_sparse = s.rlike(_SPARSE_RE)
-    size = F.regexp_extract(s, _SPARSE_RE, 1).try_cast("int")
-    idx = _num_list(F.regexp_extract(s, _SPARSE_RE, 2), "int")
-    vals = _num_list(F.regexp_extract(s, _SPARSE_RE, 3), "double")
-    lookup = F.map_from_arrays(idx, vals)
-    sparse = F.when(size == 0, F.array().cast("array<double>")).otherwise(
-        F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.coalesce(F.try_element_at(lookup, i), F.lit(0.0))))
-    return F.when(is_dense, _num_list(dense_inner, "double")).when(is_sparse, sparse)
+    def dense_or_sparse(s):
+        dense_inner = F.regexp_extract(s, r"^\[(.*)\]$", 1)
+        size = F.regexp_extract(s, _SPARSE_RE, 1).try_cast("int")
+        idx = _num_list(F.regexp_extract(s, _SPARSE_RE, 2), "int")
+        vals = _num_list(F.regexp_extract(s, _SPARSE_RE, 3), "double")
+        sparse = F.when(size == 0, F.array().cast("array<double>")).otherwise(_let(
+            F.map_from_arrays(idx, vals),
+            lambda m: F.transform(F.sequence(F.lit(0), size - 1),
+                                  lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)))))
+        return F.when(s.startswith("[") & s.endswith("]"), _num_list(dense_inner, "double")) \
+            .when(s.rlike(_SPARSE_RE), sparse)
+    return _let(F.trim(_col(c)), dense_or_sparse)
 
 
 # --------------------------------------------------------------------- P8
@@ -128,20 +144,19 @@ def parse_labeled_point(c) -> Column:
     Accepts ``(y,[x..])``, ``(y,(n,[i..],[v..]))``, the legacy
     ``y,x1 x2 ..`` form and the ``(y), [x..]`` variant.
     """
-    s = F.trim(_col(c))
-    wrapped = s.rlike(r"^\(.*\)$") & ~s.rlike(r"^\([^,]*\)\s*,")
-    variant = s.rlike(r"^\([^,]*\)\s*,")
-    inner = F.regexp_extract(s, r"^\((.*)\)$", 1)
-    w_label = F.regexp_extract(inner, r"^([^,]*),", 1)
-    w_vec = F.regexp_extract(inner, r"^[^,]*,(.*)$", 1)
-    v_label = F.regexp_extract(s, r"^\(([^,]*)\)", 1)
-    v_vec = F.regexp_extract(s, r"^\([^,]*\)\s*,(.*)$", 1)
-    l_label = F.regexp_extract(s, r"^([^,]*),", 1)
-    l_vec = F.regexp_extract(s, r"^[^,]*,(.*)$", 1)
-    label = F.when(wrapped, w_label).when(variant, v_label).otherwise(l_label)
-    features = F.when(wrapped, parse_vector(w_vec)).when(variant, parse_vector(v_vec)) \
-        .otherwise(parse_dense_vector(F.trim(l_vec)))
-    return F.struct(F.trim(label).try_cast("double").alias("label"), features.alias("features"))
+    def parse(s):
+        variant = s.rlike(r"^\([^,]*\)\s*,")
+        wrapped = s.startswith("(") & s.endswith(")") & ~variant
+        label = F.when(wrapped, F.regexp_extract(s, r"^\(([^,]*),", 1)) \
+            .when(variant, F.regexp_extract(s, r"^\(([^,]*)\)", 1)) \
+            .otherwise(F.regexp_extract(s, r"^([^,]*),", 1))
+        vec_txt = F.when(wrapped, F.regexp_extract(s, r"^\([^,]*,(.*)\)$", 1)) \
+            .when(variant, F.regexp_extract(s, r"^\([^,]*\)\s*,(.*)$", 1)) \
+            .otherwise(F.regexp_extract(s, r"^[^,]*,(.*)$", 1))
+        features = F.when(wrapped | variant, parse_vector(vec_txt)) \
+            .otherwise(parse_dense_vector(F.trim(vec_txt)))
+        return F.struct(F.trim(label).try_cast("double").alias("label"), features.alias("features"))
+    return _let(F.trim(_col(c)), parse)
 
 
 # --------------------------------------------------------------------- P9
@@ -157,14 +172,19 @@ def split_key_vector(c, key: str = "key", vec: str = "vector_text") -> list[Colu
 # -------------------------------------------------------------------- P10
 def vector_text(arr, sparse: bool = False) -> Column:
     """Dense ``[x1,..]`` or sparse ``(n,[i..],[v..])`` text of an array."""
-    a = _col(arr)
     if not sparse:
-        return F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: x.cast("string")), ","), F.lit("]"))
-    nz = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: a[i] != 0)
-    nz = F.when(F.size(a) == 0, F.array().cast("array<int>")).otherwise(nz)
-    return F.concat(F.lit("("), F.size(a).cast("string"), F.lit(",["),
-                    F.array_join(F.transform(nz, lambda i: i.cast("string")), ","), F.lit("],["),
-                    F.array_join(F.transform(nz, lambda i: a[i].cast("string")), ","), F.lit("])"))
+        return F.concat(F.lit("["), F.array_join(F.transform(_col(arr), lambda x: x.cast("string")), ","),
+                        F.lit("]"))
+
+    def fmt(a):
+        pairs = F.filter(F.zip_with(F.sequence(F.lit(0), F.greatest(F.size(a) - 1, F.lit(0))), a,
+                                    lambda i, x: F.struct(i.alias("i"), x.alias("x"))),
+                         lambda e: e["x"].isNotNull() & (e["x"] != 0))
+        return _let(pairs, lambda nz: F.concat(
+            F.lit("("), F.size(a).cast("string"), F.lit(",["),
+            F.array_join(F.transform(nz, lambda e: e["i"].cast("string")), ","), F.lit("],["),
+            F.array_join(F.transform(nz, lambda e: e["x"].cast("string")), ","), F.lit("])")))
+    return _let(_col(arr), fmt)
 
 
 def format_vector_message(id_cols: list, vec, sparse: bool = False) -> Column:

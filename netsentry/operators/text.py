@@ -18,15 +18,25 @@ def word2vec(input_col: str = "tokens", vector_size: int = 100, min_count: int =
              step_size: float = 0.025, seed: int = 42, num_partitions: int = 1,
              max_sentence_length: int = 1000, window_size: int = 5) -> Word2Vec:
     """Word2Vec with the library's defaults (size 100, min count 5, one
-    iteration, step 0.025). ``num_partitions`` > 1 trains partitions in
-    parallel and averages, the knob for large corpora. Sentences longer than
-    ``max_sentence_length`` are cut into consecutive chunks, all of them
-    used."""
+    iteration, step 0.025). ``num_partitions`` > 1 trains that many
+    partitions in parallel and merges their updates - on a large corpus one
+    partition would put the whole training pass in one task, so callers pass
+    the cluster's parallelism (see ``parallel_word2vec``). The vocabulary is
+    counted with a distributed aggregate; the vocabulary x size weight
+    matrices are broadcast, so ``min_count`` bounds what is shipped.
+    Sentences longer than ``max_sentence_length`` are cut into consecutive
+    chunks, all of them used."""
     return Word2Vec(inputCol=input_col, outputCol="_w2v", vectorSize=vector_size, minCount=min_count,
                     maxIter=max_iter, stepSize=step_size, seed=seed, numPartitions=num_partitions,
                     maxSentenceLength=max_sentence_length, windowSize=window_size)
 
 
+def parallel_word2vec(df: DataFrame, input_col: str = "tokens", **kw) -> Word2Vec:
+    """``word2vec`` trained on as many partitions as the cluster runs tasks."""
+    kw.setdefault("num_partitions", max(1, df.sparkSession.sparkContext.defaultParallelism))
+    return word2vec(input_col, **kw)
+
+
 def vocabulary(df: DataFrame, tokens_col: str = "tokens", min_count: int = 5) -> DataFrame:
     """The words Word2Vec keeps: (word, n) with n >= min_count. A grouped
     count with map-side partials."""

@@ -57,15 +57,18 @@ lines AS (SELECT event_id, 0 AS line_no, 't' || event_id AS ts, user_id, event_t
           WHERE event_id % 5 = 0 AND event_id % 23 <> 0)
 """
 
-_RECORD_COLS = f"""event_id, CAST(line_no AS INTEGER) AS line_no, ts AS "timeStamp", 'u' || user_id AS "srcIp",
+_RECORD_FIELDS = f"""ts AS "timeStamp", 'u' || user_id AS "srcIp",
 event_type AS "desIp", CAST(value AS DOUBLE) AS duration, event_type AS protocol_type,
 'svc' || (user_id % 7) AS service, CASE WHEN value > 100 THEN 'S0' ELSE 'SF' END AS flag,
 CAST(value * 10 AS DOUBLE) AS src_bytes, CAST(user_id AS DOUBLE) AS dst_bytes,
 CASE WHEN user_id % 2 = 0 THEN '0' ELSE '1' END AS land,
 {_REST}"""
+_RECORD_COLS = f"event_id, CAST(line_no AS INTEGER) AS line_no, {_RECORD_FIELDS}"
 
 PARSE_STRICT = f"WITH {_LINES} SELECT {_RECORD_COLS} FROM lines"
 PARSE_LENIENT = f"WITH {_LINES} SELECT {_RECORD_COLS} FROM lines WHERE event_id % 19 <> 0 AND event_id % 17 <> 0"
+# the same records after a trip through a message stream (no ids kept)
+STREAM_LINES = f"WITH {_LINES} SELECT {_RECORD_FIELDS} FROM lines WHERE event_id % 19 <> 0 AND event_id % 17 <> 0"
 PARSE_REJECTS = """SELECT event_id, CAST(line_no AS INTEGER) AS line_no, reason FROM (
   SELECT event_id, 0 AS line_no,
          CASE WHEN event_id % 23 = 0 OR event_id % 19 = 0 THEN 'short'
@@ -313,6 +316,8 @@ ORACLES = {
     "parse_strict": PARSE_STRICT,
     "parse_lenient": PARSE_LENIENT,
     "parse_rejects": PARSE_REJECTS,
+    "stream_lines": STREAM_LINES,
+    "stream_union": STREAM_LINES,
     "parse_dense_vector": PARSE_DENSE_VECTOR,
     "parse_vector_text": PARSE_VECTOR_TEXT,
     "parse_labeled_point": PARSE_LABELED_POINT,

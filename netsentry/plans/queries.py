@@ -417,7 +417,7 @@ def q_linreg_predict(spark, sf_dir):
 def q_word2vec_fit(spark, sf_dir):
     docs = S.table(spark, sf_dir, "documents", ["text"])
     toks = docs.select(P.tokenize("text").alias("tokens"))
-    model = text.word2vec("tokens", seed=42).fit(toks)
+    model = text.parallel_word2vec(toks, "tokens", seed=42).fit(toks)
     return model.getVectors().select("word")
 
 

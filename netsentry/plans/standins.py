@@ -36,10 +36,25 @@ K_EMBED = 5
 K_LINEITEM = 3
 
 
+# Tables whose per-row work (parsing, features, fits) is heavy enough to be
+# spread over all cores when their scan comes out as too few partitions.
+SPREAD = {"lineitem", "events", "documents", "orders"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, cols: list[str] | None = None) -> DataFrame:
     """A test table; selecting ``cols`` here lets the scan read only them."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df.select(*cols) if cols else df
+    df = df.select(*cols) if cols else df
+    return spread_scan(df) if name in SPREAD else df
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the session's parallelism when the scan has
+    fewer partitions than that (a file of one row group is one task). A
+    large input already scans as many partitions and is left alone, so no
+    shuffle is added at scale."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
 
 
 # ------------------------------------------------------------------ lineitem
