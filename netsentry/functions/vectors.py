@@ -134,7 +134,9 @@ def nearest_center_of(vec, centers: Sequence[Sequence[float]]) -> Column:
             raise ValueError(f"vector width {x.shape[1]} does not match centre width {c.shape[1]}")
         return pd.Series(np.argmin(_sqdist_matrix(x, c), axis=1).astype("int32"))
 
-    return nearest(_col(vec))
+    # Non-nullable result: a join or filter on the cluster id then infers no
+    # IsNotNull predicate that would run the UDF a second time below it.
+    return F.coalesce(nearest(_col(vec)), F.lit(-1))
 
 
 def sq_distances(vec, centers: Sequence[Sequence[float]], mode: str = "auto") -> Column:

@@ -264,7 +264,7 @@ def _exploded(df, vec):
 
 
 def q_assemble_features(spark, sf_dir):
-    li = S.lineitem_records(spark, sf_dir)
+    li = S.lineitem_records(spark, sf_dir, spread=True)
     return _exploded(_feature_model(li, scale=False).transform(li), R.FEATURES)
 
 
@@ -275,12 +275,12 @@ def q_standard_scale(spark, sf_dir):
 
 
 def q_pipeline_features(spark, sf_dir):
-    li = S.lineitem_records(spark, sf_dir)
+    li = S.lineitem_records(spark, sf_dir, spread=True)
     return _exploded(_feature_model(li).transform(li), R.SCALED_FEATURES)
 
 
 def q_model_roundtrip(spark, sf_dir):
-    li = S.lineitem_records(spark, sf_dir)
+    li = S.lineitem_records(spark, sf_dir, spread=True)
     path = scratch_path(spark, "feature-model")
     models.load_or_fit(spark, path, features.feature_pipeline(S.LI_SYMBOLIC, S.LI_ASSEMBLER, None), li)
     loaded = models.load_pipeline(path)
@@ -288,7 +288,7 @@ def q_model_roundtrip(spark, sf_dir):
 
 
 def q_assemble_stage2(spark, sf_dir):
-    li = S.lineitem_records(spark, sf_dir)
+    li = S.lineitem_records(spark, sf_dir, spread=True)
     scaled = _feature_model(li).transform(li).select(*S.LI_ORDER, R.SCALED_FEATURES)
     arr = scaled.select(F.struct(*S.LI_ORDER).alias("_k"), V.as_double_array(scaled, R.SCALED_FEATURES).alias("_x"))
     centers = S.first_centers(arr, "_k", "_x", S.K_LINEITEM)
@@ -311,7 +311,7 @@ def q_accuracy(spark, sf_dir):
 
 
 def q_rf_fit_score(spark, sf_dir):
-    li = S.lineitem_records(spark, sf_dir, label=True)
+    li = S.lineitem_records(spark, sf_dir, label=True, spread=True)
     li = li.withColumn("rowkey", F.concat_ws("-", *[F.col(c).cast("string") for c in S.LI_KEYS]))
     _, _, scored = pipelines.fit_two_stage(li, S.LI_SYMBOLIC, S.LI_ASSEMBLER, S.K_LINEITEM, "rowkey")
     return scored.select(*S.LI_KEYS, "label", R.PREDICTED_LABEL)
@@ -355,14 +355,14 @@ def q_stream_kmeans_weights(spark, sf_dir):
 
 def _assign_by_batch(data, trace, vec, keep):
     """Each batch scored by the model after training on it (train, then
-    predict). The k x dim model per batch is small; one pass, one CASE on
-    the batch column picks the centres."""
-    arr = F.col(vec)
-    d = None
-    for b, st in trace:
-        expr = V.nearest_center(V.sq_distances(arr, st.centers.tolist()))
-        d = F.when(F.col("batch") == F.lit(b), expr) if d is None else d.when(F.col("batch") == F.lit(b), expr)
-    return data.select(*keep, d.alias("cluster"))
+    predict): one filtered pass per batch with that batch's k x dim model,
+    so every row meets exactly one model; the per-batch results are unioned."""
+    parts = [SK.predict(data.filter(F.col("batch") == F.lit(b)), vec, st).select(*keep, "cluster")
+             for b, st in trace]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def q_stream_kmeans_assign(spark, sf_dir):

@@ -77,3 +77,16 @@ def test_csv_scan_permissive(spark, scratch):
     st = schema_from_spec("c.\nproto: symbolic.\nbytes: continuous.\n", label=None)
     rows = sorted(files.read_csv(spark, path, st).collect(), key=lambda r: r[0])
     assert [(r[0], r[1]) for r in rows] == [("tcp", 1.5), ("udp", None)]
+
+
+def test_stream_specs():
+    from netsentry.sources import kafka
+    src = kafka.kafka_source("broker:9092", "records", max_offsets_per_trigger=kafka.rate_cap(1000, 4, 5),
+                             group_id="g1")
+    assert src.format == "kafka" and src.options["subscribe"] == "records"
+    assert src.options["startingOffsets"] == "earliest"
+    assert src.options["maxOffsetsPerTrigger"] == "20000"
+    assert src.options["kafka.max.partition.fetch.bytes"] == str(50 * 1024 * 1024)
+    assert kafka.kafka_sink_options("b:1", "mid") == {"kafka.bootstrap.servers": "b:1", "topic": "mid"}
+    f = kafka.file_source("/x", max_files_per_trigger=3)
+    assert f.options == {"maxFilesPerTrigger": "3"} and f.schema == "value string"
