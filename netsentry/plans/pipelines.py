@@ -63,6 +63,14 @@ def fit_two_stage(train: DataFrame, symbolic: Sequence[str], assembler_inputs: S
     return m1, m2, m2.transform(te)
 
 
+def materialize(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` to ``path`` (a folder in the shared checkpoint dir) and
+    read it back: the result no longer depends on the lineage (or on any
+    persisted input) that produced it, and survives lost executors."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def score(df: DataFrame, m1: PipelineModel, m2: PipelineModel, keep: Sequence[str]) -> DataFrame:
     """T4 core: stage 1, distances, stage 2, then ``keep`` + predicted label.
     A missing ``label`` column is fine: the label indexer skips itself."""

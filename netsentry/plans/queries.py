@@ -312,9 +312,13 @@ def q_accuracy(spark, sf_dir):
 
 def q_rf_fit_score(spark, sf_dir):
     li = S.lineitem_records(spark, sf_dir, label=True, spread=True)
-    li = li.withColumn("rowkey", F.concat_ws("-", *[F.col(c).cast("string") for c in S.LI_KEYS]))
-    _, _, scored = pipelines.fit_two_stage(li, S.LI_SYMBOLIC, S.LI_ASSEMBLER, S.K_LINEITEM, "rowkey")
-    return scored.select(*S.LI_KEYS, "label", R.PREDICTED_LABEL)
+    li = li.withColumn("rowkey", F.concat_ws("-", *[F.col(c).cast("string") for c in S.LI_KEYS])).persist()
+    try:  # the fits make several passes over the input: read (and spread) it once
+        _, _, scored = pipelines.fit_two_stage(li, S.LI_SYMBOLIC, S.LI_ASSEMBLER, S.K_LINEITEM, "rowkey")
+        return pipelines.materialize(scored.select(*S.LI_KEYS, "label", R.PREDICTED_LABEL),
+                                     scratch_path(spark, "rf-scored"))
+    finally:
+        li.unpersist()
 
 
 # --------------------------------------------------------- streaming k-means

@@ -25,6 +25,7 @@ Update rule, decay ``a`` (``unit="points"`` uses ``a ** points_in_batch``)::
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -37,11 +38,14 @@ from netsentry.functions import vectors as V
 from netsentry.operators.cluster import lloyd_stats
 from netsentry.sources import fs
 
-STATE_SCHEMA = T.StructType([
-    T.StructField("cluster", T.IntegerType(), False),
-    T.StructField("weight", T.DoubleType(), False),
-    T.StructField("center", T.ArrayType(T.DoubleType(), False), False),
-])
+def state_schema() -> T.StructType:
+    """k rows per model version: cluster, weight, centre, time written."""
+    return T.StructType([
+        T.StructField("cluster", T.IntegerType(), False),
+        T.StructField("weight", T.DoubleType(), False),
+        T.StructField("center", T.ArrayType(T.DoubleType(), False), False),
+        T.StructField("written_at", T.DoubleType(), True),
+    ])
 
 
 @dataclass
@@ -58,16 +62,22 @@ class KMeansState:
         return cls(c, w)
 
     def copy(self) -> "KMeansState":
-        return KMeansState(self.centers.copy(), self.weights.copy())
+        return KMeansState(self.centers.copy(), self.weights.copy(), self.written_at)
+
+    written_at: float | None = None  # processing time of the batch that made this version
 
     def to_df(self, spark: SparkSession) -> DataFrame:
-        rows = [(i, float(w), [float(x) for x in c]) for i, (c, w) in enumerate(zip(self.centers, self.weights))]
-        return spark.createDataFrame(rows, STATE_SCHEMA)
+        rows = [(i, float(w), [float(x) for x in c], self.written_at)
+                for i, (c, w) in enumerate(zip(self.centers, self.weights))]
+        return spark.createDataFrame(rows, state_schema())
 
     @classmethod
     def from_rows(cls, rows) -> "KMeansState":
         rows = sorted(rows, key=lambda r: r["cluster"])
-        return cls.of([r["center"] for r in rows], [r["weight"] for r in rows])
+        st = cls.of([r["center"] for r in rows], [r["weight"] for r in rows])
+        if rows and "written_at" in rows[0].asDict():
+            st.written_at = rows[0]["written_at"]
+        return st
 
 
 def merge(state: KMeansState, counts: dict[int, int], sums: dict[int, Sequence[float]],
@@ -194,7 +204,8 @@ class StreamingKMeans:
     def __init__(self, k: int, decay: float = 1.0, unit: str = "batches", *, state_path: str,
                  out_path: str | None = None, vec_col: str = "features", key_cols: Sequence[str] = (),
                  centers: Sequence[Sequence[float]] | None = None, weights: Sequence[float] | None = None,
-                 dim: int | None = None, init_weight: float = 0.0, seed: int = 42):
+                 dim: int | None = None, init_weight: float = 0.0, seed: int = 42,
+                 tick_seconds: float | None = None, clock=time.time):
         from netsentry.operators.cluster import random_centers
         if centers is None:
             if dim is None:
@@ -208,6 +219,7 @@ class StreamingKMeans:
         self.decay, self.unit = decay, unit
         self.state_path, self.out_path = state_path, out_path
         self.vec_col, self.key_cols = vec_col, list(key_cols)
+        self.tick_seconds, self.clock = tick_seconds, clock
 
     def current(self, spark: SparkSession, before: int | None = None) -> KMeansState:
         table = StateTable(spark, self.state_path)
@@ -217,6 +229,21 @@ class StreamingKMeans:
         _, st = table.latest_before(before)
         return st if st is not None else self.initial
 
+    def missed_ticks_decayed(self, state: KMeansState, now: float) -> KMeansState:
+        """Empty intervals: ``foreachBatch`` is not called when no data
+        arrived, while the original decays the weights every interval. With
+        ``tick_seconds`` set, the intervals missed since the last version
+        (its stored processing time) are applied as ``decay ** missed``
+        (batches unit; an empty interval has no points in the points unit)."""
+        if not self.tick_seconds or state.written_at is None or self.unit != "batches":
+            return state
+        missed = int((now - state.written_at) // self.tick_seconds) - 1
+        if missed <= 0:
+            return state
+        out = state.copy()
+        out.weights = out.weights * (self.decay ** missed)
+        return out
+
     def foreach_batch(self, batch_df: DataFrame, batch_id: int) -> None:
         spark = batch_df.sparkSession
         table = StateTable(spark, self.state_path)
@@ -225,8 +252,10 @@ class StreamingKMeans:
             if table.has(batch_id):  # replay after a failure: the model of this batch is already known
                 state = table.read(batch_id)
             else:
-                prev = self.current(spark, before=batch_id)
+                now = self.clock()
+                prev = self.missed_ticks_decayed(self.current(spark, before=batch_id), now)
                 state = kmeans_step(prev, batch, self.vec_col, self.decay, self.unit)
+                state.written_at = now
                 table.write(batch_id, state)
             if self.out_path:
                 w = spark.createDataFrame([(int(batch_id), ",".join(repr(float(x)) for x in state.weights),

@@ -97,3 +97,20 @@ def test_foreach_batch_stream_equals_fold_and_replays(spark, scratch):
     model.foreach_batch(_df(spark, batches[2].tolist()).withColumn("k", F.lit(0)), 2)
     again = model.current(spark)
     assert np.allclose(again.centers, fold.centers)
+
+
+def test_missed_ticks_decay(spark, scratch):
+    """With tick_seconds, intervals without data still decay the weights."""
+    now = [1000.0]
+    model = SK.StreamingKMeans(2, 0.5, state_path=f"{scratch}/state", vec_col="x",
+                               centers=[[0.0], [10.0]], weights=[1.0, 1.0], tick_seconds=1.0,
+                               clock=lambda: now[0])
+    model.foreach_batch(_df(spark, [(1,), (9,)]), 0)         # weights 0.5 + 1 = 1.5 each
+    assert np.allclose(model.current(spark).weights, [1.5, 1.5])
+    now[0] = 1003.0                                           # two empty ticks missed
+    model.foreach_batch(_df(spark, [(1,)]), 1)               # 1.5 * 0.25 * 0.5 + 1, 1.5 * 0.25 * 0.5
+    assert np.allclose(model.current(spark).weights, [1.1875, 0.1875])
+    replay = SK.StreamingKMeans(2, 0.5, state_path=f"{scratch}/state", vec_col="x",
+                                centers=[[0.0], [10.0]], weights=[1.0, 1.0])
+    replay.foreach_batch(_df(spark, [(1,)]), 1)              # replay reuses the stored version
+    assert np.allclose(replay.current(spark).weights, [1.1875, 0.1875])
