@@ -34,7 +34,7 @@ def jvm_split(c, sep: str) -> Column:
     gives an empty array; ``''`` gives ``['']``."""
     s = _col(c)
     esc = "\\" + sep if sep in ".[]()*+?^$|\\{}" else sep
-    stripped = F.regexp_replace(s, f"(?:{esc})+$", "")
+    stripped = F.rtrim(s, F.lit(sep))
     return F.when((F.length(stripped) == 0) & (F.length(s) > 0), F.array().cast("array<string>")) \
         .otherwise(F.split(stripped, esc))
 
@@ -116,25 +116,27 @@ def _num_list(txt: Column, cast: str) -> Column:
         F.transform(F.split(t, ","), lambda x: F.trim(x).try_cast(cast)))
 
 
+_SPARSE_JSON = '{"n":$1,"i":[$2],"v":[$3]}'
+
+
 def parse_vector(c) -> Column:
     """ml/mllib vector text to a dense ``array<double>``.
 
-    Dense ``[x1,..,xn]`` and sparse ``(n,[i1,..],[v1,..])`` are both read;
-    the sparse form is densified with a map lookup per slot. Anything else
-    gives null.
+    A dense ``[x1,..,xn]`` text is a JSON array of numbers (``1.0E-5``,
+    ``NaN`` and ``Infinity`` included), so it goes through ``from_json`` -
+    the JVM's JSON parser, no per-element lambda. A sparse
+    ``(n,[i1,..],[v1,..])`` text is rewritten to a JSON object, parsed the
+    same way and densified with a map lookup per slot. Anything else gives
+    null.
     """
-    def dense_or_sparse(s):
-        dense_inner = F.regexp_extract(s, r"^\[(.*)\]$", 1)
-        size = F.regexp_extract(s, _SPARSE_RE, 1).try_cast("int")
-        idx = _num_list(F.regexp_extract(s, _SPARSE_RE, 2), "int")
-        vals = _num_list(F.regexp_extract(s, _SPARSE_RE, 3), "double")
-        sparse = F.when(size == 0, F.array().cast("array<double>")).otherwise(_let(
-            F.map_from_arrays(idx, vals),
-            lambda m: F.transform(F.sequence(F.lit(0), size - 1),
-                                  lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)))))
-        return F.when(s.startswith("[") & s.endswith("]"), _num_list(dense_inner, "double")) \
-            .when(s.rlike(_SPARSE_RE), sparse)
-    return _let(F.trim(_col(c)), dense_or_sparse)
+    s = F.trim(_col(c))
+    dense = F.from_json(s, "array<double>", {"allowNonNumericNumbers": "true"})
+    sp = F.from_json(F.regexp_replace(s, _SPARSE_RE, _SPARSE_JSON), "struct<n:int,i:array<int>,v:array<double>>")
+    sparse = F.when(sp["n"] == 0, F.array().cast("array<double>")).otherwise(_let(
+        F.map_from_arrays(sp["i"], sp["v"]),
+        lambda m: F.transform(F.sequence(F.lit(0), sp["n"] - 1),
+                              lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)))))
+    return F.when(s.startswith("["), dense).when(s.rlike(_SPARSE_RE), sparse)
 
 
 # --------------------------------------------------------------------- P8
@@ -162,11 +164,14 @@ def parse_labeled_point(c) -> Column:
 # --------------------------------------------------------------------- P9
 def split_key_vector(c, key: str = "key", vec: str = "vector_text") -> list[Column]:
     """Last space-separated token is the vector text, the rest re-joined is
-    the key. A one-token line has no key (null), which callers reject."""
-    toks = jvm_split(c, " ")
-    n = F.size(toks)
-    return [F.when(n >= 2, F.array_join(F.slice(toks, 1, n - 1), " ")).alias(key),
-            F.when(n >= 2, F.element_at(toks, -1)).alias(vec)]
+    the key (the text before the last space, trailing spaces dropped as the
+    JVM split does). A one-token line has no key (null), which callers
+    reject. Plain string functions, compiled by codegen."""
+    stripped = F.rtrim(_col(c), F.lit(" "))
+    last = F.substring_index(stripped, " ", -1)
+    has_key = F.instr(stripped, " ") > 0
+    before = F.substring(stripped, F.lit(1), F.length(stripped) - F.length(last) - 1)
+    return [F.when(has_key, before).alias(key), F.when(has_key, last).alias(vec)]
 
 
 # -------------------------------------------------------------------- P10
