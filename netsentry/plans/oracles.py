@@ -341,8 +341,10 @@ ORACLES = {
     "stream_kmeans_fold": STREAM_KMEANS_FOLD,
     "stream_kmeans_weights": STREAM_KMEANS_WEIGHTS,
     "stream_kmeans_assign": STREAM_KMEANS_ASSIGN,
+    "stream_kmeans_stream": STREAM_KMEANS_ASSIGN,
     "two_hop_cluster": TWO_HOP_CLUSTER,
     "stream_linreg_fold": STREAM_LINREG_FOLD,
+    "stream_linreg_stream": STREAM_LINREG_FOLD,
     "linreg_predict": LINREG_PREDICT,
     "word2vec_fit": WORD2VEC_FIT,
     "vocabulary": VOCABULARY,

@@ -18,7 +18,9 @@ from netsentry.plans import standins as S
 from netsentry.session import scratch_path
 from netsentry.sources import kafka
 from netsentry.streaming import scorer, topology
-from netsentry.streaming.kmeans import StreamingKMeans
+from netsentry.sources import fs
+from netsentry.streaming.kmeans import KMeansState, StreamingKMeans
+from netsentry.streaming.linreg import StreamingLinearRegression
 
 N_FILES = 4
 FILES_PER_TRIGGER = 2  # the per-trigger cap (S6): two micro-batches per query
@@ -123,9 +125,62 @@ def q_two_hop_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out/assignments").select("key", "cluster")
 
 
+def _stage_batches(df: DataFrame, batch_col: str, batches, path: str, files_per_batch: int = 2) -> None:
+    """Write logical batch b as its own job of exactly ``files_per_batch``
+    files, oldest first; a file stream capped at ``files_per_batch`` files per
+    trigger then replays one logical batch per micro-batch, in order."""
+    spark = df.sparkSession
+    for b in batches:
+        sub = f"{path}/part-{int(b)}"
+        df.filter(F.col(batch_col) == F.lit(b)).drop(batch_col).repartition(files_per_batch) \
+            .write.mode("overwrite").parquet(sub)
+        n = sum(1 for name in fs.list_files(spark, sub) if name.endswith(".parquet"))
+        if n != files_per_batch:
+            raise RuntimeError(f"batch {b} was written as {n} files, expected {files_per_batch}")
+
+
+def _stream_files(spark, path: str, batches, schema: str, files_per_batch: int = 2) -> DataFrame:
+    return kafka.read_stream(spark, kafka.file_source(
+        f"{path}/part-*", schema=schema, max_files_per_trigger=files_per_batch))
+
+
+def q_stream_kmeans_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6-M9 + T1 + T3 as a running stream: three logical batches of
+    ``events.value`` streamed one per trigger through ``StreamingKMeans``
+    (train, publish weights, predict). Equals the batch fold exactly."""
+    from netsentry.plans.queries import DECAY, INIT_CENTERS, INIT_WEIGHTS
+    base = scratch_path(spark, "stream-kmeans")
+    ev = S.events(spark, sf_dir).select("event_id", S.event_batch().alias("batch"), F.array("value").alias("x"))
+    _stage_batches(ev, "batch", range(S.N_BATCHES), f"{base}/source")
+    model = StreamingKMeans(len(INIT_CENTERS), DECAY, "batches", state_path=f"{base}/state",
+                            out_path=f"{base}/out", vec_col="x", key_cols=["event_id"],
+                            centers=INIT_CENTERS, weights=INIT_WEIGHTS)
+    stream = _stream_files(spark, f"{base}/source", range(S.N_BATCHES), "event_id long, x array<double>")
+    _drain(stream, model.foreach_batch, f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out/assignments").select("event_id", "cluster")
+
+
+def q_stream_linreg_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M11 + T1 as a running stream over three logical batches of lineitem;
+    the final weights equal the batch fold exactly."""
+    from netsentry.plans.queries import LR_DIM, _lr_data
+    base = scratch_path(spark, "stream-linreg")
+    data = _lr_data(spark, sf_dir).select("batch", "x", "y")
+    _stage_batches(data, "batch", range(S.N_BATCHES), f"{base}/source")
+    model = StreamingLinearRegression([0.0] * LR_DIM, state_path=f"{base}/weights", out_path=f"{base}/out",
+                                      features="x", label="y")
+    stream = _stream_files(spark, f"{base}/source", range(S.N_BATCHES), "x array<double>, y double")
+    _drain(stream, model.foreach_batch, f"{base}/checkpoint")
+    w = model.weights_before(spark, 1 << 30)
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(w)], "slot int, weight double") \
+        .select("slot", F.round("weight", 9).alias("weight"))
+
+
 STREAM_QUERIES = {
     "stream_lines": q_stream_lines,
     "stream_union": q_stream_union,
     "score_stream": q_score_stream,
     "two_hop_stream": q_two_hop_stream,
+    "stream_kmeans_stream": q_stream_kmeans_stream,
+    "stream_linreg_stream": q_stream_linreg_stream,
 }

@@ -28,3 +28,11 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
     if not fs.exists(p):
         return []
     return [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
+
+
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files directly below ``path``."""
+    fs, p = _fs_and_path(spark, path)
+    if not fs.exists(p):
+        return []
+    return [st.getPath().getName() for st in fs.listStatus(p) if st.isFile()]
