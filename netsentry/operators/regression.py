@@ -81,6 +81,15 @@ def linreg_step(weights: Sequence[float], batch: DataFrame, vec: str, label: str
     return sgd_on_summary(w, batch_summary(batch, vec, label, len(w)), step, iterations, tol)
 
 
+def batch_summaries(df: DataFrame, vec: str, label: str, batch_col: str, dim: int) -> DataFrame:
+    """One summary row (n, X'X, X'y) per batch: a single grouped aggregate,
+    partial sums map-side, one row per batch per task through the shuffle."""
+    arr = V.as_double_array(df, vec)
+    base = df.select(F.col(batch_col).alias("_ns_b"), V.checked_width(arr, dim).alias("_ns_x"),
+                     F.col(label).cast("double").alias("_ns_y"))
+    return base.groupBy("_ns_b").agg(*summary_aggs("_ns_x", "_ns_y", dim))
+
+
 def linreg_fold(df: DataFrame, vec: str, label: str, batch_col: str, weights: Sequence[float],
                 step: float = 0.1, iterations: int = 50, tol: float = 0.001) -> list[tuple[object, np.ndarray]]:
     """Replay batches in order; [(batch, weights after it)].
@@ -90,10 +99,7 @@ def linreg_fold(df: DataFrame, vec: str, label: str, batch_col: str, weights: Se
     only the cheap d x d iterations run in batch order.
     """
     dim = len(weights)
-    arr = V.as_double_array(df, vec)
-    base = df.select(F.col(batch_col).alias("_ns_b"), V.checked_width(arr, dim).alias("_ns_x"),
-                     F.col(label).cast("double").alias("_ns_y"))
-    rows = base.groupBy("_ns_b").agg(*summary_aggs("_ns_x", "_ns_y", dim)).orderBy("_ns_b").collect()
+    rows = batch_summaries(df, vec, label, batch_col, dim).orderBy("_ns_b").collect()
     w = np.array(weights, dtype=float)
     trace = []
     for r in rows:
