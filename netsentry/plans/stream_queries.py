@@ -117,7 +117,10 @@ def q_two_hop_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         train.unpersist()
     _write_messages(_event_record_lines(spark, sf_dir), f"{base}/source")
     s1 = kafka.read_stream(spark, kafka.file_source(f"{base}/source", max_files_per_trigger=2))
-    _drain(s1, topology.Hop1(pre, f"{base}/mid"), f"{base}/ck1")
+    q1 = topology.start_hop1(s1, pre, f"{base}/mid", f"{base}/ck1", {"availableNow": True})
+    q1.awaitTermination()
+    if q1.exception():
+        raise q1.exception()
     s2 = kafka.read_stream(spark, kafka.file_source(f"{base}/mid", max_files_per_trigger=2))
     model = StreamingKMeans(4, 0.95, "batches", state_path=f"{base}/state", out_path=f"{base}/out",
                             vec_col="x", key_cols=["key"], dim=dim, init_weight=0.0, seed=7)

@@ -9,9 +9,12 @@ Hop 2: intermediate messages -> key/vector split -> streaming k-means:
 train on the batch, publish the weights line, then publish
 ``key clusterId`` lines under the updated model.
 
-Each hop is its own streaming query with its own checkpoint. Between hops
-the delivery is at-least-once (as with a message bus): a replayed hop-1
-batch rewrites its messages, and hop 2 may see them again.
+Each hop is its own streaming query with its own checkpoint. Hop 1 is a
+plain streaming transformation (the fitted pipeline transforms the stream
+directly) into Spark's file sink, whose metadata log makes the hand-over
+exactly-once: hop 2's file source reads only committed files. ``Hop1`` is
+the ``foreachBatch`` form for sinks without that guarantee (a message bus),
+where a replayed batch may be delivered twice.
 """
 
 from __future__ import annotations
@@ -36,6 +39,20 @@ def hop1_messages(batch: DataFrame, prehandler: PipelineModel, mode: str = "stri
     return scaled.select(P.format_vector_message(["timeStamp", "srcIp", "desIp"], arr, sparse).alias("value"))
 
 
+def hop1_stream(stream: DataFrame, prehandler: PipelineModel, mode: str = "strict",
+                sparse: bool = False) -> DataFrame:
+    """Hop 1 as a streaming DataFrame of ``value`` messages."""
+    return hop1_messages(stream, prehandler, mode, sparse)
+
+
+def start_hop1(stream: DataFrame, prehandler: PipelineModel, mid_path: str, checkpoint: str,
+               trigger: dict | None = None, sparse: bool = False):
+    """Hop 1 into the exactly-once file sink at ``mid_path``."""
+    w = hop1_stream(stream, prehandler, "strict", sparse).writeStream.format("parquet") \
+        .option("path", mid_path).option("checkpointLocation", checkpoint)
+    return w.trigger(**(trigger or {"processingTime": "5 seconds"})).start()
+
+
 class Hop1:
     def __init__(self, prehandler: PipelineModel, mid_path: str, mode: str = "strict", sparse: bool = False):
         self.pre, self.mid, self.mode, self.sparse = prehandler, mid_path.rstrip("/"), mode, sparse
