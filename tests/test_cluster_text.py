@@ -50,3 +50,21 @@ def test_word2vec_sample(spark):
     assert words == vocab
     syn = text.synonyms(model, "1", 5).collect()
     assert len(syn) == 5 and all(r["word"] != "1" for r in syn)
+
+
+def test_stochastic_fit_invariants(spark):
+    """Forest and k-means fits: whole outputs, ids in range, and the forest
+    beats always guessing the majority class."""
+    import __spark_entry__ as E
+    q = E.queries()
+    km = q["kmeans_fit"](spark, SF001)
+    n_emb = spark.read.parquet(f"{SF001}/embeddings.parquet").count()
+    assert km.count() == n_emb
+    assert {r[0] for r in km.select("cluster").distinct().collect()} <= set(range(5))
+    rf = q["rf_fit_score"](spark, SF001)
+    rows = rf.collect()
+    acc = sum(r["label"] == r["predictedLabel"] for r in rows) / len(rows)
+    counts = {}
+    for r in rows:
+        counts[r["label"]] = counts.get(r["label"], 0) + 1
+    assert acc > max(counts.values()) / len(rows)
