@@ -3,7 +3,8 @@
 Fitted stages are ``pyspark.ml`` estimators: their fits are distributed
 aggregates (value counts, column moments) whose results are small (one label
 list per symbolic column, one std per slot) and their transforms are
-map-only. Nothing here shuffles rows.
+map-only. The only shuffle here is A1's, of distinct (column, value) pairs
+after map-side de-duplication.
 """
 
 from __future__ import annotations
