@@ -50,8 +50,8 @@ _REST = ",\n".join(f"CAST(event_id % {m} AS DOUBLE) AS {name}" for m, name in zi
                    "dst_host_srv_serror_rate", "dst_host_rerror_rate", "dst_host_srv_rerror_rate"]))
 
 _LINES = """
-lines AS (SELECT event_id, 0 AS line_no, 't' || event_id AS ts, user_id, event_type, value FROM events
-          WHERE event_id % 23 <> 0
+lines AS (SELECT event_id, CASE WHEN event_id % 23 = 0 THEN 1 ELSE 0 END AS line_no, 't' || event_id AS ts,
+                 user_id, event_type, value FROM events
           UNION ALL
           SELECT event_id, 1, 't' || event_id || 'b', user_id, event_type, value FROM events
           WHERE event_id % 5 = 0 AND event_id % 23 <> 0)
@@ -70,16 +70,18 @@ PARSE_LENIENT = f"WITH {_LINES} SELECT {_RECORD_COLS} FROM lines WHERE event_id
 # the same records after a trip through a message stream (no ids kept)
 STREAM_LINES = f"WITH {_LINES} SELECT {_RECORD_FIELDS} FROM lines WHERE event_id % 19 <> 0 AND event_id % 17 <> 0"
 PARSE_REJECTS = """SELECT event_id, CAST(line_no AS INTEGER) AS line_no, reason FROM (
-  SELECT event_id, 0 AS line_no,
-         CASE WHEN event_id % 23 = 0 OR event_id % 19 = 0 THEN 'short'
-              WHEN event_id % 17 = 0 THEN 'bad_number' END AS reason FROM events
+  SELECT event_id, 0 AS line_no, 'short' AS reason FROM events WHERE event_id % 23 = 0
+  UNION ALL
+  SELECT event_id, CASE WHEN event_id % 23 = 0 THEN 1 ELSE 0 END,
+         CASE WHEN event_id % 19 = 0 THEN 'short' WHEN event_id % 17 = 0 THEN 'bad_number' END FROM events
   UNION ALL
   SELECT event_id, 1, CASE WHEN event_id % 19 = 0 THEN 'short' WHEN event_id % 17 = 0 THEN 'bad_number' END
   FROM events WHERE event_id % 5 = 0 AND event_id % 23 <> 0) WHERE reason IS NOT NULL"""
 EXPLODE_RECORDS = """SELECT event_id, CAST(line_no AS INTEGER) AS line_no, head, CAST(n_fields AS INTEGER) AS n_fields FROM (
-  SELECT event_id, 0 AS line_no,
-         CASE WHEN event_id % 23 = 0 THEN '' ELSE 't' || event_id END AS head,
-         CASE WHEN event_id % 23 = 0 THEN 1 WHEN event_id % 19 = 0 THEN 20 ELSE 31 END AS n_fields FROM events
+  SELECT event_id, 0 AS line_no, '' AS head, 1 AS n_fields FROM events WHERE event_id % 23 = 0
+  UNION ALL
+  SELECT event_id, CASE WHEN event_id % 23 = 0 THEN 1 ELSE 0 END, 't' || event_id,
+         CASE WHEN event_id % 19 = 0 THEN 20 ELSE 31 END FROM events
   UNION ALL
   SELECT event_id, 1, 't' || event_id || 'b', CASE WHEN event_id % 19 = 0 THEN 20 ELSE 31 END
   FROM events WHERE event_id % 5 = 0 AND event_id % 23 <> 0)"""

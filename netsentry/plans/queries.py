@@ -97,7 +97,7 @@ def q_explode_records(spark, sf_dir):
 
 def q_parse_strict(spark, sf_dir):
     lines = P.explode_records(_event_messages(spark, sf_dir, False), "value", "line", "line_no")
-    lines = lines.filter(F.length("line") > 0)  # empty messages carry no record
+    lines = lines.filter(F.length("line") > 0)  # empty lines carry no record
     good, _ = P.parse_records(lines, R.stream_record_schema(), "line", "strict", keep=["event_id", "line_no"])
     return good
 

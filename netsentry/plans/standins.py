@@ -127,12 +127,13 @@ def event_line_corrupted() -> Column:
 
 
 def event_message(line: Column) -> Column:
-    """A message per event: usually one line; two lines (the second with a
-    ``b`` time stamp) when id % 5 = 0; a trailing newline when id % 7 = 0;
-    empty when id % 23 = 0."""
+    """A message per event, every event's record kept: usually one line; two
+    lines (the second with a ``b`` time stamp) when id % 5 = 0; a trailing
+    newline when id % 7 = 0; an empty first line before the record when
+    id % 23 = 0."""
     eid = F.col("event_id")
     second = F.regexp_replace(line, "^([^,]*)", "$1b")
-    return (F.when(F.pmod(eid, F.lit(23)) == 0, F.lit(""))
+    return (F.when(F.pmod(eid, F.lit(23)) == 0, F.concat(F.lit("\n"), line))
             .when(F.pmod(eid, F.lit(5)) == 0, F.concat_ws("\n", line, second))
             .when(F.pmod(eid, F.lit(7)) == 0, F.concat(line, F.lit("\n")))
             .otherwise(line))
