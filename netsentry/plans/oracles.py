@@ -327,6 +327,7 @@ ORACLES = {
     "split_key_vector": SPLIT_KEY_VECTOR,
     "tokenize": TOKENIZE,
     "symbolic_cardinality": SYMBOLIC_CARDINALITY,
+    "symbolic_cardinality_approx": SYMBOLIC_CARDINALITY,
     "first_n": FIRST_N,
     "string_index": STRING_INDEX,
     "string_index_unseen": STRING_INDEX_UNSEEN,

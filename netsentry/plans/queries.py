@@ -218,6 +218,15 @@ def q_symbolic_cardinality(spark, sf_dir):
         features.symbolic_cardinality(od, ["o_orderpriority", "o_orderstatus"]))
 
 
+def q_symbolic_cardinality_approx(spark, sf_dir):
+    """A1, sketch form: one aggregate of fixed-size HyperLogLog++ sketches
+    (exact at these small cardinalities)."""
+    li = S.table(spark, sf_dir, "lineitem", S.LI_SYMBOLIC)
+    od = S.table(spark, sf_dir, "orders", ["o_orderpriority", "o_orderstatus"])
+    return features.symbolic_cardinality(li, S.LI_SYMBOLIC, approx=True).unionByName(
+        features.symbolic_cardinality(od, ["o_orderpriority", "o_orderstatus"], approx=True))
+
+
 def q_first_n(spark, sf_dir):
     li = S.table(spark, sf_dir, "lineitem", S.LI_KEYS + ["l_extendedprice"])
     return li.orderBy(F.col("l_extendedprice").desc(), *S.LI_KEYS).limit(20)
@@ -455,6 +464,7 @@ QUERIES = {
     "tokenize": q_tokenize,
     # features, metrics
     "symbolic_cardinality": q_symbolic_cardinality,
+    "symbolic_cardinality_approx": q_symbolic_cardinality_approx,
     "first_n": q_first_n,
     "string_index": q_string_index,
     "string_index_unseen": q_string_index_unseen,
