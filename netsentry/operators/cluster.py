@@ -123,21 +123,29 @@ def lloyd_fit(df: DataFrame, vec: str, centers: Sequence[Sequence[float]], max_i
 
 
 # --------------------------------------------------------------------- A5
-def elbow_sweep(df: DataFrame, vec: str, ks: Sequence[int], seed: int = 1, max_iter: int = 20) -> DataFrame:
+def elbow_sweep(df: DataFrame, vec: str, ks: Sequence[int], seed: int = 1, max_iter: int = 20,
+                parallelism: int = 4) -> DataFrame:
     """For each k: training cost (WSSSE) and silhouette. The input is
-    persisted once (X2) and every fit is distributed; k rows per k come back."""
+    persisted once (X2); the fits are independent, so up to ``parallelism``
+    of them run as concurrent Spark jobs (as ``CrossValidator`` does), each
+    one distributed; k rows per k come back."""
+    from concurrent.futures import ThreadPoolExecutor
+
     spark = df.sparkSession
     arr = V.as_double_array(df, vec)
     data = df.select(V.to_vector(arr).alias("features")).persist()
+    evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction",
+                                    metricName="silhouette", distanceMeasure="squaredEuclidean")
+
+    def one(k: int):
+        model = kmeans(k, seed=seed, max_iter=max_iter).fit(data)
+        sil = evaluator.evaluate(model.transform(data)) if k > 1 else float("nan")
+        return int(k), float(model.summary.trainingCost), float(sil)
+
     try:
-        out = []
-        evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction",
-                                        metricName="silhouette", distanceMeasure="squaredEuclidean")
-        for k in ks:
-            model = kmeans(k, seed=seed, max_iter=max_iter).fit(data)
-            pred = model.transform(data)
-            sil = evaluator.evaluate(pred) if k > 1 else float("nan")
-            out.append((int(k), float(model.summary.trainingCost), float(sil)))
+        data.count()  # materialise the cache once, before the concurrent fits
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(ks)))) as pool:
+            out = list(pool.map(one, ks))
         return spark.createDataFrame(out, "k int, wssse double, silhouette double")
     finally:
         data.unpersist()
