@@ -107,7 +107,7 @@ def q_score_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_two_hop_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2 with two streaming queries: records -> scaled-vector messages on an
-    intermediate folder -> online k-means (k = 4, decay 0.95) -> key/cluster."""
+    intermediate folder -> online k-means (k = 30, decay 0.95) -> key/cluster."""
     base = scratch_path(spark, "two-hop")
     train = _event_records(spark, sf_dir).persist()  # several fitting passes: parse once
     try:
@@ -122,8 +122,10 @@ def q_two_hop_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     if q1.exception():
         raise q1.exception()
     s2 = kafka.read_stream(spark, kafka.file_source(f"{base}/mid", max_files_per_trigger=2))
-    model = StreamingKMeans(4, 0.95, "batches", state_path=f"{base}/state", out_path=f"{base}/out",
-                            vec_col="x", key_cols=["key"], dim=dim, init_weight=0.0, seed=7)
+    # the original online job: k = 30, decay 0.95, random centres of weight 1;
+    # the width comes from the fitted pre-processing, not a constant
+    model = StreamingKMeans(30, 0.95, "batches", state_path=f"{base}/state", out_path=f"{base}/out",
+                            vec_col="x", key_cols=["key"], dim=dim, init_weight=1.0, seed=7)
     _drain(s2, topology.Hop2(model), f"{base}/ck2")
     return spark.read.parquet(f"{base}/out/assignments").select("key", "cluster")
 
