@@ -53,21 +53,18 @@ class Scorer:
         self.keep, self.sink = list(keep), sink
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        good, rejects = parse_messages(batch, "lenient")
-        good = good.persist()
+        batch = batch.persist()  # read once; parsed again cheaply for rows and rejects
         try:
-            if good.isEmpty():  # P14: nothing parsed, nothing to score
-                scored = None
-            else:
+            good, rejects = parse_messages(batch, "lenient")
+            if not good.isEmpty():  # P14: nothing parsed, nothing to score
                 scored = pipelines.score(good, self.m1, self.m2, self.keep)
-            if scored is not None:
                 if self.sink:
                     self.sink(scored, batch_id)
                 else:
                     scored.write.mode("overwrite").parquet(f"{self.out}/scored/batch={int(batch_id)}")
             rejects.write.mode("overwrite").parquet(f"{self.out}/rejects/batch={int(batch_id)}")
         finally:
-            good.unpersist()
+            batch.unpersist()
 
 
 def score_stream(stream: DataFrame, m1: PipelineModel, m2: PipelineModel, out_path: str, checkpoint: str,
