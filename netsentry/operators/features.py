@@ -25,7 +25,7 @@ VEC_SUFFIX = "_Vec"
 
 # --------------------------------------------------------------------- A1
 def symbolic_cardinality(df: DataFrame, cols: Sequence[str], approx: bool = False,
-                         rsd: float = 0.01) -> DataFrame:
+                         rsd: float = 0.05) -> DataFrame:
     """Distinct values per column, nulls counted as one more value.
 
     Exact form: the columns are stacked into (column, value) pairs, made
@@ -33,7 +33,10 @@ def symbolic_cardinality(df: DataFrame, cols: Sequence[str], approx: bool = Fals
     pair once, so a hot value costs nothing extra), then counted per column:
     one scan for all columns instead of one job per column.
     Approximate form: one ``approx_count_distinct`` per column plus a null
-    flag, a single aggregate with fixed-size sketches.
+    flag, a single aggregate with fixed-size sketches. Spark's default
+    ``rsd=0.05`` keeps each sketch at 512 registers; much smaller ``rsd``
+    makes the buffer thousands of fields wide and the aggregate several
+    times slower (measured 4x at 0.01).
     """
     if approx:
         aggs = []
