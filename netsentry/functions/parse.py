@@ -90,7 +90,7 @@ def parse_records(df: DataFrame, schema: T.StructType, col: str = "line", mode:
                    .when(p.isNull(), F.lit(2))
                    .when((k == 1) & p.try_cast("double").isNull(), F.lit(1)).otherwise(F.lit(0))),
         F.lit(0), lambda acc, x: F.greatest(acc, x))
-    reason = F.when(reason == 2, F.lit("short")).when(reason == 1, F.lit("bad_number"))
+    reason = F.when(F.col(parts).isNull() | (reason == 2), F.lit("short")).when(reason == 1, F.lit("bad_number"))
     tagged = base.withColumn("_ns_reason", reason).select(*keep, "_ns_line", "_ns_reason", *fields)
     good = tagged.filter(F.col("_ns_reason").isNull()).select(*keep, *[f.name for f in schema.fields])
     rejects = tagged.filter(F.col("_ns_reason").isNotNull()).select(
@@ -110,12 +110,6 @@ def parse_dense_vector(c, sep: str = " ") -> Column:
 _SPARSE_RE = r"^\(\s*(\d+)\s*,\s*\[([^\]]*)\]\s*,\s*\[([^\]]*)\]\s*\)$"
 
 
-def _num_list(txt: Column, cast: str) -> Column:
-    t = F.trim(txt)
-    return F.when(t == "", F.array().cast(f"array<{cast}>")).otherwise(
-        F.transform(F.split(t, ","), lambda x: F.trim(x).try_cast(cast)))
-
-
 _SPARSE_JSON = '{"n":$1,"i":[$2],"v":[$3]}'
 
 

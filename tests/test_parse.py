@@ -93,3 +93,9 @@ def test_split_key_vector_and_format(spark):
 def test_tokenize(spark):
     df = spark.createDataFrame([("1 2  3 ",)], "t string")
     assert df.select(P.tokenize("t")).first()[0] == ["1", "2", "", "3"]
+
+
+def test_lenient_rejects_null_line(spark):
+    lines = spark.createDataFrame([(GOOD,), (None,)], "line string")
+    good, rejects = P.parse_records(lines, R.stream_record_schema(), "line", "lenient")
+    assert good.count() == 1 and [r["reason"] for r in rejects.collect()] == ["short"]
