@@ -36,3 +36,9 @@ def list_files(spark: SparkSession, path: str) -> list[str]:
     if not fs.exists(p):
         return []
     return [st.getPath().getName() for st in fs.listStatus(p) if st.isFile()]
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Recursively delete ``path`` (used for state-version retention)."""
+    fs, p = _fs_and_path(spark, path)
+    return bool(fs.delete(p, True))

@@ -179,11 +179,21 @@ class StateTable:
         return KMeansState.from_rows(self.spark.read.parquet(self._version_path(version)).collect())
 
     def latest_before(self, version: int) -> tuple[int | None, KMeansState | None]:
+        # batch ids are consecutive: the previous version is normally there
+        if version > 0 and self.has(version - 1):
+            return version - 1, self.read(version - 1)
         older = [v for v in self.versions() if v < version]
         if not older:
             return None, None
         return older[-1], self.read(older[-1])
 
+    def retain(self, keep: int) -> None:
+        """Delete all but the newest ``keep`` versions (like Spark's own
+        ``minBatchesToRetain``), so listings stay short on long streams."""
+        vs = self.versions()
+        for v in vs[:-keep] if keep > 0 else []:
+            fs.delete(self.spark, self._version_path(v))
+
     def has(self, version: int) -> bool:
         return fs.committed(self.spark, self._version_path(version))
 
@@ -205,7 +215,7 @@ class StreamingKMeans:
                  out_path: str | None = None, vec_col: str = "features", key_cols: Sequence[str] = (),
                  centers: Sequence[Sequence[float]] | None = None, weights: Sequence[float] | None = None,
                  dim: int | None = None, init_weight: float = 0.0, seed: int = 42,
-                 tick_seconds: float | None = None, clock=time.time):
+                 tick_seconds: float | None = None, clock=time.time, retain_versions: int | None = None):
         from netsentry.operators.cluster import random_centers
         if centers is None:
             if dim is None:
@@ -220,6 +230,7 @@ class StreamingKMeans:
         self.state_path, self.out_path = state_path, out_path
         self.vec_col, self.key_cols = vec_col, list(key_cols)
         self.tick_seconds, self.clock = tick_seconds, clock
+        self.retain_versions = retain_versions
 
     def current(self, spark: SparkSession, before: int | None = None) -> KMeansState:
         table = StateTable(spark, self.state_path)
@@ -257,6 +268,8 @@ class StreamingKMeans:
                 state = kmeans_step(prev, batch, self.vec_col, self.decay, self.unit)
                 state.written_at = now
                 table.write(batch_id, state)
+                if self.retain_versions:
+                    table.retain(self.retain_versions)
             if self.out_path:
                 w = spark.createDataFrame([(int(batch_id), ",".join(repr(float(x)) for x in state.weights),
                                             [float(x) for x in state.weights])],

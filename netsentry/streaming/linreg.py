@@ -54,6 +54,8 @@ class StreamingLinearRegression:
 
     def weights_before(self, spark: SparkSession, batch_id: int) -> np.ndarray:
         t = WeightTable(spark, self.state_path)
+        if batch_id > 0 and t.has(batch_id - 1):  # consecutive batch ids: no listing
+            return t.read(batch_id - 1)
         older = [v for v in t.versions() if v < batch_id]
         return t.read(older[-1]) if older else self.w0.copy()
 

@@ -114,3 +114,16 @@ def test_missed_ticks_decay(spark, scratch):
                                 centers=[[0.0], [10.0]], weights=[1.0, 1.0])
     replay.foreach_batch(_df(spark, [(1,)]), 1)              # replay reuses the stored version
     assert np.allclose(replay.current(spark).weights, [1.1875, 0.1875])
+
+
+def test_state_retention(spark, scratch):
+    model = SK.StreamingKMeans(2, 0.5, state_path=f"{scratch}/state", vec_col="x",
+                               centers=[[0.0], [10.0]], weights=[1.0, 1.0], retain_versions=2)
+    for b in range(4):
+        model.foreach_batch(_df(spark, [(1,), (9,)]), b)
+    table = SK.StateTable(spark, f"{scratch}/state")
+    assert table.versions() == [2, 3]
+    fold = SK.KMeansState.of([[0.0], [10.0]], [1.0, 1.0])
+    for _ in range(4):
+        fold = SK.kmeans_step(fold, _df(spark, [(1,), (9,)]), "x", 0.5)
+    assert np.allclose(model.current(spark).weights, fold.weights)
