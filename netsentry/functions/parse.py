@@ -169,8 +169,17 @@ def split_key_vector(c, key: str = "key", vec: str = "vector_text") -> list[Colu
 
 
 # -------------------------------------------------------------------- P10
-def vector_text(arr, sparse: bool = False) -> Column:
-    """Dense ``[x1,..]`` or sparse ``(n,[i..],[v..])`` text of an array."""
+def vector_text(arr, sparse: bool | str = False) -> Column:
+    """Dense ``[x1,..]`` or sparse ``(n,[i..],[v..])`` text of an array.
+
+    ``sparse="auto"`` picks per row the form an ml vector would be stored
+    (and printed) in after the assembler's ``compressed``: sparse when
+    ``1.5 * (nonzeros + 1) < size``, else dense.
+    """
+    if sparse == "auto":
+        return _let(_col(arr), lambda a: F.when(
+            F.size(F.filter(a, lambda x: x != 0)) * 1.5 + 1.5 < F.size(a), vector_text(a, True))
+            .otherwise(vector_text(a, False)))
     if not sparse:
         return F.concat(F.lit("["), F.array_join(F.transform(_col(arr), lambda x: x.cast("string")), ","),
                         F.lit("]"))
@@ -186,7 +195,7 @@ def vector_text(arr, sparse: bool = False) -> Column:
     return _let(_col(arr), fmt)
 
 
-def format_vector_message(id_cols: list, vec, sparse: bool = False) -> Column:
+def format_vector_message(id_cols: list, vec, sparse: bool | str = False) -> Column:
     """``id1 id2 .. vectorText`` as one space-separated message."""
     return F.concat_ws(" ", *[_col(c).cast("string") for c in id_cols], vector_text(vec, sparse))
 

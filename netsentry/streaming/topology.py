@@ -31,7 +31,7 @@ from netsentry.streaming.scorer import parse_messages
 
 
 def hop1_messages(batch: DataFrame, prehandler: PipelineModel, mode: str = "strict",
-                  sparse: bool = False) -> DataFrame:
+                  sparse: bool | str = "auto") -> DataFrame:
     """Record messages of one batch to intermediate ``value`` messages."""
     good, _ = parse_messages(batch, mode)
     scaled = prehandler.transform(good).select("timeStamp", "srcIp", "desIp", R.SCALED_FEATURES)
@@ -40,13 +40,13 @@ def hop1_messages(batch: DataFrame, prehandler: PipelineModel, mode: str = "stri
 
 
 def hop1_stream(stream: DataFrame, prehandler: PipelineModel, mode: str = "strict",
-                sparse: bool = False) -> DataFrame:
+                sparse: bool | str = "auto") -> DataFrame:
     """Hop 1 as a streaming DataFrame of ``value`` messages."""
     return hop1_messages(stream, prehandler, mode, sparse)
 
 
 def start_hop1(stream: DataFrame, prehandler: PipelineModel, mid_path: str, checkpoint: str,
-               trigger: dict | None = None, sparse: bool = False):
+               trigger: dict | None = None, sparse: bool | str = "auto"):
     """Hop 1 into the exactly-once file sink at ``mid_path``."""
     w = hop1_stream(stream, prehandler, "strict", sparse).writeStream.format("parquet") \
         .option("path", mid_path).option("checkpointLocation", checkpoint)
@@ -54,7 +54,8 @@ def start_hop1(stream: DataFrame, prehandler: PipelineModel, mid_path: str, chec
 
 
 class Hop1:
-    def __init__(self, prehandler: PipelineModel, mid_path: str, mode: str = "strict", sparse: bool = False):
+    def __init__(self, prehandler: PipelineModel, mid_path: str, mode: str = "strict",
+                 sparse: bool | str = "auto"):
         self.pre, self.mid, self.mode, self.sparse = prehandler, mid_path.rstrip("/"), mode, sparse
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:

@@ -99,3 +99,11 @@ def test_lenient_rejects_null_line(spark):
     lines = spark.createDataFrame([(GOOD,), (None,)], "line string")
     good, rejects = P.parse_records(lines, R.stream_record_schema(), "line", "lenient")
     assert good.count() == 1 and [r["reason"] for r in rejects.collect()] == ["short"]
+
+
+def test_vector_text_auto_form(spark):
+    df = spark.createDataFrame([([0.0, 0.0, 0.0, 0.0, 2.0],), ([1.0, 2.0, 0.0],)], "a array<double>")
+    rows = df.select(P.vector_text("a", "auto").alias("t"), P.parse_vector(P.vector_text("a", "auto")).alias("b"),
+                     "a").collect()
+    assert rows[0]["t"] == "(5,[4],[2.0])" and rows[1]["t"] == "[1.0,2.0,0.0]"
+    assert all(r["b"] == r["a"] for r in rows)
