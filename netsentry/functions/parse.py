@@ -90,7 +90,10 @@ def parse_records(df: DataFrame, schema: T.StructType, col: str = "line", mode:
                    .when(p.isNull(), F.lit(2))
                    .when((k == 1) & p.try_cast("double").isNull(), F.lit(1)).otherwise(F.lit(0))),
         F.lit(0), lambda acc, x: F.greatest(acc, x))
-    reason = F.when(F.col(parts).isNull() | (reason == 2), F.lit("short")).when(reason == 1, F.lit("bad_number"))
+    # code 0 ok / 1 bad number / 2 short (a null line has no pieces: short),
+    # mapped through a literal so the split is still referenced once
+    reason = F.element_at(F.array(F.lit(None).cast("string"), F.lit("bad_number"), F.lit("short")),
+                          F.coalesce(reason, F.lit(2)) + 1)
     tagged = base.withColumn("_ns_reason", reason).select(*keep, "_ns_line", "_ns_reason", *fields)
     good = tagged.filter(F.col("_ns_reason").isNull()).select(*keep, *[f.name for f in schema.fields])
     rejects = tagged.filter(F.col("_ns_reason").isNotNull()).select(
