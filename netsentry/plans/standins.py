@@ -139,8 +139,8 @@ def event_message(line: Column) -> Column:
             .otherwise(line))
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events", ["event_id", "user_id", "event_type", "value"])
+def events(spark: SparkSession, sf_dir: str, spread: bool | None = None) -> DataFrame:
+    return table(spark, sf_dir, "events", ["event_id", "user_id", "event_type", "value"], spread)
 
 
 def event_batch() -> Column:
