@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsentry.llm import decontaminate, html_text, licenses, packing, toxicity, url_filter
+from netsentry.llm import decontaminate, embedding_join, html_text, licenses, ngram_join, packing, toxicity, url_filter
 from netsentry.llm.common import id_remainder, table
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.link_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), 0.93)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_toxicity(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
     return scored.select("doc_id", (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("toxic_score").alias("score"),
@@ -20,6 +24,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents", "doc_id", "text"), 3, 90, 100)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -37,4 +45,4 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_license_scan, op6_packing, op8_url_filter, op9_decontamination, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_license_scan, op5_ngram_join, op6_packing, op8_url_filter, op9_decontamination, op10_html_text)}
