@@ -18,8 +18,8 @@ and a task that is run again packs the same rows in the same way. Sequence
 ids are (partition, counter).
 
 Tokenising: the tokenizer drops white space and never joins across it, so a
-text is the sequence of its space-separated words; each distinct word of a
-buffer is encoded once.
+text is the sequence of its white-space-free pieces; a distinct piece is encoded
+once and remembered.
 
 Defined results: null and empty texts are the end token alone; very long
 texts become many windows; equal documents are packed each for itself;
@@ -32,6 +32,8 @@ import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +41,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsentry.llm.common import batch_of, regroup
+from netsentry.llm.common import batch_of, regroup, utf8
 
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
 BUFFER = 2048
 STEP_TOKENS = 1 << 16
-_SPACE = re.compile(r"[ \t\n\r]+")
+_LETTERS = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()),
@@ -53,26 +55,67 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, tier long, step long"
 
 
-class WordTokenizer:
-    """Ids of whole texts through ``tokenizers``, each distinct word once."""
+class WordTokenizer(dict):
+    """Ids (little-endian unsigned 32-bit) of each white-space-free piece of a
+    text. Pieces of letters with closing punctuation, the great majority, are
+    two words to the tokenizer's own splitter and go straight to its BPE
+    model; all others go through the whole tokenizer."""
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
-
-        self.tokenizer, self.known, self.keep = Tokenizer.from_file(path), {}, keep
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        self.model, self.alphabet = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.id_bytes = [n.to_bytes(4, "little") for n in range(self.tokenizer.get_vocab_size())]
+        self.parts: dict[bytes, bytes] = {}
+        self.letters: dict[str, str] = {}
+        self.end = END_ID.to_bytes(4, "little")
+
+    def whole(self, piece: bytes) -> bytes:
+        return b"".join([self.id_bytes[n] for n in self.tokenizer.encode(piece.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids])
+
+    def part(self, word: bytes) -> bytes:
+        """Ids of a run of letters."""
+        got = self.parts.get(word)
+        if got is None:
+            text = word.decode()
+            if word.isascii():
+                mapped = text
+            elif text.lower() == text and is_normalized("NFC", text):
+                mapped = "".join([self.letters.get(c) or self.letters.setdefault(c, self.alphabet.pre_tokenize_str(c)[0][0]) for c in text])
+            else:
+                mapped = None
+            got = self.whole(word) if mapped is None else b"".join([self.id_bytes[t.id] for t in self.model.tokenize(mapped)])
+            self.parts[word] = got
+        return got
+
+    def __missing__(self, piece: bytes) -> bytes:
+        m = _LETTERS.fullmatch(piece)
+        if m and (piece.isascii() or m[1].decode().isalpha()):
+            ids = self.part(m[1]) + (self.get(m[2]) or self.setdefault(m[2], self.whole(m[2])) if m[2] else b"")
+        else:
+            ids = self.whole(piece)
+        self[piece] = ids
+        return ids
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [_SPACE.split(t) if t else [] for t in texts]
-        known = self.known
-        if len(known) > self.keep:
-            known.clear()
-        new = [w for w in dict.fromkeys(w for ws in split for w in ws) if w not in known]
-        for lo in range(0, len(new), 8192):
-            part = new[lo:lo + 8192]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        end = np.array([END_ID], "<u4").tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in ws]) + end, "<u4") for ws in split]
+        if len(self) + len(self.parts) > self.keep:
+            self.clear()
+            self.parts.clear()
+        out = []
+        for text in texts:
+            data = utf8(text)
+            if b"<|" not in data:  # special tokens are found before letters are lowered
+                data = data.lower()
+            out.append(np.frombuffer(b"".join([*map(self.__getitem__, data.split()), self.end]), "<u4"))
+        return out
+
+
+@lru_cache(1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One per Python worker: the pieces it knows serve the worker's next tasks."""
+    return WordTokenizer(path)
 
 
 class Packer:
@@ -131,7 +174,7 @@ class Packer:
 
 
 def pack_batches(batches: Iterable[pa.RecordBatch], path: str, tiers: tuple[int, ...], partition: int) -> Iterator[pa.RecordBatch]:
-    tokenizer, packer, serial = WordTokenizer(path), Packer(tiers), 0
+    tokenizer, packer, serial = word_tokenizer(path), Packer(tiers), 0
     tokens_of_tier: dict[int, int] = {}
     for part in regroup(batches, BUFFER, 8 << 20):
         doc_ids = part.column(0).to_pylist()
