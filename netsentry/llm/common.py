@@ -60,16 +60,18 @@ def _powers(n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit key for each word: one pass over the words' joined bytes."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    start = np.cumsum(size) - size
-    data = np.frombuffer(b"".join(words), np.uint8)
-    at = np.arange(len(data), dtype=np.int64) - np.repeat(start, size)
-    powers = _powers(int(size.max()))
-    return mix(np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers[at], start) + size.astype(np.uint64))
+def word_hashes(words: list[bytes], step: int = 1 << 16) -> np.ndarray:
+    """A 64-bit key for each word, ``step`` words at a time."""
+    out = [np.zeros(0, np.uint64)]
+    for lo in range(0, len(words), step):
+        part = words[lo:lo + step]
+        size = np.fromiter(map(len, part), np.int64, len(part))
+        start = np.cumsum(size) - size
+        data = np.frombuffer(b"".join(part), np.uint8)
+        at = np.arange(len(data), dtype=np.int64) - np.repeat(start, size)
+        powers = _powers(int(size.max()))
+        out.append(mix(np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers[at], start) + size.astype(np.uint64)))
+    return np.concatenate(out)
 
 
 def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:

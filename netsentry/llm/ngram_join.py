@@ -99,7 +99,7 @@ def least_overlap(n, num: int, den: int):
 
 def post(batches: Iterable[pa.RecordBatch], width: int, bits: int) -> Iterator[pa.RecordBatch]:
     """A row per document (kind 0), and packed postings per bucket (kind 1)."""
-    for part in regroup(batches):
+    for part in regroup(batches, size=8 << 20):
         ids = part.column(0).to_pylist()
         sets = shingle_sets(part.column(1).to_pylist(), width)
         keys = [set_keys(s) if len(s) else (None, None) for s in sets]
@@ -319,7 +319,7 @@ def similar_groups(docs: DataFrame, width: int, num: int, den: int, key: str = "
     chosen = source.join(F.broadcast(wanted) if small else wanted, "doc_id")
 
     def cut(batches):
-        for part in regroup(batches):
+        for part in regroup(batches, size=8 << 20):
             sets = shingle_sets(part.column("text").to_pylist(), width)
             yield pa.RecordBatch.from_arrays([part.column(c).combine_chunks() for c in ("component", "doc_id", "chunks")]
                                              + [pa.array([s.tobytes() for s in sets], pa.binary())], names=["component", "doc_id", "chunks", "data"])
