@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsentry.llm import decontaminate, embedding_join, html_text, licenses, ngram_join, packing, substring_dedup, toxicity, url_filter
+from netsentry.llm import context_mixing, decontaminate, embedding_join, html_text, licenses, ngram_join, packing, substring_dedup, toxicity, url_filter
 from netsentry.llm.common import id_remainder, table
 
 
@@ -24,6 +24,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return context_mixing.score_texts(docs, F.coalesce(id_remainder(F.col("doc_id"), 7) != 2, F.lit(True)))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents", "doc_id", "text"), 3, 90, 100)
 
@@ -49,4 +54,4 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_license_scan, op5_ngram_join, op6_packing, op7_suffix_dedup, op8_url_filter, op9_decontamination, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_license_scan, op4_context_mixing, op5_ngram_join, op6_packing, op7_suffix_dedup, op8_url_filter, op9_decontamination, op10_html_text)}
