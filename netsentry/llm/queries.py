@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +56,4 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_license_scan, op4_context_mixing, op5_ngram_join, op6_packing, op7_suffix_dedup, op8_url_filter, op9_decontamination, op10_html_text)}
+QUERIES["pipeline"] = corpus_pipeline.run
