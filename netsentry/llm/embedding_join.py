@@ -30,6 +30,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,11 @@ def rotation(width: int, seed: int = SEED) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Equally wide lists as a matrix, without a Python object per number."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+
+
 def block_bounds(width: int, dims: int = BLOCK_DIMS) -> list[tuple[int, int]]:
     return [(lo, min(lo + dims, width)) for lo in range(0, width, dims)]
 
@@ -110,22 +116,39 @@ def join_cell(block: int, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarr
     turned, bounds, allowed = u @ rotation(width), block_bounds(width), budgets(width, least)
     guests = ((guest[:, None] >> np.arange(BLOCK_DIMS)) & 1).astype(np.float64)
     two = side.min() != side.max()
-    links, a_, b_ = np.zeros(len(ids), np.int64), [], []
+    links, a_, b_ = np.zeros(len(ids), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    squares = np.add.reduceat(turned * turned, [x for x, _ in bounds], axis=1)
+
+    def fits(k: int, t: slice, rest: slice) -> np.ndarray:
+        x, y = bounds[k]
+        return squares[t, k, None] + squares[None, rest, k] - 2 * turned[t, x:y] @ turned[rest, x:y].T <= allowed[k]
+
     for lo in range(0, len(ids), tile):
-        t = slice(lo, min(lo + tile, len(ids)))
-        fits = []
-        for (x, y), budget in list(zip(bounds, allowed))[:block + 1]:
-            p, q = turned[t, x:y], turned[:, x:y]
-            fits.append((p * p).sum(1)[:, None] + (q * q).sum(1)[None] - 2 * p @ q.T <= budget)
-        pair = fits[-1] & ~np.logical_or.reduce(fits[:-1] or [np.zeros_like(fits[-1])])
-        pair &= guests[t] @ guests.T == 0  # this cell is the larger home in every coordinate
-        pair &= (side[t, None] != side[None]) if two else (np.arange(len(ids))[t, None] != np.arange(len(ids))[None])
-        pair &= u[t] @ u.T >= least
-        links[t] += pair @ copies
-        a, b = np.nonzero(pair)
-        keep = a + lo < b
-        a_.append(a[keep] + lo)
-        b_.append(b[keep])
+        t, rest = slice(lo, min(lo + tile, len(ids))), slice(lo, len(ids))
+        pair = fits(block, t, rest)
+        pair &= (side[t, None] != side[None, rest]) if two else True
+        pair &= np.arange(lo, len(ids)) > np.arange(len(ids))[t, None]
+        if pair.mean() > 0.05:  # near copies, mostly: whole matrices are quicker than single pairs
+            for k in range(block):
+                pair &= ~fits(k, t, rest)
+            pair &= guests[t] @ guests[rest].T == 0  # this cell is the larger home in every coordinate
+            pair &= u[t] @ u[rest].T >= least
+            links[t] += pair @ copies[rest]
+            links[rest] += copies[t] @ pair
+            a, b = np.nonzero(pair)
+            a_.append(a + lo)
+            b_.append(b + lo)
+        else:
+            a, b = np.nonzero(pair)
+            for at in range(0, len(a), 1 << 15):
+                i, j = a[at:at + (1 << 15)] + lo, b[at:at + (1 << 15)] + lo
+                apart = np.add.reduceat((turned[i] - turned[j]) ** 2, [x for x, _ in bounds], axis=1)
+                ok = (apart[:, :block] > allowed[:block]).all(1) & ((guests[i] * guests[j]).sum(1) == 0)
+                ok[ok] = (u[i[ok]] * u[j[ok]]).sum(1) >= least
+                np.add.at(links, i[ok], copies[j[ok]])
+                np.add.at(links, j[ok], copies[i[ok]])
+                a_.append(i[ok])
+                b_.append(j[ok])
         if sum(map(len, a_)) > 1 << 20:  # keep a spanning forest only
             low = _least_linked(len(ids), np.concatenate(a_), np.concatenate(b_))
             a_, b_ = [np.arange(len(ids))], [low]
@@ -138,7 +161,7 @@ def join_cell(block: int, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarr
 def link_vectors(vectors: DataFrame, least: float = 0.93, key: str = "vec_id", column: str = "embedding", label: str = "label") -> DataFrame:
     """``key``, ``n_links``, ``component_id``, ``kept`` of each vector."""
     x = F.col(column)
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), x.cast("array<double>").alias("v"), F.col(label).alias("label"))
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), x.alias("v"), F.col(label).alias("label"))
     good = (F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.col("vec_id").isNotNull()
             & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0))
     tagged = rows.withColumn("good", F.coalesce(good, F.lit(False)))
@@ -151,16 +174,16 @@ def link_vectors(vectors: DataFrame, least: float = 0.93, key: str = "vec_id", c
     def to_cells(batches):
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            widths = np.array([len(v) for v in t.column("v").to_pylist()], np.int64)
+            widths = pc.list_value_length(t.column("v")).to_numpy()
             for w in np.unique(widths).tolist():
                 s = t.filter(pa.array(widths == w))
-                m = np.array(s.column("v").to_pylist(), np.float64)
+                m = matrix(s.column("v"), w)
                 row, block, cell, guest = cell_rows(m, s.column("n_label").to_numpy(), least)
                 yield from pa.table({"part": s.column("part").take(row), "block": pa.array(block, pa.int32()), "cell": pa.array(cell, pa.string()),
                                      "guest": pa.array(guest, pa.int32()), "rep": s.column("rep").take(row), "copies": s.column("copies").take(row),
                                      "v": s.column("v").take(row)}).to_batches()
 
-    cells = source.mapInArrow(to_cells, "part long, block int, cell string, guest int, rep long, copies long, v array<double>")
+    cells = source.mapInArrow(to_cells, f"part long, block int, cell string, guest int, rep long, copies long, v {reps.schema['v'].dataType.simpleString()}")
     place = ["part", "block", "cell"]
     large = cells.groupBy(place).agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS).select(*place, F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("chunks"))
     dealt = (cells.join(large, place, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
@@ -171,7 +194,7 @@ def link_vectors(vectors: DataFrame, least: float = 0.93, key: str = "vec_id", c
     def meet(t: pa.Table) -> pa.Table:
         ids = t.column("rep").to_numpy()
         two = t.column("i")[0].as_py() != t.column("j")[0].as_py()
-        links, low = join_cell(t.column("block")[0].as_py(), ids, t.column("copies").to_numpy(), np.array(t.column("v").to_pylist(), np.float64),
+        links, low = join_cell(t.column("block")[0].as_py(), ids, t.column("copies").to_numpy(), matrix(t.column("v"), len(t.column("v")[0])),
                                t.column("guest").to_numpy(), t.column("side").to_numpy() if two else np.zeros(len(ids), np.int64), least)
         keep = (links > 0) | (low != ids)
         return pa.table({"rep": ids[keep], "links": links[keep], "low": low[keep]})
