@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,14 +16,31 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows instead of the default 10,000: with whole texts in the
+    rows, a batch is held by the JVM and by Python at once. A caller's own setting stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def release() -> None:
+    """Give freed memory back to the system, which a reused Python worker else keeps."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     """The named columns of a table; other columns are never read."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(*cols)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: cuts lineage,
     survives lost executors, and is computed once however often it is used."""
+    small_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -87,7 +105,7 @@ def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.unique(mix(key))
 
 
-def regroup(batches: Iterable[pa.RecordBatch], rows: int = 4096, size: int = 16 << 20,
+def regroup(batches: Iterable[pa.RecordBatch], rows: int = 4096, size: int = 4 << 20,
             column: str = "text") -> Iterator[pa.Table]:
     """Arrow batches joined or split to at most ``rows`` rows, closed early
     once ``column`` holds ``size`` bytes: bounds what a task holds at once."""
@@ -104,6 +122,8 @@ def regroup(batches: Iterable[pa.RecordBatch], rows: int = 4096, size: int = 16
                 held, n, held_bytes = [], 0, 0
     if held:
         yield pa.Table.from_batches(held)
+    del held
+    release()
 
 
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:

@@ -42,11 +42,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsentry.llm.common import mix, regroup, shingle_set, staged, utf8, word_hashes
+from netsentry.llm.common import mix, regroup, release, shingle_set, staged, utf8, word_hashes
 from netsentry.llm.components import components
 
-GROUP = 4096
-BUCKET_TEXT = 16 << 20
+GROUP = 1024
+BUCKET_TEXT = 8 << 20
 BROADCAST_ROWS = 500_000
 MU = 0.01
 
@@ -99,7 +99,7 @@ def least_overlap(n, num: int, den: int):
 
 def post(batches: Iterable[pa.RecordBatch], width: int, bits: int) -> Iterator[pa.RecordBatch]:
     """A row per document (kind 0), and packed postings per bucket (kind 1)."""
-    for part in regroup(batches, size=8 << 20):
+    for part in regroup(batches):
         ids = part.column(0).to_pylist()
         sets = shingle_sets(part.column(1).to_pylist(), width)
         keys = [set_keys(s) if len(s) else (None, None) for s in sets]
@@ -131,7 +131,8 @@ def measure_lists(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.R
         yield from t.filter(pa.array(kind == 0)).to_batches()
         for k, d in zip(t.column("bucket").to_numpy()[kind == 1].tolist(), t.column("data").filter(pa.array(kind == 1)).to_pylist()):
             held.setdefault(k, []).append(d)
-    for bucket, blobs in held.items():
+    while held:
+        bucket, blobs = held.popitem()
         docs, sizes, keys = [], [], []
         for data in blobs:
             doc, size, key, idx = unpack_arrays(data, np.int64, np.uint32, np.uint32, np.uint16)
@@ -157,6 +158,8 @@ def measure_lists(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.R
         none = [None] * len(data)
         yield pa.RecordBatch.from_arrays([pa.array([1] * len(data), pa.int32()), pa.array(to[cut], pa.int32()), *(pa.array(none, pa.int64()) for _ in range(4)),
                                           pa.array(data, pa.binary())], names=_NAMES)
+        del blobs, docs, sizes, keys, doc, size, key, length, order, to, data
+    release()
 
 
 def short_lists(batches: Iterable[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -180,7 +183,10 @@ def short_lists(batches: Iterable[pa.RecordBatch], num: int, den: int) -> Iterat
     take = np.repeat(shared - least_overlap(size[begin], num, den) + 1, shared)
     rank = np.arange(len(doc)) - np.repeat(begin, shared)
     keep = rank < take
-    yield from stars(name[keep], doc[keep])
+    name, doc = name[keep], doc[keep]
+    del order, size, key, length, bucket, docs, sizes, keys, lengths, buckets
+    yield from stars(name, doc)
+    release()
 
 
 def stars(name: np.ndarray, doc: np.ndarray, step: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -319,7 +325,7 @@ def similar_groups(docs: DataFrame, width: int, num: int, den: int, key: str = "
     chosen = source.join(F.broadcast(wanted) if small else wanted, "doc_id")
 
     def cut(batches):
-        for part in regroup(batches, size=8 << 20):
+        for part in regroup(batches):
             sets = shingle_sets(part.column("text").to_pylist(), width)
             yield pa.RecordBatch.from_arrays([part.column(c).combine_chunks() for c in ("component", "doc_id", "chunks")]
                                              + [pa.array([s.tobytes() for s in sets], pa.binary())], names=["component", "doc_id", "chunks", "data"])

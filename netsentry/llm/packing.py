@@ -61,7 +61,7 @@ class WordTokenizer(dict):
     two words to the tokenizer's own splitter and go straight to its BPE
     model; all others go through the whole tokenizer."""
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 500_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -176,7 +176,7 @@ class Packer:
 def pack_batches(batches: Iterable[pa.RecordBatch], path: str, tiers: tuple[int, ...], partition: int) -> Iterator[pa.RecordBatch]:
     tokenizer, packer, serial = word_tokenizer(path), Packer(tiers), 0
     tokens_of_tier: dict[int, int] = {}
-    for part in regroup(batches, BUFFER, 8 << 20):
+    for part in regroup(batches, BUFFER):
         doc_ids = part.column(0).to_pylist()
         ids = tokenizer.encode(part.column(1).to_pylist())
         rows: dict[str, list] = {name: [] for name in SCHEMA.names}
