@@ -20,8 +20,8 @@ def word2vec(input_col: str = "tokens", vector_size: int = 100, min_count: int =
     """Word2Vec with the library's defaults (size 100, min count 5, one
     iteration, step 0.025). ``num_partitions`` > 1 trains that many
     partitions in parallel and merges their updates - on a large corpus one
-    partition would put the whole training pass in one task, so callers pass
-    the cluster's parallelism (see ``parallel_word2vec``). The vocabulary is
+    partition would put the whole training pass in one task (see
+    ``parallel_word2vec``). The vocabulary is
     counted with a distributed aggregate; the vocabulary x size weight
     matrices are broadcast, so ``min_count`` bounds what is shipped.
     Sentences longer than ``max_sentence_length`` are cut into consecutive
@@ -31,10 +31,14 @@ def word2vec(input_col: str = "tokens", vector_size: int = 100, min_count: int =
                     maxSentenceLength=max_sentence_length, windowSize=window_size)
 
 
-def parallel_word2vec(df: DataFrame, input_col: str = "tokens", **kw) -> Word2Vec:
-    """``word2vec`` trained on as many partitions as the cluster runs tasks."""
-    kw.setdefault("num_partitions", max(1, df.sparkSession.sparkContext.defaultParallelism))
-    return word2vec(input_col, **kw)
+#: Training partitions of ``parallel_word2vec`` unless the caller names another number: the
+#: fitted vectors depend on it, so it is not taken from the cluster at hand.
+TRAIN_PARTITIONS = 8
+
+
+def parallel_word2vec(df: DataFrame, input_col: str = "tokens", num_partitions: int = TRAIN_PARTITIONS, **kw) -> Word2Vec:
+    """``word2vec`` trained on ``num_partitions`` partitions."""
+    return word2vec(input_col, num_partitions=num_partitions, **kw)
 
 
 def vocabulary(df: DataFrame, tokens_col: str = "tokens", min_count: int = 5) -> DataFrame:

@@ -273,7 +273,7 @@ def _exploded(df, vec):
 
 
 def q_assemble_features(spark, sf_dir):
-    li = S.lineitem_records(spark, sf_dir, spread=True)
+    li = S.lineitem_records(spark, sf_dir)
     return _exploded(_feature_model(li, scale=False).transform(li), R.FEATURES)
 
 
@@ -284,12 +284,12 @@ def q_standard_scale(spark, sf_dir):
 
 
 def q_pipeline_features(spark, sf_dir):
-    li = S.lineitem_records(spark, sf_dir, spread=True)
+    li = S.lineitem_records(spark, sf_dir)
     return _exploded(_feature_model(li).transform(li), R.SCALED_FEATURES)
 
 
 def q_model_roundtrip(spark, sf_dir):
-    li = S.lineitem_records(spark, sf_dir, spread=True)
+    li = S.lineitem_records(spark, sf_dir)
     path = scratch_path(spark, "feature-model")
     models.load_or_fit(spark, path, features.feature_pipeline(S.LI_SYMBOLIC, S.LI_ASSEMBLER, None), li)
     loaded = models.load_pipeline(path)
@@ -297,7 +297,7 @@ def q_model_roundtrip(spark, sf_dir):
 
 
 def q_assemble_stage2(spark, sf_dir):
-    li = S.lineitem_records(spark, sf_dir, spread=True)
+    li = S.lineitem_records(spark, sf_dir)
     scaled = _feature_model(li).transform(li).select(*S.LI_ORDER, R.SCALED_FEATURES)
     arr = scaled.select(F.struct(*S.LI_ORDER).alias("_k"), V.as_double_array(scaled, R.SCALED_FEATURES).alias("_x"))
     centers = S.first_centers(arr, "_k", "_x", S.K_LINEITEM)
@@ -320,9 +320,9 @@ def q_accuracy(spark, sf_dir):
 
 
 def q_rf_fit_score(spark, sf_dir):
-    li = S.lineitem_records(spark, sf_dir, label=True, spread=True)
+    li = S.lineitem_records(spark, sf_dir, label=True)
     li = li.withColumn("rowkey", F.concat_ws("-", *[F.col(c).cast("string") for c in S.LI_KEYS])).persist()
-    try:  # the fits make several passes over the input: read (and spread) it once
+    try:  # the fits make several passes over the input: read it once
         _, _, scored = pipelines.fit_two_stage(li, S.LI_SYMBOLIC, S.LI_ASSEMBLER, S.K_LINEITEM, "rowkey")
         return pipelines.materialize(scored.select(*S.LI_KEYS, "label", R.PREDICTED_LABEL),
                                      scratch_path(spark, "rf-scored"))

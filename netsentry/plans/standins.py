@@ -36,29 +36,11 @@ K_EMBED = 5
 K_LINEITEM = 3
 
 
-# Tables whose per-row work (parsing, tokenising) is heavy enough to be
-# spread over all cores when their scan comes out as too few partitions.
-SPREAD = {"events", "documents"}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, cols: list[str] | None = None,
-          spread: bool | None = None) -> DataFrame:
-    """A test table; selecting ``cols`` here lets the scan read only them.
-    ``spread`` (default: heavy tables only) applies ``spread_scan``."""
+def table(spark: SparkSession, sf_dir: str, name: str, cols: list[str] | None = None) -> DataFrame:
+    """A test table; selecting ``cols`` here lets the scan read only them. Scan
+    parallelism is the session's (``spark.sql.files.maxPartitionBytes``)."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    df = df.select(*cols) if cols else df
-    if spread is None:
-        spread = name in SPREAD
-    return spread_scan(df) if spread else df
-
-
-def spread_scan(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the session's parallelism when the scan has
-    fewer partitions than that (a file of one row group is one task). A
-    large input already scans as many partitions and is left alone, so no
-    shuffle is added at scale."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+    return df.select(*cols) if cols else df
 
 
 # ------------------------------------------------------------------ lineitem
@@ -76,11 +58,9 @@ def lineitem_rule_prediction() -> Column:
             .otherwise(F.lit("normal.")))
 
 
-def lineitem_records(spark: SparkSession, sf_dir: str, label: bool = False, spread: bool = False) -> DataFrame:
-    """``spread=True`` for the model-fitting plans, whose per-row work
-    (vector assembly, scaling, distances, trees) outweighs one exchange."""
+def lineitem_records(spark: SparkSession, sf_dir: str, label: bool = False) -> DataFrame:
     cols = LI_KEYS + LI_SYMBOLIC + LI_NUMERIC
-    df = table(spark, sf_dir, "lineitem", cols, spread)
+    df = table(spark, sf_dir, "lineitem", cols)
     return df.withColumn("label", lineitem_label()) if label else df
 
 
@@ -139,8 +119,8 @@ def event_message(line: Column) -> Column:
             .otherwise(line))
 
 
-def events(spark: SparkSession, sf_dir: str, spread: bool | None = None) -> DataFrame:
-    return table(spark, sf_dir, "events", ["event_id", "user_id", "event_type", "value"], spread)
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events", ["event_id", "user_id", "event_type", "value"])
 
 
 def event_batch() -> Column:

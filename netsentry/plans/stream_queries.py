@@ -39,14 +39,14 @@ def _drain(stream: DataFrame, handler, checkpoint: str) -> None:
 
 
 def _event_messages(spark, sf_dir, corrupted=True):
-    ev = S.events(spark, sf_dir, spread=False)  # the message files are repartitioned anyway
+    ev = S.events(spark, sf_dir)  # the message files are repartitioned anyway
     line = S.event_line_corrupted() if corrupted else S.event_line()
     return ev.select(S.event_message(line).alias("value"))
 
 
 def _event_record_lines(spark, sf_dir):
     """One well-formed record per message (the strict hop-1 input)."""
-    return S.events(spark, sf_dir, spread=False).select(S.event_line().alias("value"))
+    return S.events(spark, sf_dir).select(S.event_line().alias("value"))
 
 
 class _ParseSink:
