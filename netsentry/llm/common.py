@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def set_aside(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with every column but ``own`` under a plain number, so that no name an operator
+    makes can clash with it, and the function that brings the columns and names back."""
+    names = docs.columns
+    plain = [n if n in own else f"_{k}" for k, n in enumerate(names)]
+    return docs.toDF(*plain), lambda out: out.select(*(F.col(p).alias(n) for p, n in zip(plain, names)))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z, every other character as it is."""
     return F.translate(c, UPPER, LOWER)

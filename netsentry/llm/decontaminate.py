@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsentry.llm.common import regroup, staged, utf8
+from netsentry.llm.common import regroup, set_aside, staged, utf8
 
 WINDOW = 10
 SHARD_BYTES = 1 << 20
@@ -164,12 +164,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text
                item: str = "item_id", item_text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit`` (words inside any occurrence of any
     window), ``hit_runs`` (first and past-last word of each run) and
-    ``hit_items`` (sorted ids, as strings, of items with an occurrence)."""
+    ``hit_items`` (sorted ids, as strings, of items with an occurrence).
+    Columns of ``docs`` with these names are replaced."""
+    extra = {"n_words": pa.int64(), "n_hit": pa.int64(), "hit_runs": pa.list_(pa.int64()), "hit_items": pa.list_(pa.string())}
+    docs = docs.drop(*extra)
     names, at = docs.columns, docs.columns.index(text)
     out = docs
-    extra = {"n_words": pa.int64(), "n_hit": pa.int64(), "hit_runs": pa.list_(pa.int64()), "hit_items": pa.list_(pa.string())}
-    if clash := set(names) & set(extra):
-        raise ValueError(f"columns {sorted(clash)} are made here; rename them first")
     for last, shard in benchmark_shards(benchmark, item, item_text, shard_bytes):
         def run(batches: Iterable[pa.RecordBatch], shard=shard, again=len(out.columns) > len(names)) -> Iterator[pa.RecordBatch]:
             patterns = Patterns(shard.value, window)
@@ -197,5 +197,6 @@ def leak_report(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the documents that hold a window of the benchmark:
-    one pass, no join."""
-    return find_leaks(docs, benchmark, window).where("n_hit = 0").select(docs.columns)
+    one pass, no join. Every column stays, whatever its name; null and empty texts stay."""
+    plain, back = set_aside(docs, "text")
+    return back(find_leaks(plain, benchmark, window).where("n_hit = 0"))

@@ -348,7 +348,8 @@ def similar_groups(docs: DataFrame, width: int, num: int, den: int, key: str = "
 
 
 def keep_first(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """``docs`` with one document (the smallest id) of each group."""
+    """``docs`` with one document (the smallest id) of each group. Rows that repeat the id
+    kept stay with it; rows without an id stay. Every column stays, whatever its name."""
     found = similar_groups(docs, width, num, den)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     if gone.count() <= BROADCAST_ROWS:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsentry.llm.common import mix, regroup, staged, utf8
+from netsentry.llm.common import mix, regroup, set_aside, staged, utf8
 
 LENGTH = 200
 GRAM = 64
@@ -294,10 +294,10 @@ def removal_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` without the repeated bytes of its texts; characters cut in part go
-    whole, ``n_chars`` is counted anew."""
+    whole, ``n_chars`` is counted anew (null texts and their counts stay null).
+    Every other column stays, whatever its name."""
+    docs, back = set_aside(docs, "doc_id", "text", "n_chars")
     names = docs.columns
-    if "row" in names or "_runs" in names:
-        raise ValueError("columns row and _runs are made here; rename yours first")
     full = numbered(docs, "doc_id")
     runs = staged(repeated_runs(full.select("row", "text"), length, gram), "runs").withColumnRenamed("runs", "_runs")
     joined = with_small(full, runs, "row", "left", 96).select(*names, "_runs")
@@ -310,4 +310,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in out], pa.int64()).cast(columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return joined.mapInArrow(cut, docs.schema)
+    return back(joined.mapInArrow(cut, docs.schema))

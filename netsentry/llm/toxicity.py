@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsentry.llm.common import id_remainder, regroup, shingle_set, staged, word_hashes
+from netsentry.llm.common import id_remainder, regroup, set_aside, shingle_set, staged, word_hashes
 from netsentry.llm.decontaminate import words_of
 
 PER_CLASS = 4000
@@ -219,10 +219,9 @@ def scored_table(part: pa.Table, index: Index, text: str) -> tuple[list[float],
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, index: Index | None = None) -> DataFrame:
     """``docs`` with ``toxic_score`` (0 to 1), ``toxic_examples`` (ids of the
-    nearest toxic examples) and ``toxic_terms``."""
+    nearest toxic examples) and ``toxic_terms``. Columns of ``docs`` with these names are replaced."""
+    docs = docs.drop("toxic_score", "toxic_examples", "toxic_terms")
     names = docs.columns
-    if clash := set(names) & {"toxic_score", "toxic_examples", "toxic_terms"}:
-        raise ValueError(f"columns {sorted(clash)} are made here; rename them first")
     shared = docs.sparkSession.sparkContext.broadcast(index if index is not None else learn(docs, labels))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,5 +235,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, index: Index | None = Non
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` without the documents scored ``least`` or more."""
-    return score_toxicity(docs, labels).where(F.col("toxic_score") < least).select(docs.columns)
+    """``docs`` without the documents scored ``least`` or more. Every column stays, whatever
+    its name; null and empty texts are scored as empty."""
+    plain, back = set_aside(docs, "doc_id", "text")
+    return back(score_toxicity(plain, labels).where(F.col("toxic_score") < least))

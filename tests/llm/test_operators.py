@@ -230,3 +230,13 @@ def test_empty_tables(spark):
     assert licenses.scan_licenses(docs).count() == 0
     assert decontaminate.find_leaks(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert embedding_join.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_text.extract_text(pages).count() == 0 and url_filter.judge_urls(pages, url_filter.RULES).count() == 0
+
+
+def test_clashing_names_are_replaced(spark):
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    docs = documents(spark, ["a b", None]).withColumns({c: F.lit("old") for c in ("toxic_score", "n_hit", "hit_items")})
+    assert dict(toxicity.score_toxicity(docs, labels).dtypes)["toxic_score"] == "double"
+    found = decontaminate.find_leaks(docs, spark.createDataFrame([(1, "b")], "item_id long, text string"))
+    assert found.columns.count("n_hit") == 1 and {r.doc_id: (r.n_hit, r.name) for r in found.collect()} == {0: (1, "y"), 1: (0, "y")}
