@@ -1,11 +1,13 @@
 """Vector expressions on ``array<double>`` columns.
 
-Everything here returns a ``Column``. Small arithmetic (dot products with a
-literal, distances for tiny k*dim) is plain Spark arithmetic compiled by
-whole-stage codegen; distances to k centres of width dim run per Arrow batch
-in numpy (a pandas UDF: one call per batch of thousands of rows, never per
+Everything here returns a ``Column``. Dot products with a literal are plain
+Spark arithmetic compiled by whole-stage codegen; distances to k centres of width dim run per Arrow batch
+in numpy (an Arrow UDF: one call per batch of thousands of rows, never per
 row), which measured ~10x faster than Spark's interpreted higher-order
-functions at k = 30, dim = 64; the higher-order form is kept as ``mode="hof"``.
+functions at k = 30, dim = 64. The higher-order and the unrolled form are modes that a caller may
+name; no size switches between them, and all keep one contract: a null vector or
+one of another width fails the job, a null or NaN component makes every distance NaN
+(nearest centre 0, the lowest of equals).
 ``pyspark.ml`` vectors are converted at the edges with ``vector_to_array`` /
 ``array_to_vector``.
 
@@ -19,17 +21,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
-
-# Up to this many k*dim terms the distances are plain codegen arithmetic;
-# above it the Arrow-batched numpy form takes over.
-UNROLL_LIMIT = 48
+from pyspark.sql.functions import arrow_udf
 
 
 def _col(c) -> Column:
@@ -75,7 +73,7 @@ def sq_distance_to(vec, center: Sequence[float]) -> Column:
     v = _col(vec)
     terms = []
     for i, c in enumerate(center):
-        d = v[i] - F.lit(float(c))
+        d = F.coalesce(v[i], F.lit(float("nan"))) - F.lit(float(c))
         terms.append(d * d)
     return _balanced_sum(terms) if terms else F.lit(0.0)
 
@@ -87,10 +85,9 @@ def _centers_matrix(centers: Sequence[Sequence[float]]):
     return c
 
 
-def _stack(s):
-    if len(s) == 0:
-        return None
-    return np.stack(s.to_numpy()).astype(float, copy=False)
+def _matrix(v: pa.Array, dim: int) -> np.ndarray:
+    """The n x dim numbers of checked vectors; null components are NaN."""
+    return v.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(v), dim)
 
 
 def _sqdist_matrix(x, c):
@@ -106,43 +103,33 @@ def _sqdist_matrix(x, c):
 def _vectorized_distances(vec: Column, centers: Sequence[Sequence[float]]) -> Column:
     c = _centers_matrix(centers)
 
-    @pandas_udf("array<double>")
-    def sq_dist(s: pd.Series) -> pd.Series:
-        x = _stack(s)
-        if x is None:
-            return pd.Series([], dtype=object)
-        if x.shape[1] != c.shape[1]:
-            raise ValueError(f"vector width {x.shape[1]} does not match centre width {c.shape[1]}")
-        return pd.Series(list(_sqdist_matrix(x, c)))
+    @arrow_udf("array<double>")
+    def sq_dist(v: pa.Array) -> pa.Array:
+        d = _sqdist_matrix(_matrix(v, c.shape[1]), c)
+        return pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * c.shape[0], d.reshape(-1))
 
-    return sq_dist(vec)
+    return sq_dist(checked_width(vec, c.shape[1]))
 
 
 def nearest_center_of(vec, centers: Sequence[Sequence[float]]) -> Column:
     """Index of the nearest centre (int, ties to the lowest index), computed
     per Arrow batch with numpy; only an int leaves the Python worker."""
     c = _centers_matrix(centers)
-    if c.size <= UNROLL_LIMIT:
-        return nearest_center(sq_distances(vec, centers, "unrolled"))
-
-    @pandas_udf("int")
-    def nearest(s: pd.Series) -> pd.Series:
-        x = _stack(s)
-        if x is None:
-            return pd.Series([], dtype="int32")
-        if x.shape[1] != c.shape[1]:
-            raise ValueError(f"vector width {x.shape[1]} does not match centre width {c.shape[1]}")
-        return pd.Series(np.argmin(_sqdist_matrix(x, c), axis=1).astype("int32"))
+
+    @arrow_udf("int")
+    def nearest(v: pa.Array) -> pa.Array:
+        return pa.array(np.argmin(_sqdist_matrix(_matrix(v, c.shape[1]), c), axis=1).astype(np.int32))
 
     # Non-nullable result: a join or filter on the cluster id then infers no
-    # IsNotNull predicate that would run the UDF a second time below it.
-    return F.coalesce(nearest(_col(vec)), F.lit(-1))
+    # IsNotNull predicate that would run the UDF a second time below it. The
+    # checked vector is never null, so -1 is never seen.
+    return F.coalesce(nearest(checked_width(vec, c.shape[1])), F.lit(-1))
 
 
-def sq_distances(vec, centers: Sequence[Sequence[float]], mode: str = "auto") -> Column:
+def sq_distances(vec, centers: Sequence[Sequence[float]], mode: str = "vectorized") -> Column:
     """Array of squared distances of ``vec`` to every centre; slot i is centre i.
 
-    * ``vectorized`` (default): an Arrow-batched pandas UDF doing the k x dim
+    * ``vectorized`` (default): an Arrow UDF doing the k x dim
       arithmetic in numpy over whole batches - about 10x faster than the
       interpreted higher-order functions at k = 30, dim = 64;
     * ``hof``: ``transform``/``zip_with``/``aggregate`` over a literal centre
@@ -152,26 +139,32 @@ def sq_distances(vec, centers: Sequence[Sequence[float]], mode: str = "auto") ->
     """
     centers = [list(map(float, c)) for c in centers]
     _centers_matrix(centers)
-    if mode == "auto":
-        mode = "unrolled" if len(centers) * len(centers[0]) <= UNROLL_LIMIT else "vectorized"
-    v = _col(vec)
+    v, dim = _col(vec), len(centers[0])
     if mode == "vectorized":
         return _vectorized_distances(v, centers)
     if mode == "unrolled":
-        return F.array(*[sq_distance_to(v, c) for c in centers])
+        return F.when(F.size(v) == dim, F.array(*[sq_distance_to(v, c) for c in centers])).otherwise(_wrong_width(v, dim))
     if mode != "hof":
         raise ValueError(f"unknown mode {mode}")
+    checked = checked_width(v, dim)
     return F.transform(
         centers_literal(centers),
-        lambda c: F.aggregate(F.zip_with(v, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x),
+        lambda c: F.aggregate(F.zip_with(checked, c, lambda a, b: _squared(F.coalesce(a, F.lit(float("nan"))) - b)), F.lit(0.0), lambda acc, x: acc + x),
     )
 
 
+def _squared(d: Column) -> Column:
+    return d * d
+
+
+def _wrong_width(v: Column, dim: int) -> Column:
+    return F.raise_error(F.concat(F.lit(f"vector width must be {dim}, got "), F.when(v.isNull(), F.lit("null")).otherwise(F.size(v).cast("string"))))
+
+
 def checked_width(vec, dim: int) -> Column:
     """``vec`` unchanged, or a run-time error if its width is not ``dim``."""
     v = _col(vec)
-    return F.when(F.size(v) == dim, v).otherwise(
-        F.raise_error(F.concat(F.lit(f"vector width must be {dim}, got "), F.size(v).cast("string"))))
+    return F.when(F.size(v) == dim, v).otherwise(_wrong_width(v, dim))
 
 
 def nearest_center(distances) -> Column:

@@ -33,7 +33,7 @@ def centers_of(model) -> list[list[float]]:
 
 
 def with_distances(df: DataFrame, vec: str, centers: Sequence[Sequence[float]],
-                   out: str = "distanceToCentersVector", as_vector: bool = False, mode: str = "auto") -> DataFrame:
+                   out: str = "distanceToCentersVector", as_vector: bool = False, mode: str = "vectorized") -> DataFrame:
     """append squared distances to every centre (slot i = centre i)."""
     arr = V.as_double_array(df, vec)
     d = V.sq_distances(arr, centers, mode)
@@ -41,22 +41,22 @@ def with_distances(df: DataFrame, vec: str, centers: Sequence[Sequence[float]],
 
 
 def assign(df: DataFrame, vec: str, centers: Sequence[Sequence[float]], out: str = "cluster",
-           keep_distances: bool = False, dist_col: str = "_ns_d", mode: str = "auto") -> DataFrame:
+           keep_distances: bool = False, dist_col: str = "_ns_d", mode: str = "vectorized") -> DataFrame:
     """M3: nearest centre (int, ties to the lowest id)."""
-    if not keep_distances and mode not in ("hof", "unrolled"):
+    if not keep_distances and mode == "vectorized":
         return df.withColumn(out, V.nearest_center_of(V.as_double_array(df, vec), centers))
     out_df = with_distances(df, vec, centers, dist_col, mode=mode).withColumn(out, V.nearest_center(dist_col))
     return out_df if keep_distances else out_df.drop(dist_col)
 
 
-def cluster_cost(df: DataFrame, vec: str, centers: Sequence[Sequence[float]], mode: str = "auto") -> DataFrame:
+def cluster_cost(df: DataFrame, vec: str, centers: Sequence[Sequence[float]], mode: str = "vectorized") -> DataFrame:
     """Per cluster: points and sum of squared distances to their centre."""
     d = with_distances(df.select(vec), vec, centers, "_ns_d", mode=mode)
     return d.select(V.nearest_center("_ns_d").alias("cluster"), F.array_min("_ns_d").alias("_ns_m")) \
         .groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("_ns_m").alias("cost"))
 
 
-def wssse(df: DataFrame, vec: str, centers: Sequence[Sequence[float]], mode: str = "auto") -> DataFrame:
+def wssse(df: DataFrame, vec: str, centers: Sequence[Sequence[float]], mode: str = "vectorized") -> DataFrame:
     """A3: one row, the sum over all points of the squared distance to the
     nearest centre (the old ``computeCost``), for any data, not only the
     training set."""
@@ -65,7 +65,7 @@ def wssse(df: DataFrame, vec: str, centers: Sequence[Sequence[float]], mode: str
                   F.count(F.lit(1)).alias("n"))
 
 
-def lloyd_stats(df: DataFrame, vec: str, centers: Sequence[Sequence[float]], mode: str = "auto") -> DataFrame:
+def lloyd_stats(df: DataFrame, vec: str, centers: Sequence[Sequence[float]], mode: str = "vectorized") -> DataFrame:
     """Per-cluster count and slot sums for the current centres: at most k
     rows (cluster, n, sums). Assignment runs per Arrow batch; the sums are a
     ``Summarizer`` aggregate, combined map-side, so the shuffle carries k rows
@@ -81,7 +81,7 @@ def lloyd_stats(df: DataFrame, vec: str, centers: Sequence[Sequence[float]], mod
         .select("cluster", "n", vector_to_array("_s").alias("sums"))
 
 
-def lloyd_step(df: DataFrame, vec: str, centers: Sequence[Sequence[float]], mode: str = "auto") -> DataFrame:
+def lloyd_step(df: DataFrame, vec: str, centers: Sequence[Sequence[float]], mode: str = "vectorized") -> DataFrame:
     """One Lloyd iteration as a DataFrame of (cluster, n, center).
 
     A cluster with no points keeps its centre (n = 0).
@@ -98,7 +98,7 @@ def lloyd_step(df: DataFrame, vec: str, centers: Sequence[Sequence[float]], mode
 
 
 def lloyd_fit(df: DataFrame, vec: str, centers: Sequence[Sequence[float]], max_iter: int = 20,
-              tol: float = 1e-4, mode: str = "auto") -> tuple[list[list[float]], list[float]]:
+              tol: float = 1e-4, mode: str = "vectorized") -> tuple[list[list[float]], list[float]]:
     """Plain Lloyd iterations from given centres; returns (centres, cost per
     iteration). Each iteration is one distributed aggregate; only k rows come
     back. The input is persisted once for the whole loop."""

@@ -109,5 +109,6 @@ def linreg_fold(df: DataFrame, vec: str, label: str, batch_col: str, weights: Se
 
 
 def linreg_predict(vec, weights: Sequence[float]) -> Column:
-    """``w . x`` with literal weights (codegen arithmetic)."""
-    return V.dot_literal(vec, weights)
+    """``w . x`` with literal weights (codegen arithmetic); a vector of
+    another width than the weights fails the job."""
+    return V.dot_literal(V.checked_width(vec, len(weights)), weights)

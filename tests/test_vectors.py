@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -53,3 +55,21 @@ def test_cosine_and_dot(spark):
     got = [round(r[0], 12) for r in df.select(V.cosine_similarity("a", "b")).collect()]
     assert got == [0.0, 1.0, 0.0]
     assert [r[0] for r in df.select(V.dot_literal("a", [2.0, 3.0])).collect()] == [2.0, 5.0, 0.0]
+
+
+@pytest.mark.parametrize("dim", [1, 7, 48, 49, 64])
+def test_one_contract_in_every_mode(spark, dim):
+    centers = [[0.0] * dim, [1.0] * dim]
+    nan = [float("nan")] + [1.0] * (dim - 1)
+    good = spark.createDataFrame([(0, [1.0] * dim), (1, nan), (2, [None] + nan[1:])], "id int, x array<double>").orderBy("id")
+    for mode in ("vectorized", "hof", "unrolled"):
+        rows = [r[0] for r in good.select(V.sq_distances("x", centers, mode)).collect()]
+        assert rows[0] == [float(dim), 0.0] and all(math.isnan(d) for r in rows[1:] for d in r), mode
+        assert [r[0] for r in good.select(V.nearest_center(V.sq_distances("x", centers, mode))).collect()] == [1, 0, 0]
+        for bad in (None, [1.0] * (dim - 1), [1.0] * (dim + 1)):
+            with pytest.raises(Exception, match="vector width must be"):
+                spark.createDataFrame([(bad,)], "x array<double>").select(V.sq_distances("x", centers, mode)).collect()
+    assert [r[0] for r in good.select(V.nearest_center_of("x", centers)).collect()] == [1, 0, 0]
+    for bad in (None, [1.0] * (dim - 1), [1.0] * (dim + 1)):
+        with pytest.raises(Exception, match="vector width must be"):
+            spark.createDataFrame([(bad,)], "x array<double>").select(V.nearest_center_of("x", centers)).collect()
