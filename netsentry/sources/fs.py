@@ -17,6 +17,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """Make an empty file at ``path``."""
+    fs, p = _fs_and_path(spark, path)
+    fs.create(p, True).close()
+
+
 def committed(spark: SparkSession, path: str) -> bool:
     """True when ``path`` holds a finished Spark write (``_SUCCESS`` marker)."""
     return exists(spark, path.rstrip("/") + "/_SUCCESS")

@@ -7,9 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from netsentry.sources import fs
 
+MARKER = ".complete"
+
+
+def _spark() -> SparkSession:
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+
 
 def save(model, path: str) -> None:
+    """Save, then write the marker that says the whole model is there."""
+    path = path.rstrip("/")
+    if fs.exists(_spark(), path + MARKER):
+        fs.delete(_spark(), path + MARKER)
     model.write().overwrite().save(path)
+    fs.touch(_spark(), path + MARKER)
 
 
 def load_pipeline(path: str) -> PipelineModel:
@@ -20,9 +31,10 @@ def load_or_fit(spark: SparkSession, path: str, pipeline, df: DataFrame) -> Pipe
     """Load the model at ``path`` if one was saved there, else fit and save.
 
     The check goes through Hadoop's ``FileSystem``, so ``path`` may be on
-    any shared store; a half-written model (no metadata) is refitted.
+    any shared store. The marker beside the model is written last: a
+    half-written model has none and is refitted over.
     """
-    if fs.exists(spark, path.rstrip("/") + "/metadata/_SUCCESS") or fs.exists(spark, path.rstrip("/") + "/metadata"):
+    if fs.exists(spark, path.rstrip("/") + MARKER):
         return PipelineModel.load(path)
     model = pipeline.fit(df)
     save(model, path)

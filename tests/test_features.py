@@ -90,3 +90,17 @@ def test_stream_specs():
     assert kafka.kafka_sink_options("b:1", "mid") == {"kafka.bootstrap.servers": "b:1", "topic": "mid"}
     f = kafka.file_source("/x", max_files_per_trigger=3)
     assert f.options == {"maxFilesPerTrigger": "3"} and f.schema == "value string"
+
+
+def test_half_written_model_is_refitted(spark, scratch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StringIndexer
+
+    from netsentry.sources import models
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "s string, v double")
+    pipeline = Pipeline(stages=[StringIndexer(inputCol="s", outputCol="i")])
+    path = f"{scratch}/model"
+    spark.createDataFrame([("half",)], "value string").write.text(f"{path}/metadata")
+    models.load_or_fit(spark, path, pipeline, df)
+    again = models.load_or_fit(spark, path, None, df)  # loaded: nothing to fit
+    assert [r.i for r in again.transform(df).orderBy("s").collect()] == [0.0, 1.0]
