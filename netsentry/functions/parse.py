@@ -56,7 +56,8 @@ def parse_records(df: DataFrame, schema: T.StructType, col: str = "line", mode:
     """Split ``col`` on ``sep`` and cast by position into ``schema``.
 
     * ``strict``: a short row or a bad number fails the job (like the
-      original's exceptions); extra fields are ignored. Returns (rows, None).
+      original's exceptions), whichever columns the caller goes on to use;
+      extra fields are ignored. Returns (rows, None).
     * ``lenient``: failing rows are dropped from the result and returned
       as a second frame (``keep`` columns + the raw line + a reason) instead
       of being logged. Returns (rows, rejects).
@@ -69,31 +70,34 @@ def parse_records(df: DataFrame, schema: T.StructType, col: str = "line", mode:
     for i, f in enumerate(schema.fields):
         raw = F.get(F.col(parts), i)  # null past the end, whatever the ANSI setting
         val = raw if isinstance(f.dataType, T.StringType) else raw.try_cast(f.dataType)
-        if mode == "strict" and not isinstance(f.dataType, T.StringType):
-            val = F.when(val.isNotNull(), val).otherwise(F.raise_error(F.concat(
-                F.lit(f"cannot parse field {i} ({f.name}) as {f.dataType.simpleString()}: "),
-                F.coalesce(F.col("_ns_line"), F.lit("<null>")))))
         fields.append(val.alias(f.name))
-    if mode == "strict":
-        short = F.size(F.col(parts)) < n
-        guarded = base.select(*keep, "_ns_line", F.when(short, F.raise_error(F.concat(
-            F.lit(f"record has fewer than {n} fields: "), F.col("_ns_line")))).otherwise(F.col(parts)).alias(parts))
-        return guarded.select(*keep, *fields), None
-    if mode != "lenient":
+    if mode not in ("strict", "lenient"):
         raise ValueError(f"mode must be strict or lenient, not {mode}")
     # One pass over the pieces decides the row: the check references the
     # split array once, so a filter pushed below the projection re-splits
     # the line once, not once per field.
-    kinds = F.array(*[F.lit(0 if isinstance(f.dataType, T.StringType) else 1) for f in schema.fields])
+    types = list(dict.fromkeys(f.dataType for f in schema.fields if not isinstance(f.dataType, T.StringType)))
+    kinds = F.array(*[F.lit(0 if isinstance(f.dataType, T.StringType) else 1 + types.index(f.dataType)) for f in schema.fields])
+
+    def unreadable(p: Column, k: Column) -> Column:
+        bad = F.lit(False)
+        for i, t in enumerate(types):  # each field by its own type
+            bad = bad | ((k == i + 1) & p.try_cast(t).isNull())
+        return bad
+
     reason = F.aggregate(
         F.zip_with(F.col(parts), kinds, lambda p, k: F.when(k.isNull(), F.lit(0))
                    .when(p.isNull(), F.lit(2))
-                   .when((k == 1) & p.try_cast("double").isNull(), F.lit(1)).otherwise(F.lit(0))),
+                   .when(unreadable(p, k), F.lit(1)).otherwise(F.lit(0))),
         F.lit(0), lambda acc, x: F.greatest(acc, x))
     # code 0 ok / 1 bad number / 2 short (a null line has no pieces: short),
     # mapped through a literal so the split is still referenced once
     reason = F.element_at(F.array(F.lit(None).cast("string"), F.lit("bad_number"), F.lit("short")),
                           F.coalesce(reason, F.lit(2)) + 1)
+    if mode == "strict":
+        # A filter, which column pruning cannot take away.
+        message = F.concat(F.lit("cannot read the record ("), reason, F.lit(f"; {n} fields wanted): "), F.coalesce(F.col("_ns_line"), F.lit("<null>")))
+        return base.filter(F.when(reason.isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))).select(*keep, *fields), None
     tagged = base.withColumn("_ns_reason", reason).select(*keep, "_ns_line", "_ns_reason", *fields)
     good = tagged.filter(F.col("_ns_reason").isNull()).select(*keep, *[f.name for f in schema.fields])
     rejects = tagged.filter(F.col("_ns_reason").isNotNull()).select(
@@ -116,16 +120,19 @@ _SPARSE_RE = r"^\(\s*(\d+)\s*,\s*\[([^\]]*)\]\s*,\s*\[([^\]]*)\]\s*\)$"
 _SPARSE_JSON = '{"n":$1,"i":[$2],"v":[$3]}'
 
 
-def parse_vector(c) -> Column:
+def parse_vector(c, mode: str = "strict") -> Column:
     """ml/mllib vector text to a dense ``array<double>``.
 
     A dense ``[x1,..,xn]`` text is a JSON array of numbers (``1.0E-5``,
     ``NaN`` and ``Infinity`` included), so it goes through ``from_json`` -
     the JVM's JSON parser, no per-element lambda. A sparse
     ``(n,[i1,..],[v1,..])`` text is rewritten to a JSON object, parsed the
-    same way and densified with a map lookup per slot. Anything else gives
-    null.
+    same way and densified with a map lookup per slot. Any other text, a null
+    component, and sparse indices outside the width or not one per value fail the job
+    (``strict``) or give null (``lenient``). A null text gives null.
     """
+    if mode not in ("strict", "lenient"):
+        raise ValueError(f"mode must be strict or lenient, not {mode}")
     s = F.trim(_col(c))
     dense = F.from_json(s, "array<double>", {"allowNonNumericNumbers": "true"})
     sp = F.from_json(F.regexp_replace(s, _SPARSE_RE, _SPARSE_JSON), "struct<n:int,i:array<int>,v:array<double>>")
@@ -133,7 +140,12 @@ def parse_vector(c) -> Column:
         F.map_from_arrays(sp["i"], sp["v"]),
         lambda m: F.transform(F.sequence(F.lit(0), sp["n"] - 1),
                               lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)))))
-    return F.when(s.startswith("["), dense).when(s.rlike(_SPARSE_RE), sparse)
+    inside = (F.size(sp["i"]) == F.size(sp["v"])) & F.forall(sp["i"], lambda i: i.isNotNull() & (i >= 0) & (i < sp["n"]))
+    bad = F.lit(None).cast("array<double>")
+    if mode == "strict":
+        bad = F.when(s.isNotNull(), F.raise_error(F.concat(F.lit("not a vector: "), s)).cast("array<double>"))
+    parsed = F.when(s.startswith("["), dense).when(s.rlike(_SPARSE_RE), F.when(inside, sparse))
+    return _let(parsed, lambda x: F.when(x.isNull() | F.exists(x, lambda v: v.isNull()), bad).otherwise(x))
 
 
 # --------------------------------------------------------------------- P8
@@ -141,7 +153,8 @@ def parse_labeled_point(c) -> Column:
     """Labelled point text to ``struct<label double, features array<double>>``.
 
     Accepts ``(y,[x..])``, ``(y,(n,[i..],[v..]))``, the legacy
-    ``y,x1 x2 ..`` form and the ``(y), [x..]`` variant.
+    ``y,x1 x2 ..`` form and the ``(y), [x..]`` variant. A label or vector
+    that is not one fails the job; a null text gives nulls.
     """
     def parse(s):
         variant = s.rlike(r"^\([^,]*\)\s*,")
@@ -154,7 +167,8 @@ def parse_labeled_point(c) -> Column:
             .otherwise(F.regexp_extract(s, r"^[^,]*,(.*)$", 1))
         features = F.when(wrapped | variant, parse_vector(vec_txt)) \
             .otherwise(parse_dense_vector(F.trim(vec_txt)))
-        return F.struct(F.trim(label).try_cast("double").alias("label"), features.alias("features"))
+        number = F.coalesce(F.trim(label).try_cast("double"), F.raise_error(F.concat(F.lit("not a labelled point: "), s)).cast("double"))
+        return F.struct(F.when(s.isNotNull(), number).alias("label"), features.alias("features"))
     return _let(F.trim(_col(c)), parse)
 
 

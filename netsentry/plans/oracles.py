@@ -94,6 +94,10 @@ PARSE_DENSE_VECTOR = f"WITH {_EMB_PTS} SELECT vec_id, slot, x AS value FROM pts"
 PARSE_VECTOR_TEXT = f"WITH {_EMB_PTS} SELECT vec_id, slot, {_SPARSE_X} AS value FROM pts"
 PARSE_LABELED_POINT = f"WITH {_EMB_PTS} SELECT vec_id, CAST(label AS DOUBLE) AS label, slot, {_SPARSE_X} AS value FROM pts"
 SPLIT_KEY_VECTOR = f"WITH {_EMB_PTS} SELECT vec_id, 't' || vec_id || ' src' || label || ' dst' AS key, slot, x AS value FROM pts"
+HOP2_REJECTS = """SELECT vec_id, CASE WHEN vec_id % 7 = 2 THEN 'no_key' ELSE 'bad_vector' END AS reason,
+       CASE vec_id % 7 WHEN 0 THEN 'k' || vec_id || ' [1.0,x]' WHEN 1 THEN 'k' || vec_id || ' (3,[5],[1.0])' END AS value
+FROM embeddings WHERE vec_id % 7 IN (0, 1, 2)"""
+HOP2_VECTORS = SPLIT_KEY_VECTOR + " WHERE vec_id % 7 NOT IN (0, 1, 2)"
 FORMAT_VECTOR_MESSAGE = """SELECT vec_id, CAST(4 AS INTEGER) AS n_tokens, 't' || vec_id || ' src' || label || ' dst' AS head,
        CAST(len(embedding) AS INTEGER) AS width FROM embeddings"""
 TOKENIZE = """SELECT doc_id, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos, unnest(t) AS token
@@ -325,6 +329,8 @@ ORACLES = {
     "parse_labeled_point": PARSE_LABELED_POINT,
     "format_vector_message": FORMAT_VECTOR_MESSAGE,
     "split_key_vector": SPLIT_KEY_VECTOR,
+    "hop2_rejects": HOP2_REJECTS,
+    "hop2_vectors": HOP2_VECTORS,
     "tokenize": TOKENIZE,
     "symbolic_cardinality": SYMBOLIC_CARDINALITY,
     "symbolic_cardinality_approx": SYMBOLIC_CARDINALITY,

@@ -18,6 +18,7 @@ from netsentry.plans import standins as S
 from netsentry.session import scratch_path
 from netsentry.sources import files, models
 from netsentry.streaming import kmeans as SK
+from netsentry.streaming import topology
 
 
 def r9(c) -> F.Column:
@@ -177,6 +178,26 @@ def q_split_key_vector(spark, sf_dir):
         .select("vec_id", "key", F.col("slot").cast("int"), "value")
 
 
+def _spoiled(spark, sf_dir):
+    """Keyed vector messages, some of them no keyed vectors: by id, a word among the
+    numbers, a sparse index outside the width, or no key."""
+    m = F.pmod(F.col("vec_id"), F.lit(7))
+    return _messages(spark, sf_dir).select("vec_id", F.when(m == 0, F.concat(F.lit("k"), "vec_id", F.lit(" [1.0,x]")))
+                                           .when(m == 1, F.concat(F.lit("k"), "vec_id", F.lit(" (3,[5],[1.0])")))
+                                           .when(m == 2, F.element_at(P.tokenize("msg"), -1)).otherwise(F.col("msg")).alias("value"))
+
+
+def q_hop2_rejects(spark, sf_dir):
+    return topology.hop2_tagged(_spoiled(spark, sf_dir), ["vec_id"]).where("reason is not null").select("vec_id", "reason", "value") \
+        .withColumn("value", F.when(F.col("reason") == "bad_vector", F.col("value")))
+
+
+def q_hop2_vectors(spark, sf_dir):
+    """The good messages' vectors, whole."""
+    good = topology.hop2_tagged(_spoiled(spark, sf_dir), ["vec_id"]).where("reason is null")
+    return good.select("vec_id", "key", F.posexplode("x").alias("slot", "value")).select("vec_id", "key", F.col("slot").cast("int"), "value")
+
+
 def q_tokenize(spark, sf_dir):
     docs = S.table(spark, sf_dir, "documents", ["doc_id", "text"])
     return docs.select("doc_id", F.posexplode(P.tokenize("text")).alias("pos", "token")) \
@@ -461,6 +482,8 @@ QUERIES = {
     "parse_labeled_point": q_parse_labeled_point,
     "format_vector_message": q_format_vector_message,
     "split_key_vector": q_split_key_vector,
+    "hop2_rejects": q_hop2_rejects,
+    "hop2_vectors": q_hop2_vectors,
     "tokenize": q_tokenize,
     # features, metrics
     "symbolic_cardinality": q_symbolic_cardinality,

@@ -63,21 +63,39 @@ class Hop1:
             .write.mode("overwrite").parquet(f"{self.mid}/hop1_batch={int(batch_id)}")
 
 
+def hop2_tagged(batch: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Intermediate messages as (keep, ``value``, ``key``, ``x``, ``reason``): the reason is null for
+    a good message, ``no_key`` or ``bad_vector`` (a null ``x``) otherwise."""
+    keep = keep or []
+    kv = batch.select(*keep, "value", *P.split_key_vector("value", "key", "vt"))
+    return kv.select(*keep, "value", "key", P.parse_vector("vt", "lenient").alias("x")).withColumn(
+        "reason", F.when(F.col("key").isNull(), "no_key").when(F.col("x").isNull(), "bad_vector"))
+
+
 def hop2_vectors(batch: DataFrame) -> DataFrame:
-    """Intermediate messages to (key, x); lines without a key are dropped."""
-    kv = batch.select(*P.split_key_vector("value", "key", "vt"))
-    return kv.filter(F.col("key").isNotNull()).select("key", P.parse_vector("vt").alias("x")) \
-        .filter(F.col("x").isNotNull())
+    """Intermediate messages to (key, x); a message without a key or a vector fails the job."""
+    kv = batch.select(*P.split_key_vector("value", "key", "vt"), "value")
+    key = F.coalesce("key", F.raise_error(F.concat(F.lit("not a keyed vector: "), F.coalesce("value", F.lit("<null>")))).cast("string"))
+    return kv.select(key.alias("key"), P.parse_vector("vt").alias("x"))
 
 
 class Hop2:
-    """Streaming k-means on hop-2 vectors, keyed by the message key."""
+    """Streaming k-means on hop-2 vectors, keyed by the message key. With ``rejects_path``,
+    messages that are no keyed vectors are written there per batch; without, they fail the job."""
 
-    def __init__(self, model: StreamingKMeans):
-        self.model = model
+    def __init__(self, model: StreamingKMeans, rejects_path: str | None = None):
+        self.model, self.rejects = model, rejects_path and rejects_path.rstrip("/")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        self.model.foreach_batch(hop2_vectors(batch), batch_id)
+        if self.rejects is None:
+            self.model.foreach_batch(hop2_vectors(batch), batch_id)
+            return
+        tagged = hop2_tagged(batch).persist()  # parsed once for both outputs
+        try:
+            tagged.where("reason is not null").select("value", "reason").write.mode("overwrite").parquet(f"{self.rejects}/hop2_batch={int(batch_id)}")
+            self.model.foreach_batch(tagged.where("reason is null").select("key", "x"), batch_id)
+        finally:
+            tagged.unpersist()
 
 
 def assignment_lines(assignments: DataFrame) -> DataFrame:

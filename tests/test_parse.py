@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from netsentry.functions import parse as P
@@ -52,7 +53,7 @@ def test_lenient_parse_splits_rejects(spark):
 def test_parse_vector_dense_sparse(spark):
     df = spark.createDataFrame([("[1.0,2.5,-3.0]",), ("(4,[0,3],[7.0,1.5])",), ("(3,[],[])",), ("[]",),
                                 ("(0,[],[])",), ("junk",)], "t string")
-    got = [r[0] for r in df.select(P.parse_vector("t")).collect()]
+    got = [r[0] for r in df.select(P.parse_vector("t", "lenient")).collect()]
     assert got == [[1.0, 2.5, -3.0], [7.0, 0.0, 0.0, 1.5], [0.0, 0.0, 0.0], [], [], None]
 
 
@@ -107,3 +108,28 @@ def test_vector_text_auto_form(spark):
                      "a").collect()
     assert rows[0]["t"] == "(5,[4],[2.0])" and rows[1]["t"] == "[1.0,2.0,0.0]"
     assert all(r["b"] == r["a"] for r in rows)
+
+
+@pytest.mark.parametrize("text", ["junk", "[1.0,null]", "[1.0,x]", "(3,[5],[1.0])", "(3,[-1],[1.0])", "(3,[0,1],[1.0])"])
+def test_bad_vectors_fail_or_are_null(spark, text):
+    df = spark.createDataFrame([(text,), (None,)], "t string")
+    assert [r[0] for r in df.select(P.parse_vector("t", "lenient")).collect()] == [None, None]
+    assert df.where("t is null").select(P.parse_vector("t")).first()[0] is None
+    with pytest.raises(Exception, match="not a vector"):
+        df.select(P.parse_vector("t")).collect()
+
+
+def test_bad_label_fails(spark):
+    with pytest.raises(Exception, match="not a labelled point"):
+        spark.createDataFrame([("(x,[1.0])",)], "t string").select(P.parse_labeled_point("t")).collect()
+
+
+def test_strict_fails_under_any_projection(spark):
+    schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.IntegerType()), T.StructField("c", T.DoubleType())])
+    for bad in ("x,y,1.0", "x,1.5,1.0", "x,1", None):
+        rows, _ = P.parse_records(_lines(spark, "x,1,2.0", bad), schema, "line", "strict")
+        for use in (lambda: rows.count(), lambda: rows.select("a").collect()):
+            with pytest.raises(Exception, match="cannot read the record"):
+                use()
+        good, rejects = P.parse_records(_lines(spark, "x,1,2.0", bad), schema, "line", "lenient")
+        assert good.collect() == [("x", 1, 2.0)] and [r.line for r in rejects.collect()] == [bad]
