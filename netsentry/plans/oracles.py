@@ -267,6 +267,7 @@ SELECT 't' || e.event_id || ' u' || e.user_id || ' ' || e.event_type AS key,
        CAST(CASE WHEN (e.value - st.c0) * (e.value - st.c0) <= (e.value - st.c1) * (e.value - st.c1)
             THEN 0 ELSE 1 END AS INTEGER) AS cluster
 FROM events e JOIN st ON st.step = e.event_id % {S.N_BATCHES} + 1"""
+ASSIGNMENT_LINES = f"SELECT key || ' ' || cluster AS value FROM ({TWO_HOP_CLUSTER})"
 _STEP = _kmeans_cte(0.0, 50.0, 1.0, 1.0, 0.5, 1, "0")
 STREAM_KMEANS_STEP = f"""WITH RECURSIVE {_STEP}
 SELECT CAST(cluster AS INTEGER) AS cluster, round(weight, 6) AS weight, round(center, 6) AS center
@@ -352,6 +353,7 @@ ORACLES = {
     "stream_kmeans_assign": STREAM_KMEANS_ASSIGN,
     "stream_kmeans_stream": STREAM_KMEANS_ASSIGN,
     "two_hop_cluster": TWO_HOP_CLUSTER,
+    "assignment_lines": ASSIGNMENT_LINES,
     "stream_linreg_fold": STREAM_LINREG_FOLD,
     "stream_linreg_stream": STREAM_LINREG_FOLD,
     "linreg_predict": LINREG_PREDICT,

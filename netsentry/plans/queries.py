@@ -441,6 +441,11 @@ def q_stream_linreg_fold(spark, sf_dir):
         .select("slot", r9("weight").alias("weight"))
 
 
+def q_assignment_lines(spark, sf_dir):
+    """The ``key cluster`` lines that hop 2 publishes."""
+    return topology.assignment_lines(q_two_hop_cluster(spark, sf_dir))
+
+
 def q_linreg_predict(spark, sf_dir):
     data = _lr_data(spark, sf_dir)
     w = regression.linreg_fold(data, "x", "y", "batch", [0.0] * LR_DIM)[-1][1]
@@ -507,6 +512,7 @@ QUERIES = {
     "stream_kmeans_weights": q_stream_kmeans_weights,
     "stream_kmeans_assign": q_stream_kmeans_assign,
     "two_hop_cluster": q_two_hop_cluster,
+    "assignment_lines": q_assignment_lines,
     "stream_linreg_fold": q_stream_linreg_fold,
     "linreg_predict": q_linreg_predict,
     # text
