@@ -104,8 +104,9 @@ def post(batches: Iterable[pa.RecordBatch], width: int, bits: int) -> Iterator[p
         sets = shingle_sets(part.column(1).to_pylist(), width)
         keys = [set_keys(s) if len(s) else (None, None) for s in sets]
         rows = [(0, 0, i, len(s), *k, None) for i, s, k in zip(ids, sets, keys)]
-        first = {k: d for d, k in reversed(list(enumerate(keys))) if k[0] is not None and ids[d] is not None}
-        chosen = sorted(first.values())
+        # Of equal sets the smallest id is posted: the smallest of all rows, which names the set, always is.
+        least = {k: d for d, k in sorted(enumerate(keys), key=lambda x: ids[x[0]] or 0, reverse=True) if k[0] is not None and ids[d] is not None}
+        chosen = sorted(least.values())
         doc = np.array([ids[d] for d in chosen], np.int64)
         size = np.array([len(sets[d]) for d in chosen], np.uint32)
         key = np.concatenate([sets[d] for d in chosen]) if chosen else np.zeros(0, np.uint64)

@@ -65,6 +65,21 @@ def test_ngram_join(spark, width, num, den, monkeypatch):
         assert [(got[i].n_shingles, got[i].component_id) for i in range(len(sets))] == [(len(s), want[i]) for i, s in enumerate(sets)]
 
 
+@pytest.mark.parametrize("order", ["descending", "random"])
+def test_ngram_join_in_any_row_order(spark, order):
+    texts = sample_texts(9)
+    texts += texts[6:] * 2  # exact copies beside near copies
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set() for w in words]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    ids = list(range(len(texts)))[::-1]
+    if order == "random":
+        random.Random(10).shuffle(ids)
+    docs = spark.createDataFrame([(i, texts[i], "x", "y") for i in ids], DOCS).coalesce(1)  # all in one batch
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_groups(docs, 5, 4, 5).collect()}
+    assert got == classes(range(len(texts)), links)
+
+
 def test_embedding_join(spark, monkeypatch):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((30, 64))
