@@ -155,7 +155,7 @@ def measure_lists(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.R
         data = []
         for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(to)]):
             d, at, n = np.unique(doc[lo:hi], return_index=True, return_counts=True)
-            data.append(np.int64(bucket).tobytes() + pack_arrays(d, size[lo:hi][at], n.astype(np.uint16), key[lo:hi], length[lo:hi]))
+            data.append(np.int64(bucket).tobytes() + pack_arrays(d, size[lo:hi][at], n.astype(np.uint32), key[lo:hi], length[lo:hi]))
         none = [None] * len(data)
         yield pa.RecordBatch.from_arrays([pa.array([1] * len(data), pa.int32()), pa.array(to[cut], pa.int32()), *(pa.array(none, pa.int64()) for _ in range(4)),
                                           pa.array(data, pa.binary())], names=_NAMES)
@@ -168,7 +168,7 @@ def short_lists(batches: Iterable[pa.RecordBatch], num: int, den: int) -> Iterat
     docs, sizes, keys, lengths, buckets = [], [], [], [], []
     for b in batches:
         for data in b.column(b.schema.get_field_index("data")).to_pylist():
-            d, s, n, key, length = unpack_arrays(data[8:], np.int64, np.uint32, np.uint16, np.uint32, np.uint16)
+            d, s, n, key, length = unpack_arrays(data[8:], np.int64, np.uint32, np.uint32, np.uint32, np.uint16)
             docs.append(np.repeat(d, n))
             sizes.append(np.repeat(s, n))
             keys.append(key)

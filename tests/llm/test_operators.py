@@ -80,6 +80,13 @@ def test_ngram_join_in_any_row_order(spark, order):
     assert got == classes(range(len(texts)), links)
 
 
+def test_ngram_join_of_very_long_near_copies(spark):
+    words = [f"w{k}" for k in range(100_000)]  # more shingles in one bucket than 16 bits count
+    docs = documents(spark, [" ".join(words), "one two three four", " ".join([*words[:50_000], "x", *words[50_001:]])])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_groups(docs, 3, 9, 10).collect()}
+    assert got == {0: (99_998, 0), 1: (2, 1), 2: (99_998, 0)}
+
+
 def test_embedding_join(spark, monkeypatch):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((30, 64))
