@@ -191,6 +191,17 @@ def test_context_mixing(spark):
     assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
 
 
+def test_context_mixing_prices_very_long_unseen_words(spark, monkeypatch):
+    # Without counts every bit has the probability 1/2.
+    flat = context_mixing.Model(np.zeros((1 << context_mixing.SLOT_BITS, 2), np.float32), np.full((context_mixing.GATES, context_mixing.PREDICTORS), 0.3),
+                                np.tile(context_mixing.squash(np.linspace(-8, 8, context_mixing.STEPS)), (context_mixing.GATES, 1)))
+    monkeypatch.setattr(context_mixing, "learn", lambda types: flat)
+    texts = ["a b a", "b c", "x" * 5000, "y" * 5, "a " + "x" * 5000 + " " + "x" * 5000, "a yyyyy yyyyy"]
+    got = {r.doc_id: r.score for r in context_mixing.score_texts(documents(spark, texts).select("doc_id", "text"), F.col("doc_id") < 2).collect()}
+    for long, short in ((2, 3), (4, 5)):
+        assert math.isclose(got[short] - got[long], 4995 * 8 * math.log10(2), rel_tol=1e-6)
+
+
 def test_toxicity_search_is_exact():
     rnd = random.Random(7)
     idf = {f"t{k}".encode(): 1 + k / 10 for k in range(20)}
