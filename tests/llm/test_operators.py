@@ -202,6 +202,16 @@ def test_context_mixing_prices_very_long_unseen_words(spark, monkeypatch):
         assert math.isclose(got[short] - got[long], 4995 * 8 * math.log10(2), rel_tol=1e-6)
 
 
+def test_context_mixing_learns_from_all_occurrences():
+    words, n = [b"ab", b"abc", b"d", context_mixing.END], np.array([5, 2, 1, 3])
+    once, each = np.zeros((1 << context_mixing.SLOT_BITS, 2)), np.zeros((1 << context_mixing.SLOT_BITS, 2))
+    context_mixing.count_slots(words, n, once)
+    context_mixing.count_slots(np.repeat(np.array(words, object), n).tolist(), np.ones(n.sum()), each)
+    assert (once == each).all() and once.sum() == 8 * context_mixing.PREDICTORS * (5 * 3 + 2 * 4 + 2 + 3)
+    _, seen, tokens = context_mixing.learn_mixer([(words, n)], once.astype(np.float32))
+    assert tokens == n.sum() and seen.sum() == once.sum() / context_mixing.PREDICTORS
+
+
 def test_toxicity_search_is_exact():
     rnd = random.Random(7)
     idf = {f"t{k}".encode(): 1 + k / 10 for k in range(20)}
