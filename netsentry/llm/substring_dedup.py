@@ -1,4 +1,4 @@
-"""Exact repeated-substring removal by sampled suffix sorting.
+"""Repeated-substring removal by hash winnowing with induced marking.
 
 Every byte that lies in a ``LENGTH``-byte string which also starts anywhere else
 (any document, any place) is found, whatever the size of the corpus.
@@ -6,8 +6,8 @@ Every byte that lies in a ``LENGTH``-byte string which also starts anywhere else
 Sampling. A position is an anchor if the key of the ``GRAM`` bytes from it is the
 least of some window of LENGTH - GRAM + 1 neighbouring positions. Equal
 LENGTH-byte strings have their anchors at equal offsets, so equal strings are found by
-sorting the suffixes at the anchors, 1-2 % of all: as induced sorting sorts its
-sampled suffixes first and induces the rest from them. Which strings repeat is
+grouping the anchors, 1-2 % of all positions, by 64-bit keys. No suffix is sorted, no
+common-prefix value is made, and bytes are not compared directly. Which strings repeat is
 then induced from the anchors to all positions in two levels:
 
 1. Anchors with equal bytes on both sides, as far as any string through the
@@ -18,7 +18,7 @@ then induced from the anchors to all positions in two levels:
    LENGTH-byte strings through the anchor are compared, offset by offset, within the
    anchors of equal key.
 
-The sort is Spark's shuffle, which spills to disk. Counts are partial aggregates, so
+The grouping is Spark's shuffle, which spills to disk. Counts are partial aggregates, so
 a passage that a third of all documents hold costs a row per task. A key with
 over ``HOT`` different surroundings is not gathered in a task: its strings are
 counted as rows (key, offset, string key). Removed runs come back to a document
