@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsentry.llm import context_mixing, decontaminate, embedding_join, html_text, licenses, ngram_join, packing, substring_dedup, toxicity, url_filter
+from netsentry.llm import context_mixing, decontaminate, embedding_join, html_text, licenses, ngram_join, packing, substring_dedup, token_automaton, toxicity, url_filter
 from netsentry.llm.common import id_remainder, table
 
 
@@ -55,5 +55,13 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_license_scan, op4_context_mixing, op5_ngram_join, op6_packing, op7_suffix_dedup, op8_url_filter, op9_decontamination, op10_html_text)}
+def op12_token_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = token_automaton.encode_texts(table(spark, sf_dir, "documents", "doc_id", "text"), path)
+    return token_automaton.decode_ids(coded, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_license_scan, op4_context_mixing, op5_ngram_join, op6_packing, op7_suffix_dedup, op8_url_filter, op9_decontamination, op10_html_text, op12_token_automaton)}
 QUERIES["pipeline"] = corpus_pipeline.run
