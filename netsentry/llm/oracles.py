@@ -46,4 +46,24 @@ select doc_id, coalesce(n_lines, 0)::bigint as n_lines, license, dice, coalesce(
 from (select row_number() over () as r, doc_id from documents) left join x using (r)"""
 
 
-ORACLES = {"op3_license_scan": _license_scan(), "op8_url_filter": _url_filter()}
+def _collocations() -> str:
+    return f"""
+with w as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), {_CHARS}), '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+     p as (select lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') as ws from w),
+     g as (select lang, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) as phrase
+           from p, (select unnest([1, 2, 3, 4]) as size)),
+     f as (select lang, phrase, size, count(*) as a from g group by all),
+     n as (select lang, sum(a)::bigint as n from f where size = 1 group by lang),
+     c as (select lang, phrase, size, a, string_split(phrase, ' ') as ws from f where size > 1 and a >= 30),
+     inner_ as (select lang, unnest(flatten(list_transform(range(2, size), lambda k: list_transform(range(1, size - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))))) as phrase, a as over from c),
+     o as (select lang, phrase, max(over) as over from inner_ group by all),
+     kept as (select c.* from c left join o using (lang, phrase) where over is null or 100 * over < 80 * a),
+     cut as (select lang, phrase, a, k, array_to_string(ws[:k], ' ') as first, array_to_string(ws[k + 1:], ' ') as rest from (select *, unnest(range(1, size)) as k from kept)),
+     s as (select cut.lang, cut.phrase, cut.a, k, x.a as l, y.a as r, ((2000000::hugeint * cut.a) // (x.a + y.a))::bigint as score
+           from cut join f x on x.lang = cut.lang and x.phrase = first join f y on y.lang = cut.lang and y.phrase = rest),
+     b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+     r as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from b)
+select r.lang, rank, phrase, a, l, r.r as r, n, score from r join n on n.lang = r.lang where rank <= 2000"""
+
+
+ORACLES = {"op3_license_scan": _license_scan(), "op8_url_filter": _url_filter(), "op13_collocations": _collocations()}

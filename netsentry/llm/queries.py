@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsentry.llm import context_mixing, decontaminate, embedding_join, html_text, licenses, ngram_join, packing, substring_dedup, token_automaton, toxicity, url_filter
+from netsentry.llm import collocations, context_mixing, decontaminate, embedding_join, html_text, licenses, ngram_join, packing, substring_dedup, token_automaton, toxicity, url_filter
 from netsentry.llm.common import id_remainder, table
 
 
@@ -63,5 +63,9 @@ def op12_token_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("text", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_license_scan, op4_context_mixing, op5_ngram_join, op6_packing, op7_suffix_dedup, op8_url_filter, op9_decontamination, op10_html_text, op12_token_automaton)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents", "text", "lang"), least=30, top=2000)
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_license_scan, op4_context_mixing, op5_ngram_join, op6_packing, op7_suffix_dedup, op8_url_filter, op9_decontamination, op10_html_text, op12_token_automaton, op13_collocations)}
 QUERIES["pipeline"] = corpus_pipeline.run
