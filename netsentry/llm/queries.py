@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsentry.llm import collocations, context_mixing, decontaminate, embedding_join, html_text, licenses, ngram_join, packing, substring_dedup, token_automaton, toxicity, url_filter
+from netsentry.llm import collocations, context_mixing, decontaminate, embedding_join, html_text, licenses, ngram_join, packing, substring_dedup, token_alignment, token_automaton, toxicity, url_filter
 from netsentry.llm.common import id_remainder, table
 
 
@@ -55,6 +55,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.score_alignment(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"),
+                                           public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_token_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     coded = token_automaton.encode_texts(table(spark, sf_dir, "documents", "doc_id", "text"), path)
@@ -67,5 +72,5 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine_collocations(table(spark, sf_dir, "documents", "text", "lang"), least=30, top=2000)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_license_scan, op4_context_mixing, op5_ngram_join, op6_packing, op7_suffix_dedup, op8_url_filter, op9_decontamination, op10_html_text, op12_token_automaton, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_license_scan, op4_context_mixing, op5_ngram_join, op6_packing, op7_suffix_dedup, op8_url_filter, op9_decontamination, op10_html_text, op11_token_alignment, op12_token_automaton, op13_collocations)}
 QUERIES["pipeline"] = corpus_pipeline.run
