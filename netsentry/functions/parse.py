@@ -61,6 +61,8 @@ def parse_records(df: DataFrame, schema: T.StructType, col: str = "line", mode:
     * ``lenient``: failing rows are dropped from the result and returned
       as a second frame (``keep`` columns + the raw line + a reason) instead
       of being logged. Returns (rows, rejects).
+    * ``tagged``: all rows with the line and the reason (null: a good row), for callers that keep
+      them before ``split_tagged`` parts them. Returns (tagged rows, None).
     """
     keep = keep or []
     n = len(schema.fields)
@@ -71,8 +73,8 @@ def parse_records(df: DataFrame, schema: T.StructType, col: str = "line", mode:
         raw = F.get(F.col(parts), i)  # null past the end, whatever the ANSI setting
         val = raw if isinstance(f.dataType, T.StringType) else raw.try_cast(f.dataType)
         fields.append(val.alias(f.name))
-    if mode not in ("strict", "lenient"):
-        raise ValueError(f"mode must be strict or lenient, not {mode}")
+    if mode not in ("strict", "lenient", "tagged"):
+        raise ValueError(f"mode must be strict, lenient or tagged, not {mode}")
     # One pass over the pieces decides the row: the check references the
     # split array once, so a filter pushed below the projection re-splits
     # the line once, not once per field.
@@ -99,6 +101,14 @@ def parse_records(df: DataFrame, schema: T.StructType, col: str = "line", mode:
         message = F.concat(F.lit("cannot read the record ("), reason, F.lit(f"; {n} fields wanted): "), F.coalesce(F.col("_ns_line"), F.lit("<null>")))
         return base.filter(F.when(reason.isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))).select(*keep, *fields), None
     tagged = base.withColumn("_ns_reason", reason).select(*keep, "_ns_line", "_ns_reason", *fields)
+    if mode == "tagged":
+        return tagged, None
+    return split_tagged(tagged, schema, keep)
+
+
+def split_tagged(tagged: DataFrame, schema: T.StructType, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of a frame of ``keep`` columns, line, reason (null: a good row) and the schema's fields."""
+    keep = keep or []
     good = tagged.filter(F.col("_ns_reason").isNull()).select(*keep, *[f.name for f in schema.fields])
     rejects = tagged.filter(F.col("_ns_reason").isNotNull()).select(
         *keep, F.col("_ns_line").alias("line"), F.col("_ns_reason").alias("reason"))
@@ -106,9 +116,12 @@ def parse_records(df: DataFrame, schema: T.StructType, col: str = "line", mode:
 
 
 # --------------------------------------------------------------------- P6
-def parse_dense_vector(c, sep: str = " ") -> Column:
-    """``'1.0 2.0 3.0'`` to ``array<double>``; a bad number fails the job."""
+def parse_dense_vector(c, sep: str = " ", mode: str = "strict") -> Column:
+    """``'1.0 2.0 3.0'`` to ``array<double>``; a bad number fails the job (``strict``) or makes the
+    whole vector null (``lenient``)."""
     parts = jvm_split(c, sep)
+    if mode == "lenient":
+        return _let(F.transform(parts, lambda x: x.try_cast("double")), lambda a: F.when(~F.exists(a, lambda x: x.isNull()), a))
     return F.transform(parts, lambda x: F.when(x.try_cast("double").isNotNull(), x.try_cast("double"))
                        .otherwise(F.raise_error(F.concat(F.lit("not a number: "), x))))
 
@@ -149,13 +162,16 @@ def parse_vector(c, mode: str = "strict") -> Column:
 
 
 # --------------------------------------------------------------------- P8
-def parse_labeled_point(c) -> Column:
+def parse_labeled_point(c, mode: str = "strict") -> Column:
     """Labelled point text to ``struct<label double, features array<double>>``.
 
     Accepts ``(y,[x..])``, ``(y,(n,[i..],[v..]))``, the legacy
     ``y,x1 x2 ..`` form and the ``(y), [x..]`` variant. A label or vector
-    that is not one fails the job; a null text gives nulls.
+    that is not one fails the job (``strict``) or is null (``lenient``); a null text gives nulls.
     """
+    if mode not in ("strict", "lenient"):
+        raise ValueError(f"mode must be strict or lenient, not {mode}")
+
     def parse(s):
         variant = s.rlike(r"^\([^,]*\)\s*,")
         wrapped = s.startswith("(") & s.endswith(")") & ~variant
@@ -165,9 +181,11 @@ def parse_labeled_point(c) -> Column:
         vec_txt = F.when(wrapped, F.regexp_extract(s, r"^\([^,]*,(.*)\)$", 1)) \
             .when(variant, F.regexp_extract(s, r"^\([^,]*\)\s*,(.*)$", 1)) \
             .otherwise(F.regexp_extract(s, r"^[^,]*,(.*)$", 1))
-        features = F.when(wrapped | variant, parse_vector(vec_txt)) \
-            .otherwise(parse_dense_vector(F.trim(vec_txt)))
-        number = F.coalesce(F.trim(label).try_cast("double"), F.raise_error(F.concat(F.lit("not a labelled point: "), s)).cast("double"))
+        features = F.when(wrapped | variant, parse_vector(vec_txt, mode)) \
+            .otherwise(parse_dense_vector(F.trim(vec_txt), mode=mode))
+        number = F.trim(label).try_cast("double")
+        if mode == "strict":
+            number = F.coalesce(number, F.raise_error(F.concat(F.lit("not a labelled point: "), s)).cast("double"))
         return F.struct(F.when(s.isNotNull(), number).alias("label"), features.alias("features"))
     return _let(F.trim(_col(c)), parse)
 

@@ -305,6 +305,29 @@ SELECT l.l_orderkey, l.l_linenumber, round(l.l_extendedprice / 100000.0::DOUBLE,
              + fin.w2 * (l.l_tax * 10.0::DOUBLE), 9) AS prediction
 FROM lineitem l, fin"""
 
+# --- streams ------------------------------------------------------------------
+STREAM_KMEANS_PREDICT = f"""WITH RECURSIVE {_FOLD}
+SELECT e.event_id, CAST(CASE WHEN (e.value - st.c0) * (e.value - st.c0) <= (e.value - st.c1) * (e.value - st.c1)
+                        THEN 0 ELSE 1 END AS INTEGER) AS cluster, CAST(st.step - 1 AS BIGINT) AS version
+FROM events e JOIN st ON st.step = CASE WHEN e.event_id % 2 = 0 THEN 1 ELSE {S.N_BATCHES} END"""
+STREAM_LINREG_PREDICT = f"""WITH RECURSIVE {_LR},
+w AS (SELECT b, w0, w1, w2 FROM it WHERE i = 0)
+SELECT round(l.l_extendedprice / 100000.0::DOUBLE, 9) AS label,
+       round(w.w0 * (l.l_quantity / 50.0::DOUBLE) + w.w1 * (l.l_discount * 10.0::DOUBLE) + w.w2 * (l.l_tax * 10.0::DOUBLE), 9) AS prediction,
+       CAST(w.b - 1 AS BIGINT) AS version
+FROM lineitem l JOIN w ON w.b = CASE WHEN l.l_orderkey % 2 = 0 THEN 1 ELSE {S.N_BATCHES} END"""
+STREAM_TEXT_VECTORS = f"""WITH {_EMB_PTS},
+v AS (SELECT vec_id, slot, {_SPARSE_X} AS x FROM pts)
+SELECT CAST(count(*) AS INTEGER) AS n, arg_min(x, slot) AS first, arg_max(x, slot) AS last, CAST(NULL AS VARCHAR) AS line FROM v WHERE vec_id % 7 > 1 GROUP BY vec_id
+UNION ALL SELECT NULL, NULL, NULL, CASE vec_id % 7 WHEN 0 THEN '[1.0,x' || vec_id || ']' ELSE '(3,[5],[' || vec_id || '])' END FROM embeddings WHERE vec_id % 7 <= 1"""
+STREAM_TEXT_POINTS = f"""WITH {_EMB_PTS}
+SELECT vec_id, slot, x AS value, CAST(NULL AS VARCHAR) AS line, CAST(NULL AS VARCHAR) AS reason FROM pts WHERE vec_id % 9 > 1
+UNION ALL SELECT NULL, NULL, NULL, CASE vec_id % 9 WHEN 0 THEN '(x' || vec_id || ',[1.0])' ELSE '(' || vec_id || ',[1.0,])' END,
+                 CASE vec_id % 9 WHEN 0 THEN 'bad_label' ELSE 'bad_vector' END FROM embeddings WHERE vec_id % 9 <= 1"""
+SCORE_STREAM = f"""WITH {_LINES} SELECT ts AS "timeStamp", 'u' || user_id AS "srcIp", event_type AS "desIp", true AS as_in_batch
+FROM lines WHERE event_id % 19 <> 0 AND event_id % 17 <> 0"""
+TWO_HOP_STREAM = "SELECT 't' || event_id || ' u' || user_id || ' ' || event_type AS key, true AS nearest FROM events"
+
 # --- text -----------------------------------------------------------------
 _TOKENS = "(SELECT unnest(string_split(rtrim(text, ' '), ' ')) AS token FROM documents)"
 VOCABULARY = f"SELECT token AS word, count(*) AS n FROM {_TOKENS} GROUP BY token HAVING count(*) >= 5"
@@ -357,6 +380,13 @@ ORACLES = {
     "stream_linreg_fold": STREAM_LINREG_FOLD,
     "stream_linreg_stream": STREAM_LINREG_FOLD,
     "linreg_predict": LINREG_PREDICT,
+    "weight_lines": STREAM_KMEANS_WEIGHTS,
+    "stream_kmeans_predict": STREAM_KMEANS_PREDICT,
+    "stream_linreg_predict": STREAM_LINREG_PREDICT,
+    "stream_text_vectors": STREAM_TEXT_VECTORS,
+    "stream_text_points": STREAM_TEXT_POINTS,
+    "score_stream": SCORE_STREAM,
+    "two_hop_stream": TWO_HOP_STREAM,
     "word2vec_fit": WORD2VEC_FIT,
     "vocabulary": VOCABULARY,
 }

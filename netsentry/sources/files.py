@@ -11,12 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from netsentry.sources import kafka
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, mode: str = "PERMISSIVE",
-             sep: str = ",") -> DataFrame:
-    """Header-less CSV with an explicit schema. PERMISSIVE turns a bad
-    number into null (the assembler then rejects the row); FAILFAST fails."""
-    return spark.read.schema(schema).option("mode", mode).option("sep", sep).csv(path)
+             sep: str = ",", header: bool = False, corrupt: str | None = None, multi_line: bool = False) -> DataFrame:
+    """CSV files with an explicit schema (no pass over the data to infer one).
+
+    PERMISSIVE turns a bad number into null (the assembler then rejects the row) and, if ``corrupt`` names a
+    column, keeps the line that could not be read whole in it (null for good lines); DROPMALFORMED leaves
+    such lines out; FAILFAST fails. A line with too few or too many fields is one of them. ``header`` skips the first line of
+    each file. Files are split into tasks unless ``multi_line`` allows line ends inside quotes.
+    """
+    if corrupt:
+        schema = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType(), True)])
+    reader = spark.read.schema(schema).option("mode", mode).option("sep", sep).option("header", header).option("multiLine", multi_line)
+    # what makes a line bad must not depend on which columns the caller goes on to use
+    return (reader.option("columnNameOfCorruptRecord", corrupt) if corrupt else reader).option("columnPruning", not corrupt and mode == "PERMISSIVE").csv(path)
+
+
+def write_csv(df: DataFrame, path: str, sep: str = ",", header: bool = False) -> None:
+    """CSV files, one for each of ``df``'s partitions."""
+    df.write.option("sep", sep).option("header", header).csv(path)
 
 
 def parse_csv_lines(df: DataFrame, col: str, schema: T.StructType, keep: list[str] | None = None,
@@ -27,29 +43,25 @@ def parse_csv_lines(df: DataFrame, col: str, schema: T.StructType, keep: list[st
     return df.select(*(keep or []), parsed.alias("_ns_r")).select(*(keep or []), "_ns_r.*")
 
 
-def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """One row per line, column ``value``."""
-    return spark.read.text(path)
-
-
-def stream_text(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Lines of every new file in a directory."""
-    r = spark.readStream.format("text")
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    return r.load(path)
+def read_text(spark: SparkSession, path: str, line_sep: str | None = None) -> DataFrame:
+    """One row per line, column ``value``. Lines end at ``\\n``, ``\\r`` or both unless ``line_sep`` names their
+    end. Files are split into tasks at line ends."""
+    r = spark.read
+    return (r.option("lineSep", line_sep) if line_sep else r).text(path)
 
 
-def stream_parquet(spark: SparkSession, path: str, schema: T.StructType,
-                   max_files_per_trigger: int | None = None) -> DataFrame:
-    r = spark.readStream.schema(schema)
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    return r.parquet(path)
+def write_text(df: DataFrame, path: str, col: str = "value", line_sep: str = "\n") -> None:
+    """Text files, a line for each row, one file for each of ``df``'s partitions."""
+    df.select(col).write.option("lineSep", line_sep).text(path)
 
 
-def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).parquet(path)
+def stream_text(spark: SparkSession, path: str, max_bytes_per_trigger: int | None = None, line_sep: str | None = None,
+                nested: bool = False) -> DataFrame:
+    """The lines of every new file in a directory, column ``value``; S6: so many bytes of files a trigger."""
+    spec = kafka.file_source(path, "text", max_bytes_per_trigger=max_bytes_per_trigger, nested=nested)
+    if line_sep:
+        spec.options["lineSep"] = line_sep
+    return kafka.read_stream(spark, spec)
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, properties: dict) -> None:

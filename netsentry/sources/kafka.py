@@ -49,11 +49,22 @@ def rate_cap(max_rate_per_partition: int, partitions: int, batch_seconds: float)
 
 
 def file_source(path: str, fmt: str = "parquet", schema: str = "value string",
-                max_files_per_trigger: int | None = None) -> StreamSpec:
-    """The file stand-in of a topic: new files in a directory."""
+                max_files_per_trigger: int | None = None, max_bytes_per_trigger: int | None = None,
+                nested: bool = False) -> StreamSpec:
+    """The file stand-in of a topic: new files in a directory (``nested``: and below it).
+
+    S6: a trigger admits files up to a number of bytes or a number of files, not both; a file larger
+    than the cap is admitted alone. Without a cap a trigger takes all that has arrived.
+    """
     opts = {}
+    if max_files_per_trigger and max_bytes_per_trigger:
+        raise ValueError("cap a trigger by files or by bytes, not by both")
     if max_files_per_trigger:
         opts["maxFilesPerTrigger"] = str(int(max_files_per_trigger))
+    if max_bytes_per_trigger:
+        opts["maxBytesPerTrigger"] = str(int(max_bytes_per_trigger))
+    if nested:
+        opts["recursiveFileLookup"] = "true"
     return StreamSpec(fmt, opts, schema=schema, path=path)
 
 

@@ -24,6 +24,9 @@ def save(model, path: str) -> None:
 
 
 def load_pipeline(path: str) -> PipelineModel:
+    """A model saved by ``save``; a half-written one (no marker beside it) is an error."""
+    if not fs.exists(_spark(), path.rstrip("/") + MARKER):
+        raise FileNotFoundError(f"no complete model at {path}")
     return PipelineModel.load(path)
 
 

@@ -37,14 +37,17 @@ from pyspark.sql import types as T
 from netsentry.functions import vectors as V
 from netsentry.operators.cluster import lloyd_stats
 from netsentry.sources import fs
+from netsentry.streaming.summary import SummarySink
+
 
 def state_schema() -> T.StructType:
-    """k rows per model version: cluster, weight, centre, time written."""
+    """k rows per model version: cluster, weight, centre, time written, id of the streaming query that wrote it."""
     return T.StructType([
         T.StructField("cluster", T.IntegerType(), False),
         T.StructField("weight", T.DoubleType(), False),
         T.StructField("center", T.ArrayType(T.DoubleType(), False), False),
         T.StructField("written_at", T.DoubleType(), True),
+        T.StructField("query", T.StringType(), True),
     ])
 
 
@@ -62,12 +65,13 @@ class KMeansState:
         return cls(c, w)
 
     def copy(self) -> "KMeansState":
-        return KMeansState(self.centers.copy(), self.weights.copy(), self.written_at)
+        return KMeansState(self.centers.copy(), self.weights.copy(), self.written_at, self.query)
 
     written_at: float | None = None  # processing time of the batch that made this version
+    query: str | None = None  # the streaming query that made this version
 
     def to_df(self, spark: SparkSession) -> DataFrame:
-        rows = [(i, float(w), [float(x) for x in c], self.written_at)
+        rows = [(i, float(w), [float(x) for x in c], self.written_at, self.query)
                 for i, (c, w) in enumerate(zip(self.centers, self.weights))]
         return spark.createDataFrame(rows, state_schema())
 
@@ -77,6 +81,8 @@ class KMeansState:
         st = cls.of([r["center"] for r in rows], [r["weight"] for r in rows])
         if rows and "written_at" in rows[0].asDict():
             st.written_at = rows[0]["written_at"]
+        if rows and "query" in rows[0].asDict():
+            st.query = rows[0]["query"]
         return st
 
 
@@ -157,6 +163,11 @@ def predict(df: DataFrame, vec: str, state: KMeansState, out: str = "cluster") -
     return df.withColumn(out, V.nearest_center_of(arr, state.centers.tolist()))
 
 
+def weights_line(state: KMeansState) -> str:
+    """The comma-joined cluster weights of a model."""
+    return ",".join(repr(float(x)) for x in state.weights)
+
+
 # ----------------------------------------------------------------- state table
 class StateTable:
     """Versioned k-row model table: ``<path>/v=<batch_id>/`` (Parquet)."""
@@ -201,6 +212,18 @@ class StateTable:
         state.to_df(self.spark).coalesce(1).write.mode("overwrite").parquet(self._version_path(version))
 
 
+def query_id(spark: SparkSession) -> str | None:
+    """The id of the streaming query whose ``foreachBatch`` is running (kept in its checkpoint; None outside of one)."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
+def same_query(path: str, wrote: str | None, runs: str | None) -> None:
+    """A version found for a batch must be the running query's own: after a checkpoint was reset, batch ids begin
+    again, and models of the query before would be taken for replays."""
+    if wrote and runs and wrote != runs:
+        raise ValueError(f"the model versions at {path} are those of query {wrote}; give query {runs} a folder of its own")
+
+
 class StreamingKMeans:
     """Online k-means driven by ``foreachBatch``.
 
@@ -215,7 +238,8 @@ class StreamingKMeans:
                  out_path: str | None = None, vec_col: str = "features", key_cols: Sequence[str] = (),
                  centers: Sequence[Sequence[float]] | None = None, weights: Sequence[float] | None = None,
                  dim: int | None = None, init_weight: float = 0.0, seed: int = 42,
-                 tick_seconds: float | None = None, clock=time.time, retain_versions: int | None = None):
+                 tick_seconds: float | None = None, clock=time.time, retain_versions: int | None = None,
+                 summary: SummarySink | None = None):
         from netsentry.operators.cluster import random_centers
         if centers is None:
             if dim is None:
@@ -231,6 +255,7 @@ class StreamingKMeans:
         self.vec_col, self.key_cols = vec_col, list(key_cols)
         self.tick_seconds, self.clock = tick_seconds, clock
         self.retain_versions = retain_versions
+        self.summary = summary
 
     def current(self, spark: SparkSession, before: int | None = None) -> KMeansState:
         table = StateTable(spark, self.state_path)
@@ -262,16 +287,19 @@ class StreamingKMeans:
         try:
             if table.has(batch_id):  # replay after a failure: the model of this batch is already known
                 state = table.read(batch_id)
+                same_query(self.state_path, state.query, query_id(spark))
             else:
                 now = self.clock()
                 prev = self.missed_ticks_decayed(self.current(spark, before=batch_id), now)
                 state = kmeans_step(prev, batch, self.vec_col, self.decay, self.unit)
-                state.written_at = now
+                state.written_at, state.query = now, query_id(spark)
                 table.write(batch_id, state)
                 if self.retain_versions:
                     table.retain(self.retain_versions)
+            if self.summary:
+                self.summary.publish(spark, batch_id, weights_line(state))
             if self.out_path:
-                w = spark.createDataFrame([(int(batch_id), ",".join(repr(float(x)) for x in state.weights),
+                w = spark.createDataFrame([(int(batch_id), weights_line(state),
                                             [float(x) for x in state.weights])],
                                           "batch long, weights_line string, weights array<double>")
                 w.coalesce(1).write.mode("overwrite").parquet(f"{self.out_path}/weights/batch={int(batch_id)}")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from netsentry.operators import regression
 from netsentry.sources import fs
+from netsentry.streaming.kmeans import query_id, same_query
 
 
 class WeightTable:
@@ -34,12 +35,14 @@ class WeightTable:
     def has(self, v: int) -> bool:
         return fs.committed(self.spark, self._p(v))
 
-    def read(self, v: int) -> np.ndarray:
+    def read(self, v: int, query: str | None = None) -> np.ndarray:
         rows = sorted(self.spark.read.parquet(self._p(v)).collect(), key=lambda r: r["slot"])
+        if rows:
+            same_query(self.path, rows[0].asDict().get("query"), query)
         return np.array([r["weight"] for r in rows])
 
-    def write(self, v: int, w: np.ndarray) -> None:
-        self.spark.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "slot int, weight double") \
+    def write(self, v: int, w: np.ndarray, query: str | None = None) -> None:
+        self.spark.createDataFrame([(i, float(x), query) for i, x in enumerate(w)], "slot int, weight double, query string") \
             .coalesce(1).write.mode("overwrite").parquet(self._p(v))
 
 
@@ -65,12 +68,12 @@ class StreamingLinearRegression:
         batch = batch_df.persist()
         try:
             if t.has(batch_id):  # replay: this batch's weights are known
-                w = t.read(batch_id)
+                w = t.read(batch_id, query_id(spark))
             else:
                 prev = self.weights_before(spark, batch_id)
                 w = regression.linreg_step(prev, batch, self.features, self.label, self.step,
                                            self.iterations, self.tol)
-                t.write(batch_id, w)
+                t.write(batch_id, w, query_id(spark))
             if self.out_path:
                 batch.select(F.col(self.label).cast("double").alias("label"),
                              regression.linreg_predict(self.features, w.tolist()).alias("prediction")) \

@@ -40,6 +40,11 @@ def parse_messages(batch: DataFrame, mode: str = "lenient", value: str = "value"
     return P.parse_records(lines, R.stream_record_schema(), "line", mode)
 
 
+def tag_messages(batch: DataFrame, value: str = "value") -> DataFrame:
+    """P1 + P3 on a batch of messages: every record with its line and the reason it is no record (null: it is one)."""
+    return P.parse_records(P.explode_records(batch.select(value), value, "line", None), R.stream_record_schema(), "line", "tagged")[0]
+
+
 class Scorer:
     """T4: messages -> lenient parse -> stage 1 -> distances -> stage 2 ->
     (timeStamp, srcIp, desIp, predictedLabel), written per batch to
@@ -53,18 +58,19 @@ class Scorer:
         self.keep, self.sink = list(keep), sink
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()  # read once; parsed again cheaply for rows and rejects
+        tagged = tag_messages(batch).persist()  # parsed once, for rows and for rejects
         try:
-            good, rejects = parse_messages(batch, "lenient")
-            if not good.isEmpty():  # P14: nothing parsed, nothing to score
-                scored = pipelines.score(good, self.m1, self.m2, self.keep)
-                if self.sink:
-                    self.sink(scored, batch_id)
-                else:
-                    scored.write.mode("overwrite").parquet(f"{self.out}/scored/batch={int(batch_id)}")
+            good, rejects = P.split_tagged(tagged, R.stream_record_schema())
+            scored = pipelines.score(good, self.m1, self.m2, self.keep)
+            if self.sink is None:
+                if good.isEmpty():  # P14: nothing to score; the batch's folder is written all the same, typed and empty
+                    scored = batch.sparkSession.createDataFrame([], scored.schema)
+                scored.write.mode("overwrite").parquet(f"{self.out}/scored/batch={int(batch_id)}")
+            elif not good.isEmpty():
+                self.sink(scored, batch_id)
             rejects.write.mode("overwrite").parquet(f"{self.out}/rejects/batch={int(batch_id)}")
         finally:
-            batch.unpersist()
+            tagged.unpersist()
 
 
 def score_stream(stream: DataFrame, m1: PipelineModel, m2: PipelineModel, out_path: str, checkpoint: str,
