@@ -2,7 +2,7 @@
 
 With the whole batch in every step (mini-batch fraction 1.0), the gradient
 sum over the batch is ``sum((w.x - y) x) = (X'X) w - X'y``. So one
-distributed aggregate per batch - d*(d+1)/2 + d + 1 sums, partially
+distributed aggregate per batch - an array of d*(d+1)/2 + d + 1 sums, partially
 aggregated map-side - replaces the T passes over the data; the T steps then
 run on the d x d summary on the driver.
 
@@ -13,10 +13,12 @@ no regularisation; from t = 2 on, stop when
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,33 +32,61 @@ class Summary:
     xty: np.ndarray  # d
 
 
-def summary_aggs(vec: str, label: str, dim: int) -> list[Column]:
-    x = F.col(vec)
-    y = F.col(label)
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for i in range(dim):
-        aggs.append(F.sum(x[i] * y).alias(f"_xy{i}"))
-        for j in range(i, dim):
-            aggs.append(F.sum(x[i] * x[j]).alias(f"_xx{i}_{j}"))
-    return aggs
+#: Batches whose partial summaries a task holds before it sends them on.
+HELD_BATCHES = 256
 
 
-def summary_from_row(row, dim: int) -> Summary:
+def _partial_summaries(dim: int):
+    """Arrow batches (b, x, y) to rows (b, s): n, X'y and the upper triangle of X'X of a task's rows of each batch, as one array."""
+    upper = np.triu_indices(dim)
+
+    def rows(held: dict) -> pa.RecordBatch:
+        values = [np.concatenate([[n], xy, xx[upper]]) for n, xx, xy in held.values()]
+        size = np.arange(len(values) + 1, dtype=np.int32) * (1 + dim + len(upper[0]))
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.ListArray.from_arrays(pa.array(size), pa.array(np.concatenate(values)))], ["b", "s"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            b, y, x = batch["b"].to_numpy(), batch["y"], batch["x"].flatten()
+            if y.null_count or x.null_count:
+                raise ValueError("a label or a component of a vector is null")
+            x, y = x.to_numpy().reshape(-1, dim), y.to_numpy()
+            for number in np.unique(b).tolist():
+                mine = b == number
+                xs, ys = x[mine], y[mine]
+                n, xx, xy = held.get(number, (0, 0.0, 0.0))
+                held[number] = n + len(xs), xx + xs.T @ xs, xy + xs.T @ ys
+            if len(held) >= HELD_BATCHES:
+                yield rows(held)
+                held = {}
+        if held:
+            yield rows(held)
+
+    return run
+
+
+def _summary(values: Sequence[float], dim: int) -> Summary:
+    values = np.asarray(values)
     xtx = np.zeros((dim, dim))
-    xty = np.zeros(dim)
-    for i in range(dim):
-        xty[i] = row[f"_xy{i}"] or 0.0
-        for j in range(i, dim):
-            v = row[f"_xx{i}_{j}"] or 0.0
-            xtx[i, j] = xtx[j, i] = v
-    return Summary(int(row["_n"]), xtx, xty)
+    xtx[np.triu_indices(dim)] = values[1 + dim:]
+    return Summary(int(round(values[0])), xtx + np.triu(xtx, 1).T, values[1:1 + dim].copy())
 
 
-def batch_summary(df: DataFrame, vec: str, label: str, dim: int) -> Summary:
-    """One aggregate over the batch; a single row comes back."""
+def batch_summaries(df: DataFrame, vec: str, label: str, batch_col: str, dim: int) -> DataFrame:
+    """One summary (``_ns_b``, ``s``) per batch number, ``s`` being n, X'y and the upper triangle of X'X as one array of
+    1 + d + d(d+1)/2 numbers. Each task sums its Arrow batches by matrix products and sends one array a batch; the arrays are
+    added up by an aggregate with map-side partial sums. A null label or component fails the job."""
     arr = V.as_double_array(df, vec)
-    base = df.select(V.checked_width(arr, dim).alias("_ns_x"), F.col(label).cast("double").alias("_ns_y"))
-    return summary_from_row(base.agg(*summary_aggs("_ns_x", "_ns_y", dim)).first(), dim)
+    base = df.select(F.col(batch_col).cast("long").alias("b"), V.checked_width(arr, dim).alias("x"), F.col(label).cast("double").alias("y"))
+    parts = base.mapInArrow(_partial_summaries(dim), "b long, s array<double>")
+    return parts.groupBy(F.col("b").alias("_ns_b")).agg(V.vector_sum("s").alias("s")).select("_ns_b", vector_to_array("s").alias("s"))
+
+
+def batch_summary(df: DataFrame, vec: str, label: str, dim: int) -> Summary:
+    """The whole frame as one batch; a single row comes back (none: an empty batch)."""
+    row = batch_summaries(df.withColumn("_ns_one", F.lit(0)), vec, label, "_ns_one", dim).first()
+    return _summary(row["s"], dim) if row else Summary(0, np.zeros((dim, dim)), np.zeros(dim))
 
 
 def sgd_on_summary(w: np.ndarray, s: Summary, step: float = 0.1, iterations: int = 50,
@@ -81,15 +111,6 @@ def linreg_step(weights: Sequence[float], batch: DataFrame, vec: str, label: str
     return sgd_on_summary(w, batch_summary(batch, vec, label, len(w)), step, iterations, tol)
 
 
-def batch_summaries(df: DataFrame, vec: str, label: str, batch_col: str, dim: int) -> DataFrame:
-    """One summary row (n, X'X, X'y) per batch: a single grouped aggregate,
-    partial sums map-side, one row per batch per task through the shuffle."""
-    arr = V.as_double_array(df, vec)
-    base = df.select(F.col(batch_col).alias("_ns_b"), V.checked_width(arr, dim).alias("_ns_x"),
-                     F.col(label).cast("double").alias("_ns_y"))
-    return base.groupBy("_ns_b").agg(*summary_aggs("_ns_x", "_ns_y", dim))
-
-
 def linreg_fold(df: DataFrame, vec: str, label: str, batch_col: str, weights: Sequence[float],
                 step: float = 0.1, iterations: int = 50, tol: float = 0.001) -> list[tuple[object, np.ndarray]]:
     """Replay batches in order; [(batch, weights after it)].
@@ -103,7 +124,7 @@ def linreg_fold(df: DataFrame, vec: str, label: str, batch_col: str, weights: Se
     w = np.array(weights, dtype=float)
     trace = []
     for r in rows:
-        w = sgd_on_summary(w, summary_from_row(r, dim), step, iterations, tol)
+        w = sgd_on_summary(w, _summary(r["s"], dim), step, iterations, tol)
         trace.append((r["_ns_b"], w.copy()))
     return trace
 

@@ -71,5 +71,7 @@ def top_similar(df: DataFrame, key: str, vec: str, query, n: int = 5) -> DataFra
 
 
 def synonyms(model, word: str, n: int = 5) -> DataFrame:
-    """Word-level form over a fitted Word2Vec model: (word, similarity)."""
-    return model.findSynonyms(word, n)
+    """Word-level form over a fitted Word2Vec model: (word, similarity) of the ``n`` words most similar to ``word``, by a
+    distributed top-n over the model's vectors. A word that the model does not hold raises ``KeyError``."""
+    vectors = model.getVectors()
+    return top_similar(vectors.select("word", V.as_double_array(vectors, "vector").alias("vector")), "word", "vector", word, n)

@@ -104,11 +104,23 @@ TOKENIZE = """SELECT doc_id, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS p
 FROM (SELECT doc_id, string_split(rtrim(text, ' '), ' ') AS t FROM documents)"""
 TEXT_SCAN = """SELECT doc_id, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS line_no, CAST(length(unnest(t)) AS INTEGER) AS n_chars
 FROM (SELECT doc_id, string_split(rtrim(text, chr(10)), chr(10)) AS t FROM documents)"""
-CSV_SCAN = """SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_quantity, l_extendedprice, l_discount,
-  CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE l_tax END AS l_tax,
-  CASE WHEN l_discount >= 0.06 THEN 'discounted.' WHEN l_quantity >= 40 THEN 'bulk.'
-       WHEN l_returnflag = 'R' THEN 'returned.' ELSE 'normal.' END AS label
+_CSV_LABEL = """CASE WHEN l_discount >= 0.06 THEN 'discounted.' WHEN l_quantity >= 40 THEN 'bulk.'
+       WHEN l_returnflag = 'R' THEN 'returned.' ELSE 'normal.' END"""
+CSV_SCAN = f"""SELECT l_orderkey, l_linenumber, l_returnflag, {", ".join(f"CASE WHEN l_orderkey % 13 <> 0 THEN {c} END AS {c}" for c in
+  ("l_linestatus", "l_quantity", "l_extendedprice", "l_discount"))},
+  CASE WHEN l_orderkey % 11 <> 0 AND l_orderkey % 13 <> 0 THEN l_tax END AS l_tax,
+  CASE WHEN l_orderkey % 13 <> 0 THEN {_CSV_LABEL} END AS label
 FROM lineitem"""
+# the numbers of a spoiled line as Spark writes doubles: small, so plain decimals
+CSV_REJECTS = f"""SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 13 = 0 THEN l_orderkey || ',' || l_linenumber || ',' || l_returnflag
+  ELSE concat_ws(',', l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_quantity::DOUBLE, l_extendedprice::DOUBLE, l_discount::DOUBLE, 'n/a', {_CSV_LABEL}) END AS line
+FROM lineitem WHERE l_orderkey % 11 = 0 OR l_orderkey % 13 = 0"""
+_AUTO_X = "CASE WHEN vec_id % 2 = 1 AND abs(x) < 0.15 THEN 0.0::DOUBLE ELSE x END"
+FORMAT_SPARSE_MESSAGE = f"""WITH {_EMB_PTS},
+v AS (SELECT vec_id, slot, {_AUTO_X} AS x FROM pts),
+f AS (SELECT vec_id, count(*) AS n, 1.5 * (sum(CASE WHEN x <> 0 THEN 1 ELSE 0 END) + 1) < count(*) AS sparse FROM v GROUP BY vec_id)
+SELECT vec_id, CASE WHEN sparse THEN 'sparse' ELSE 'dense' END AS form, CAST(n AS INTEGER) AS width, slot, x AS value
+FROM v JOIN f USING (vec_id) WHERE NOT sparse OR x <> 0"""
 
 # --- features ----------------------------------------------------------------
 SYMBOLIC_CARDINALITY = """
@@ -328,6 +340,126 @@ SCORE_STREAM = f"""WITH {_LINES} SELECT ts AS "timeStamp", 'u' || user_id AS "sr
 FROM lines WHERE event_id % 19 <> 0 AND event_id % 17 <> 0"""
 TWO_HOP_STREAM = "SELECT 't' || event_id || ' u' || user_id || ' ' || event_type AS key, true AS nearest FROM events"
 
+# --- k-means on the vectors: iterations unrolled -------------------------------
+_E = "e AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)"
+
+
+def _sq(x: str, c: str) -> str:
+    return f"list_sum(list_transform(list_zip({x}, {c}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+
+
+def _near(name: str, centers: str, rows: str = "e") -> str:
+    """name(vec_id, x, m): m = (squared distance, cluster) of the nearest row of centers(cluster, center)."""
+    return f"""{name} AS MATERIALIZED (SELECT vec_id, any_value(x) AS x, min(struct_pack(d := d, c := cluster)) AS m
+  FROM (SELECT r.vec_id, r.x, t.cluster, {_sq('r.x', 't.center')} AS d FROM {rows} r, {centers} t) GROUP BY vec_id)"""
+
+
+def _sums(name: str, near: str) -> str:
+    """name(c, n, s): count and slot sums of the rows nearest to each cluster."""
+    return f"""{name} AS MATERIALIZED (SELECT c, any_value(n) AS n, list(s ORDER BY slot) AS s FROM (
+  SELECT c, slot, sum(v) AS s, count(*) AS n FROM (SELECT m.c AS c, generate_subscripts(x, 1) AS slot, unnest(x) AS v FROM {near}) GROUP BY c, slot) GROUP BY c)"""
+
+
+def _lloyd(prefix: str, start: str, steps: int) -> tuple[str, str]:
+    """CTEs of ``steps`` Lloyd iterations, and the name of the last centres."""
+    ctes, old = [], start
+    for i in range(steps):
+        ctes += [_near(f"{prefix}n{i}", old), _sums(f"{prefix}s{i}", f"{prefix}n{i}"),
+                 f"{prefix}c{i} AS MATERIALIZED (SELECT o.cluster, CASE WHEN g.n > 0 THEN list_transform(g.s, lambda v: v / g.n) ELSE o.center END AS center "
+                 f"FROM {old} o LEFT JOIN {prefix}s{i} g ON g.c = o.cluster)"]
+        old = f"{prefix}c{i}"
+    return ",\n".join(ctes), old
+
+
+def _draw(draw: int) -> str:
+    return f"('0x' || substr(md5(vec_id::VARCHAR || '/{draw}/1'), 1, 13))::BIGINT::DOUBLE / {1 << 52}::DOUBLE"
+
+
+def _kmeans_fit(k: int, init: int, steps: int) -> str:
+    ctes = [_E, f"f0 AS MATERIALIZED (SELECT 0 AS step, vec_id, x FROM e ORDER BY {_draw(0)}, vec_id LIMIT 1)"]
+    for r in range(1, init + 1):
+        ctes += [f"h{r} AS MATERIALIZED (SELECT e.vec_id, any_value(e.x) AS x, min({_sq('e.x', 't.x')}) AS d FROM e, f{r - 1} t GROUP BY e.vec_id)",
+                 f"f{r} AS MATERIALIZED (SELECT * FROM f{r - 1} UNION ALL SELECT {r}, vec_id, x FROM h{r} WHERE {_draw(r)} < {2.0 * k}::DOUBLE * d / (SELECT sum(d) FROM h{r}))"]
+    ctes += [f"cand AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY step, vec_id) - 1 AS INTEGER) AS cluster, x AS center FROM f{init})",
+             _near("cn", "cand"), "cw AS MATERIALIZED (SELECT cluster, center, count(cn.vec_id) AS w FROM cand LEFT JOIN cn ON cn.m.c = cluster GROUP BY cluster, center)",
+             "p0 AS MATERIALIZED (SELECT 0 AS pick, cluster, center FROM cw ORDER BY w DESC, cluster LIMIT 1)"]
+    for j in range(1, k):
+        ctes += [f"q{j} AS (SELECT cw.cluster, any_value(cw.center) AS center, any_value(w) * min({_sq('cw.center', 't.center')}) AS far FROM cw, p{j - 1} t GROUP BY cw.cluster)",
+                 f"p{j} AS MATERIALIZED (SELECT * FROM p{j - 1} UNION ALL (SELECT {j}, cluster, center FROM q{j} WHERE far > 0 ORDER BY far DESC, cluster LIMIT 1))"]
+    ctes.append(f"start AS MATERIALIZED (SELECT CAST(pick AS INTEGER) AS cluster, center FROM p{k - 1})")
+    iterations, last = _lloyd("l", "start", steps)
+    ctes += [iterations, _near("final", last)]
+    return "WITH " + ",\n".join(ctes) + "\nSELECT vec_id, m.c AS cluster, round(m.d, 6) AS cost FROM final"
+
+
+def _elbow(ks: list[int], steps: int) -> str:
+    ctes, out = [_E], []
+    for k in ks:
+        p = f"k{k}"
+        iterations, last = _lloyd(p, f"{p}start", steps)
+        ctes += [f"{p}start AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS cluster, x AS center FROM e ORDER BY vec_id LIMIT {k})",
+                 iterations, _near(f"{p}f", last), _sums(f"{p}g", f"{p}f"),
+                 f"{p}q AS (SELECT m.c AS c, sum(list_sum(list_transform(x, lambda v: v * v))) AS q FROM {p}f GROUP BY m.c)",
+                 f"{p}m AS MATERIALIZED (SELECT c, n, list_transform(s, lambda v: v / n) AS mean, q / n - list_sum(list_transform(s, lambda v: (v / n) * (v / n))) AS spread FROM {p}g JOIN {p}q USING (c))",
+                 f"{p}d AS (SELECT f.vec_id, f.m.c AS own, f.m.d AS cost, t.c, t.n, {_sq('f.x', 't.mean')} + t.spread AS d FROM {p}f f, {p}m t)",
+                 f"{p}s AS (SELECT vec_id, any_value(cost) AS cost, max(CASE WHEN c = own THEN n END) AS n, max(CASE WHEN c = own THEN d * n / nullif(n - 1, 0) END) AS a, min(CASE WHEN c <> own THEN d END) AS b FROM {p}d GROUP BY vec_id)"]
+        out.append(f"SELECT CAST({k} AS INTEGER) AS k, round(sum(cost), 6) AS wssse, round(avg(CASE WHEN n = 1 OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM {p}s")
+    return "WITH " + ",\n".join(ctes) + "\n" + "\nUNION ALL ".join(out)
+
+
+def _random_centers(k: int, seed: int) -> str:
+    def uniform(at: int) -> str:
+        return f"(('0x' || substr(md5(cluster || '/' || slot || '/{seed}'), {at}, 13))::BIGINT::DOUBLE / {1 << 52}::DOUBLE)"
+
+    return f"""WITH {_E},
+r AS (SELECT cluster, slot, sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {uniform(1)})) * cos(2.0::DOUBLE * pi() * {uniform(14)}) AS v
+      FROM (SELECT unnest(range({k})) AS cluster), (SELECT unnest(range((SELECT max(len(x)) FROM e))) AS slot)),
+c AS MATERIALIZED (SELECT CAST(cluster AS INTEGER) AS cluster, list(v ORDER BY slot) AS center FROM r GROUP BY cluster),
+{_near("f", "c")}
+SELECT vec_id, m.c AS cluster, round(m.d, 6) AS cost FROM f"""
+
+
+def _kmeans_fold_embeddings(k: int, batches: int, decay: float) -> str:
+    """The decayed update with its split of a dying cluster, batch after batch."""
+    ctes = [_E, f"t0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS cluster, x AS center, 0.0::DOUBLE AS weight FROM e ORDER BY vec_id LIMIT {k})"]
+    out = []
+    for b in range(batches):
+        ctes += [f"e{b} AS MATERIALIZED (SELECT * FROM e WHERE vec_id % {batches} = {b})", _near(f"n{b}", f"t{b}", f"e{b}"), _sums(f"s{b}", f"n{b}"),
+                 f"""u{b} AS MATERIALIZED (SELECT t.cluster, t.weight * {decay}::DOUBLE + coalesce(g.n, 0) AS weight,
+  CASE WHEN g.n > 0 THEN list_transform(list_zip(t.center, g.s), lambda p: (1.0::DOUBLE - g.n / greatest(t.weight * {decay}::DOUBLE + g.n, 1e-16::DOUBLE)) * p[1]
+       + (g.n / greatest(t.weight * {decay}::DOUBLE + g.n, 1e-16::DOUBLE) / g.n) * p[2]) ELSE t.center END AS center
+  FROM t{b} t LEFT JOIN s{b} g ON g.c = t.cluster)""",
+                 f"hi{b} AS (SELECT * FROM u{b} ORDER BY weight DESC, cluster LIMIT 1)", f"lo{b} AS (SELECT * FROM u{b} ORDER BY weight, cluster LIMIT 1)",
+                 f"""t{b + 1} AS MATERIALIZED (SELECT u.cluster,
+  CASE WHEN l.weight < 1e-8 * h.weight AND u.cluster = h.cluster THEN list_transform(h.center, lambda v: v + 1e-14 * greatest(abs(v), 1.0))
+       WHEN l.weight < 1e-8 * h.weight AND u.cluster = l.cluster THEN list_transform(h.center, lambda v: v - 1e-14 * greatest(abs(v), 1.0)) ELSE u.center END AS center,
+  CASE WHEN l.weight < 1e-8 * h.weight AND u.cluster IN (h.cluster, l.cluster) THEN (h.weight + l.weight) / 2 ELSE u.weight END AS weight
+  FROM u{b} u, hi{b} h, lo{b} l)"""]
+        out.append(f"SELECT CAST({b} AS BIGINT) AS batch, cluster, round(weight, 6) AS weight, CAST(generate_subscripts(center, 1) - 1 AS INTEGER) AS slot, round(unnest(center), 6) AS value FROM t{b + 1}")
+    return "WITH " + ",\n".join(ctes) + "\n" + "\nUNION ALL ".join(out)
+
+
+KMEANS_FIT = _kmeans_fit(S.K_EMBED, 2, 20)
+ELBOW_SWEEP = _elbow([2, 3, 4, 5, 6], 5)
+RANDOM_CENTERS = _random_centers(30, 7)
+KMEANS_FOLD_EMBEDDINGS = _kmeans_fold_embeddings(S.K_EMBED, S.N_BATCHES, 0.9)
+
+LINREG_EMBEDDINGS = f"""WITH RECURSIVE {_E},
+p AS (SELECT vec_id % {S.N_BATCHES} AS b, vec_id, label / 10.0::DOUBLE + (vec_id % 7) / 20.0::DOUBLE AS y, generate_subscripts(x, 1) AS slot, unnest(x) AS v FROM e),
+col AS MATERIALIZED (SELECT b, slot, list(v ORDER BY vec_id) AS vs, list(y ORDER BY vec_id) AS ys FROM p GROUP BY b, slot),
+sm AS MATERIALIZED (SELECT b, any_value(n) AS n, list(row ORDER BY i) AS xx, list(xy ORDER BY i) AS xy FROM (
+  SELECT l.b, l.slot AS i, any_value(len(l.ys))::DOUBLE AS n, list(list_dot_product(l.vs, r.vs) ORDER BY r.slot) AS row, any_value(list_dot_product(l.vs, l.ys)) AS xy
+  FROM col l JOIN col r ON r.b = l.b GROUP BY l.b, l.slot) GROUP BY b),
+it(b, i, w, conv) AS (
+  SELECT 0, 0, (SELECT list_transform(any_value(x), lambda v: 0.0::DOUBLE) FROM e), false
+  UNION ALL
+  SELECT CASE WHEN go THEN b ELSE b + 1 END, CASE WHEN go THEN i + 1 ELSE 0 END, CASE WHEN go THEN v ELSE w END,
+         CASE WHEN go THEN i + 1 >= 2 AND sqrt({_sq('v', 'w')}) < 0.001 * greatest(sqrt(list_dot_product(v, v)), 1.0::DOUBLE) ELSE false END
+  FROM (SELECT it.b, it.i, it.w, (NOT it.conv AND it.i < 50) AS go,
+               list_transform(list_zip(it.w, sm.xx, sm.xy), lambda p: p[1] - (0.1::DOUBLE / sqrt(it.i + 1)) * ((list_dot_product(p[2], it.w) - p[3]) / sm.n)) AS v
+        FROM it JOIN sm ON sm.b = it.b))
+SELECT CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS slot, round(unnest(w), 9) AS weight FROM it WHERE b = {S.N_BATCHES}"""
+
 # --- text -----------------------------------------------------------------
 _TOKENS = "(SELECT unnest(string_split(rtrim(text, ' '), ' ')) AS token FROM documents)"
 VOCABULARY = f"SELECT token AS word, count(*) AS n FROM {_TOKENS} GROUP BY token HAVING count(*) >= 5"
@@ -380,6 +512,13 @@ ORACLES = {
     "stream_linreg_fold": STREAM_LINREG_FOLD,
     "stream_linreg_stream": STREAM_LINREG_FOLD,
     "linreg_predict": LINREG_PREDICT,
+    "kmeans_fit": KMEANS_FIT,
+    "elbow_sweep": ELBOW_SWEEP,
+    "random_centers": RANDOM_CENTERS,
+    "kmeans_fold_embeddings": KMEANS_FOLD_EMBEDDINGS,
+    "linreg_embeddings": LINREG_EMBEDDINGS,
+    "csv_rejects": CSV_REJECTS,
+    "format_sparse_message": FORMAT_SPARSE_MESSAGE,
     "weight_lines": STREAM_KMEANS_WEIGHTS,
     "stream_kmeans_predict": STREAM_KMEANS_PREDICT,
     "stream_linreg_predict": STREAM_LINREG_PREDICT,

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netsentry.functions import parse as P
 from netsentry.functions import records as R
@@ -72,15 +73,36 @@ def q_top_similar(spark, sf_dir):
 
 
 def q_kmeans_fit(spark, sf_dir):
+    """M1, M2: k-means|| start drawn by a hash of the id, then Lloyd iterations to the fixpoint (20 at most)."""
     emb = S.embeddings(spark, sf_dir)
-    data = emb.select("vec_id", V.to_vector("embedding").alias("features"))
-    model = cluster.kmeans(S.K_EMBED, seed=1).fit(data)
-    return model.transform(data).select("vec_id", F.col("prediction").cast("int").alias("cluster"))
+    start = cluster.parallel_init(emb, "vec_id", "embedding", S.K_EMBED, steps=INIT_STEPS, seed=1)
+    fitted, _ = cluster.lloyd_fit(emb, "embedding", start, LLOYD_STEPS, 0.0, with_costs=False)
+    out = cluster.assign(emb.select("vec_id", "embedding"), "embedding", fitted, keep_distances=True)
+    return out.select("vec_id", "cluster", r6(F.array_min("_ns_d")).alias("cost"))
+
+
+INIT_STEPS, LLOYD_STEPS = 2, 20
+ELBOW_KS, ELBOW_STEPS = [2, 3, 4, 5, 6], 5
 
 
 def q_elbow_sweep(spark, sf_dir):
+    """A5 over fixed starts (the vectors of the smallest ids): cost and silhouette for each k."""
+    emb = S.embeddings(spark, sf_dir)
+    firsts = S.first_centers(emb, "vec_id", "embedding", max(ELBOW_KS))
+    out = cluster.elbow_from_starts(emb, "embedding", {k: firsts[:k] for k in ELBOW_KS}, ELBOW_STEPS, 0.0)
+    return out.select("k", r6("wssse").alias("wssse"), r6("silhouette").alias("silhouette"))
+
+
+RANDOM_K, RANDOM_SEED = 30, 7
+
+
+def q_random_centers(spark, sf_dir):
+    """Each vector's nearest of k random centres as wide as the vectors."""
     emb = S.embeddings(spark, sf_dir)
-    return cluster.elbow_sweep(emb, "embedding", [2, 3, 4, 5, 6], seed=1)
+    dim = emb.agg(F.max(F.size("embedding"))).first()[0]
+    centers, _ = cluster.random_centers(RANDOM_K, dim, 1.0, RANDOM_SEED)
+    out = cluster.assign(emb.select("vec_id", "embedding"), "embedding", centers, keep_distances=True)
+    return out.select("vec_id", "cluster", r6(F.array_min("_ns_d")).alias("cost"))
 
 
 # ------------------------------------------------------------ parsing, P1-P12
@@ -172,6 +194,21 @@ def q_format_vector_message(spark, sf_dir):
         F.size(F.split(F.element_at(toks, -1), ",")).alias("width"))
 
 
+def q_format_sparse_message(spark, sf_dir):
+    """P10: the numbers of messages whose vectors are written as they would be stored (sparse or dense by their zeros),
+    taken from the text by string functions: (vec_id, form, width, slot, value), of sparse texts the slots they hold."""
+    emb = S.embeddings(spark, sf_dir)
+    arr = F.transform("embedding", lambda x: F.when(F.abs(x) < F.when(F.pmod("vec_id", F.lit(2)) == 1, 0.15).otherwise(0.0), F.lit(0.0)).otherwise(x))
+    msg = emb.select("vec_id", P.format_vector_message([F.concat(F.lit("t"), F.col("vec_id").cast("string")), F.lit("dst")], arr, "auto").alias("msg"))
+    t = msg.select("vec_id", F.substring_index("msg", " ", -1).alias("t")).withColumn("sparse", F.col("t").startswith("("))
+    lists = F.regexp_extract_all("t", F.lit(r"\[([^\]]*)\]"), 1)
+    numbers = F.split(F.element_at(lists, -1), ",")
+    slots = F.when(F.col("sparse"), F.split(lists[0], ",")).otherwise(F.transform(numbers, lambda x, i: i.cast("string")))
+    width = F.when(F.col("sparse"), F.regexp_extract("t", r"^\((\d+),", 1).cast("int")).otherwise(F.size(numbers))
+    rows = t.select("vec_id", F.when(F.col("sparse"), "sparse").otherwise("dense").alias("form"), width.alias("width"), F.explode(F.arrays_zip(slots.alias("s"), numbers.alias("v"))).alias("e"))
+    return rows.select("vec_id", "form", "width", F.col("e.s").cast("int").alias("slot"), F.col("e.v").cast("double").alias("value"))
+
+
 def q_split_key_vector(spark, sf_dir):
     kv = _messages(spark, sf_dir).select("vec_id", *P.split_key_vector("msg", "key", "vt"))
     return kv.select("vec_id", "key", F.posexplode(P.parse_vector("vt")).alias("slot", "value")) \
@@ -204,27 +241,48 @@ def q_tokenize(spark, sf_dir):
         .select("doc_id", F.col("pos").cast("int"), "token")
 
 
-def q_csv_scan(spark, sf_dir):
-    """S1 + S3: records as CSV text, parsed with a schema built from a spec;
-    PERMISSIVE, so a bad number is null."""
+CORRUPT = "corrupt"
+
+
+def _csv_files(spark, sf_dir):
+    """S1 + S3: records written as header-less CSV files, with a schema built from a spec. Some lines are bad: every
+    11th order's tax is a text; of every 13th order the line ends after three fields."""
     from netsentry.sources.spec import schema_from_spec
     spec = "class list.\n" + "\n".join(
         [f"{c}: symbolic." for c in S.LI_SYMBOLIC] + [f"{c}: continuous." for c in S.LI_NUMERIC]) + "\n"
     schema = schema_from_spec(spec, "double", label="label")
+    key = S.table(spark, sf_dir, "lineitem", S.LI_KEYS).schema
     li = S.lineitem_records(spark, sf_dir, label=True)
     num = [F.col(c).cast("string") for c in S.LI_NUMERIC]
-    # every 11th order's tax is written as text: a bad number
-    tax = F.when(F.pmod(F.col("l_orderkey"), F.lit(11)) == 0, F.lit("n/a")).otherwise(num[3])
-    line = F.concat_ws(",", F.col("l_returnflag"), F.col("l_linestatus"), num[0], num[1], num[2], tax, F.col("label"))
-    csv = li.select(*S.LI_KEYS, line.alias("line"))
-    return files.parse_csv_lines(csv, "line", schema, keep=S.LI_KEYS)
+    order = F.col("l_orderkey")
+    tax = F.when(F.pmod(order, F.lit(11)) == 0, F.lit("n/a")).otherwise(num[3])
+    whole = F.concat_ws(",", *(F.col(c).cast("string") for c in S.LI_KEYS), F.col("l_returnflag"), F.col("l_linestatus"), num[0], num[1], num[2], tax, F.col("label"))
+    line = F.when(F.pmod(order, F.lit(13)) == 0, F.substring_index(whole, ",", 3)).otherwise(whole)
+    path = scratch_path(spark, "csv")
+    files.write_text(li.select(line.alias("value")), path)
+    return path, T.StructType([*key.fields, *schema.fields])
+
+
+def q_csv_scan(spark, sf_dir):
+    """CSV files read with an explicit schema; PERMISSIVE, so a bad number and what a short line lacks are null."""
+    return files.read_csv(spark, *_csv_files(spark, sf_dir))
+
+
+def q_csv_rejects(spark, sf_dir):
+    """The lines that could not be read whole, from the corrupt-record column."""
+    rows = files.read_csv(spark, *_csv_files(spark, sf_dir), corrupt=CORRUPT)
+    return rows.where(F.col(CORRUPT).isNotNull()).select("l_orderkey", "l_linenumber", F.col(CORRUPT).alias("line"))
 
 
 def q_text_scan(spark, sf_dir):
-    """S2 + P1: documents as text lines (one row per line)."""
+    """S2 + P1: documents written as text files, a line for each of theirs under its id and number, and read back."""
     docs = S.table(spark, sf_dir, "documents", ["doc_id", "text"])
     lines = P.explode_records(docs, "text", "line", "line_no")
-    return lines.select("doc_id", "line_no", F.length("line").alias("n_chars"))
+    path = scratch_path(spark, "text")
+    files.write_text(lines.select(F.concat_ws("\t", F.col("doc_id").cast("string"), F.col("line_no").cast("string"), "line").alias("value")), path)
+    parts = F.split("value", "\t", 3)
+    read = files.read_text(spark, path, "\n").select(parts[0].cast("long").alias("doc_id"), parts[1].cast("int").alias("line_no"), parts[2].alias("line"))
+    return read.select("doc_id", "line_no", F.length("line").alias("n_chars"))
 
 
 # ------------------------------------------------------- features, F1-F6, A1
@@ -270,9 +328,10 @@ def q_one_hot(spark, sf_dir):
     li = S.lineitem_records(spark, sf_dir)
     idx = _li_index_model(li).transform(li)
     enc = features.one_hot_encoder(["l_returnflag_index", "l_linestatus_index"]).fit(idx).transform(idx)
-    a = V.explode_slots(enc, S.LI_KEYS, "l_returnflag_Vec").withColumn("feature", F.lit("l_returnflag_Vec"))
-    b = V.explode_slots(enc, S.LI_KEYS, "l_linestatus_Vec").withColumn("feature", F.lit("l_linestatus_Vec"))
-    return a.unionByName(b)
+    # one pass: each row's vectors as (feature, slots), exploded once
+    both = F.array(*[F.struct(F.lit(c).alias("feature"), V.as_double_array(enc, c).alias("x")) for c in ("l_returnflag_Vec", "l_linestatus_Vec")])
+    rows = enc.select(*S.LI_KEYS, F.explode(both).alias("v"))
+    return rows.select(*S.LI_KEYS, F.posexplode("v.x").alias("slot", "value"), "v.feature").withColumn("slot", F.col("slot").cast("int"))
 
 
 def q_index_to_label(spark, sf_dir):
@@ -363,10 +422,15 @@ def _event_values(spark, sf_dir):
 
 
 def _event_fold(spark, sf_dir):
-    data = _event_values(spark, sf_dir)
-    trace = SK.kmeans_fold(data, "x", "batch", SK.KMeansState.of(INIT_CENTERS, INIT_WEIGHTS), DECAY,
-                           batches=list(range(S.N_BATCHES)))
-    return data, trace
+    return SK.kmeans_fold(_event_values(spark, sf_dir), "x", "batch", SK.KMeansState.of(INIT_CENTERS, INIT_WEIGHTS), DECAY,
+                          batches=range(S.N_BATCHES))
+
+
+def _folded_assignments(spark, data, vec, keep):
+    """Each batch scored by the model after training on it (train, then predict)."""
+    out = scratch_path(spark, "assignments")
+    SK.kmeans_fold(data, vec, "batch", SK.KMeansState.of(INIT_CENTERS, INIT_WEIGHTS), DECAY, batches=range(S.N_BATCHES), keep=keep, out_path=out)
+    return spark.read.parquet(out).select(*keep, "cluster")
 
 
 def q_stream_kmeans_step(spark, sf_dir):
@@ -377,31 +441,32 @@ def q_stream_kmeans_step(spark, sf_dir):
 
 
 def q_stream_kmeans_fold(spark, sf_dir):
-    _, trace = _event_fold(spark, sf_dir)
+    trace = _event_fold(spark, sf_dir)
     return SK.trace_to_df(spark, trace[-1:]).select(
         "cluster", r6("weight").alias("weight"), r6(F.col("center")[0]).alias("center"))
 
 
 def q_stream_kmeans_weights(spark, sf_dir):
-    _, trace = _event_fold(spark, sf_dir)
+    trace = _event_fold(spark, sf_dir)
     return SK.trace_to_df(spark, trace).select("batch", "cluster", r6("weight").alias("weight"))
 
 
-def _assign_by_batch(data, trace, vec, keep):
-    """Each batch scored by the model after training on it (train, then
-    predict): one filtered pass per batch with that batch's k x dim model,
-    so every row meets exactly one model; the per-batch results are unioned."""
-    parts = [SK.predict(data.filter(F.col("batch") == F.lit(b)), vec, st).select(*keep, "cluster")
-             for b, st in trace]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def q_stream_kmeans_assign(spark, sf_dir):
+    return _folded_assignments(spark, _event_values(spark, sf_dir), "x", ["event_id"])
 
 
-def q_stream_kmeans_assign(spark, sf_dir):
-    data, trace = _event_fold(spark, sf_dir)
-    return _assign_by_batch(data, trace, "x", ["event_id"])
+EMBED_DECAY = 0.9
+
+
+def q_kmeans_fold_embeddings(spark, sf_dir):
+    """M6 + M9 at k = 5 and the vectors' width: the model after each of three batches, the start at the vectors of the smallest
+    ids with weight 0: (batch, cluster, weight, slot, value)."""
+    emb, centers = _embed_centers(spark, sf_dir)
+    data = emb.select(F.pmod("vec_id", F.lit(S.N_BATCHES)).alias("batch"), "embedding")
+    trace = SK.kmeans_fold(data, "embedding", "batch", SK.KMeansState.of(centers, [0.0] * S.K_EMBED), EMBED_DECAY, batches=range(S.N_BATCHES))
+    rows = SK.trace_to_df(spark, trace)
+    return rows.select("batch", "cluster", r6("weight").alias("weight"), F.posexplode("center").alias("slot", "value")) \
+        .select("batch", "cluster", "weight", F.col("slot").cast("int"), r6("value").alias("value"))
 
 
 def q_two_hop_cluster(spark, sf_dir):
@@ -415,9 +480,7 @@ def q_two_hop_cluster(spark, sf_dir):
                                                        F.array(F.col("duration"))).alias("msg"))
     kv = msgs.select("batch", *P.split_key_vector("msg", "key", "vt"))
     data = kv.select("batch", "key", P.parse_vector("vt").alias("x"))
-    trace = SK.kmeans_fold(data, "x", "batch", SK.KMeansState.of(INIT_CENTERS, INIT_WEIGHTS), DECAY,
-                           batches=list(range(S.N_BATCHES)))
-    return _assign_by_batch(data, trace, "x", ["key"])
+    return _folded_assignments(spark, data, "x", ["key"])
 
 
 # ------------------------------------------------------------- regression
@@ -441,6 +504,16 @@ def q_stream_linreg_fold(spark, sf_dir):
         .select("slot", r9("weight").alias("weight"))
 
 
+def q_linreg_embeddings(spark, sf_dir):
+    """M11 at the vectors' width: the weights after three batches of (a number of the label and the id, vector)."""
+    emb = S.embeddings(spark, sf_dir)
+    dim = emb.agg(F.max(F.size("embedding"))).first()[0]
+    y = F.col("label") / 10.0 + F.pmod("vec_id", F.lit(7)) / 20.0
+    data = emb.select(F.pmod("vec_id", F.lit(S.N_BATCHES)).alias("batch"), "embedding", y.alias("y"))
+    w = regression.linreg_fold(data, "embedding", "y", "batch", [0.0] * dim)[-1][1]
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(w)], "slot int, weight double").select("slot", r9("weight").alias("weight"))
+
+
 def q_assignment_lines(spark, sf_dir):
     """The ``key cluster`` lines that hop 2 publishes."""
     return topology.assignment_lines(q_two_hop_cluster(spark, sf_dir))
@@ -460,6 +533,13 @@ def q_word2vec_fit(spark, sf_dir):
     return model.getVectors().select("word")
 
 
+def q_synonyms(spark, sf_dir):
+    """M14, word level: the words most similar to the most frequent one, by the vectors of a model fitted on the documents."""
+    toks = S.table(spark, sf_dir, "documents", ["text"]).select(P.tokenize("text").alias("tokens"))
+    word = text.vocabulary(toks, "tokens", 5).where("word <> ''").orderBy(F.desc("n"), "word").first()["word"]
+    return text.synonyms(text.parallel_word2vec(toks, "tokens", seed=42).fit(toks), word, 10)
+
+
 def q_vocabulary(spark, sf_dir):
     docs = S.table(spark, sf_dir, "documents", ["text"])
     return text.vocabulary(docs.select(P.tokenize("text").alias("tokens")), "tokens", 5)
@@ -476,7 +556,9 @@ QUERIES = {
     "kmeans_fit": q_kmeans_fit,
     "elbow_sweep": q_elbow_sweep,
     # sources and parsing
+    "random_centers": q_random_centers,
     "csv_scan": q_csv_scan,
+    "csv_rejects": q_csv_rejects,
     "text_scan": q_text_scan,
     "explode_records": q_explode_records,
     "parse_strict": q_parse_strict,
@@ -486,6 +568,7 @@ QUERIES = {
     "parse_vector_text": q_parse_vector_text,
     "parse_labeled_point": q_parse_labeled_point,
     "format_vector_message": q_format_vector_message,
+    "format_sparse_message": q_format_sparse_message,
     "split_key_vector": q_split_key_vector,
     "hop2_rejects": q_hop2_rejects,
     "hop2_vectors": q_hop2_vectors,
@@ -511,11 +594,14 @@ QUERIES = {
     "stream_kmeans_fold": q_stream_kmeans_fold,
     "stream_kmeans_weights": q_stream_kmeans_weights,
     "stream_kmeans_assign": q_stream_kmeans_assign,
+    "kmeans_fold_embeddings": q_kmeans_fold_embeddings,
     "two_hop_cluster": q_two_hop_cluster,
     "assignment_lines": q_assignment_lines,
     "stream_linreg_fold": q_stream_linreg_fold,
+    "linreg_embeddings": q_linreg_embeddings,
     "linreg_predict": q_linreg_predict,
     # text
     "word2vec_fit": q_word2vec_fit,
+    "synonyms": q_synonyms,
     "vocabulary": q_vocabulary,
 }

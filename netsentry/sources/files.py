@@ -23,11 +23,17 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, mode: str = "
     such lines out; FAILFAST fails. A line with too few or too many fields is one of them. ``header`` skips the first line of
     each file. Files are split into tasks unless ``multi_line`` allows line ends inside quotes.
     """
+    own = schema.fieldNames()
     if corrupt:
         schema = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType(), True)])
     reader = spark.read.schema(schema).option("mode", mode).option("sep", sep).option("header", header).option("multiLine", multi_line)
-    # what makes a line bad must not depend on which columns the caller goes on to use
-    return (reader.option("columnNameOfCorruptRecord", corrupt) if corrupt else reader).option("columnPruning", not corrupt and mode == "PERMISSIVE").csv(path)
+    # What makes a line bad must not depend on which columns the caller goes on to use: a condition that always holds,
+    # but names every column, keeps them from being pruned.
+    always = F.pmod(F.hash(*own), F.lit(1)) == 0
+    if corrupt:
+        rows = reader.option("columnNameOfCorruptRecord", corrupt).option("columnPruning", False).csv(path)
+        return rows.withColumn(corrupt, F.when(always, F.col(corrupt)))
+    return reader.csv(path) if mode.upper() == "PERMISSIVE" else reader.option("columnPruning", False).csv(path).where(always)
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", header: bool = False) -> None:

@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 
 from netsentry.functions import vectors as V
 from netsentry.operators.cluster import lloyd_stats
+from netsentry.session import scratch_path
 from netsentry.sources import fs
 from netsentry.streaming.summary import SummarySink
 
@@ -129,25 +130,43 @@ def kmeans_step(state: KMeansState, batch: DataFrame, vec: str, decay: float,
     return merge(state, counts, sums, decay, unit)
 
 
+def numbered_store(df: DataFrame, batch_col: str, path: str) -> DataFrame:
+    """``df`` written once below the shared folder, partitioned by its batch number, and read back: a step that asks for one batch
+    reads that batch's folder only."""
+    df.withColumn(batch_col, F.col(batch_col).cast("long")).write.partitionBy(batch_col).parquet(path)
+    fields = [f for f in df.schema.fields if f.name != batch_col]
+    return df.sparkSession.read.schema(T.StructType([*fields, T.StructField(batch_col, T.LongType())])).parquet(path)
+
+
+def stored_numbers(spark: SparkSession, batch_col: str, path: str) -> list[int]:
+    """The batch numbers of a store (its folder names; no pass over the data). Rows without a number are an error."""
+    names = [n.partition("=")[2] for n in fs.list_dirs(spark, path) if n.startswith(f"{batch_col}=")]
+    if any(not n.lstrip("-").isdigit() for n in names):
+        raise ValueError("rows without a batch number")
+    return sorted(map(int, names))
+
+
 def kmeans_fold(df: DataFrame, vec: str, batch_col: str, state: KMeansState, decay: float,
-                unit: str = "batches", batches: Sequence | None = None) -> list[tuple[object, KMeansState]]:
+                unit: str = "batches", batches: Sequence[int] | None = None, keep: Sequence[str] = (),
+                out_path: str | None = None) -> list[tuple[int, KMeansState]]:
     """Replay micro-batches in ``batch_col`` order: [(batch, state after it)].
 
-    Batches run one after another (the update is not commutative); each is a
-    distributed aggregate over its own rows only, pruned by the filter.
-    The input is persisted once for the loop.
+    The rows (``keep`` columns and the vector) are stored once by batch number; batches run one after another (the
+    update is not commutative), each a distributed aggregate over its own folder. ``batches`` may name numbers without
+    rows: empty batches, which decay the weights. With ``out_path`` the batch is read once more under the updated
+    model and its assignments (``keep``, cluster) go to ``<out_path>/<batch_col>=<number>`` (train, then predict).
     """
-    data = df.select(batch_col, vec).persist()
-    try:
-        if batches is None:
-            batches = [r[0] for r in data.select(batch_col).distinct().orderBy(batch_col).collect()]
-        trace = []
-        for b in batches:
-            state = kmeans_step(state, data.filter(F.col(batch_col) == F.lit(b)), vec, decay, unit)
-            trace.append((b, state))
-        return trace
-    finally:
-        data.unpersist()
+    spark = df.sparkSession
+    path = scratch_path(spark, "numbered")
+    data = numbered_store(df.select(batch_col, *keep, vec), batch_col, path)
+    trace = []
+    for b in stored_numbers(spark, batch_col, path) if batches is None else batches:
+        rows = data.where(F.col(batch_col) == F.lit(int(b)))
+        state = kmeans_step(state, rows, vec, decay, unit)
+        trace.append((int(b), state))
+        if out_path:
+            predict(rows, vec, state).select(*keep, "cluster").write.mode("overwrite").parquet(f"{out_path}/{batch_col}={int(b)}")
+    return trace
 
 
 def trace_to_df(spark: SparkSession, trace, batch_name: str = "batch") -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from netsentry.functions import parse as P
@@ -58,16 +59,18 @@ class Scorer:
         self.keep, self.sink = list(keep), sink
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        def to_parquet(scored: DataFrame, batch_id: int) -> None:
+            scored.write.mode("overwrite").parquet(f"{self.out}/scored/batch={int(batch_id)}")
+
+        write = self.sink or to_parquet
         tagged = tag_messages(batch).persist()  # parsed once, for rows and for rejects
         try:
             good, rejects = P.split_tagged(tagged, R.stream_record_schema())
-            scored = pipelines.score(good, self.m1, self.m2, self.keep)
-            if self.sink is None:
-                if good.isEmpty():  # P14: nothing to score; the batch's folder is written all the same, typed and empty
-                    scored = batch.sparkSession.createDataFrame([], scored.schema)
-                scored.write.mode("overwrite").parquet(f"{self.out}/scored/batch={int(batch_id)}")
-            elif not good.isEmpty():
-                self.sink(scored, batch_id)
+            if not good.isEmpty():
+                write(pipelines.score(good, self.m1, self.m2, self.keep), batch_id)
+            elif self.sink is None:  # P14: nothing to score; the batch's folder is written all the same, typed and empty
+                fields = [*(good.schema[c] for c in self.keep), T.StructField(R.PREDICTED_LABEL, T.StringType())]
+                write(batch.sparkSession.createDataFrame([], T.StructType(fields)), batch_id)
             rejects.write.mode("overwrite").parquet(f"{self.out}/rejects/batch={int(batch_id)}")
         finally:
             tagged.unpersist()
