@@ -4,6 +4,7 @@ be). Tables are the pre-registered test views. Literals are cast to DOUBLE
 
 from __future__ import annotations
 
+from netsentry.operators import forest
 from netsentry.plans import standins as S
 
 K = S.K_EMBED
@@ -460,6 +461,57 @@ it(b, i, w, conv) AS (
         FROM it JOIN sm ON sm.b = it.b))
 SELECT CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS slot, round(unnest(w), 9) AS weight FROM it WHERE b = {S.N_BATCHES}"""
 
+# --- forest: levels unrolled ------------------------------------------------------
+def _forest(trees: int, depth: int, bins: int, seed: int, what: str) -> str:
+    features = S.LI_NUMERIC
+    width, size = len(features), forest.subset_size(len(features), trees)
+    label = "CASE WHEN l_discount >= 0.06 THEN 1 WHEN l_quantity >= 40 THEN 0 WHEN l_returnflag = 'R' THEN 3 ELSE 2 END"
+    draw = "('0x' || substr(md5(l_orderkey || '-' || l_linenumber || '/{t}/{seed}'), 1, 13))::BIGINT::DOUBLE / {whole}::DOUBLE"
+    weights = []
+    for t in range(trees):
+        u = draw.format(t=t, seed=seed, whole=1 << 52)
+        weights.append("(" + " + ".join(f"({u} >= {end!r}::DOUBLE)::INTEGER" for end in forest.POISSON) + ")" if trees > 1 else "1")
+    cut = "(lo{i} + (hi{i} - lo{i}) * {j} / {bins}::DOUBLE)"
+    ctes = ["mm AS (SELECT " + ", ".join(f"min({c})::DOUBLE AS lo{i}, max({c})::DOUBLE AS hi{i}" for i, c in enumerate(features)) + " FROM lineitem)",
+            "b AS MATERIALIZED (SELECT l_orderkey, l_linenumber, " + label + " AS y, "
+            + ", ".join(f"len(list_filter(range(1, {bins}), lambda j: {cut.format(i=i, j='j', bins=bins)} < {c})) AS f{i}" for i, c in enumerate(features)) + ", "
+            + ", ".join(f"{w} AS w{t}" for t, w in enumerate(weights)) + " FROM lineitem, mm)"]
+    out, routed = [], []
+    for t in range(trees):
+        rows = f"r{t}_0"
+        ctes.append(f"{rows} AS (SELECT *, 1 AS node FROM b)")
+        for level in range(depth):
+            moves = []
+            for n in range(1 << level, 2 << level):
+                p = f"t{t}n{n}"
+                stacked = " UNION ALL ".join(f"SELECT {f} AS f, f{f} AS bin, y, w{t} AS w FROM {rows} WHERE node = {n}" for f in forest.node_features(t, n, width, size, seed))
+                ctes += [f"{p}h AS (SELECT f, bin, y, sum(w)::DOUBLE AS c FROM ({stacked}) GROUP BY ALL)",
+                         f"{p}g AS (SELECT f, j, y, sum(CASE WHEN bin <= j THEN c ELSE 0 END) AS l, sum(c) AS a FROM {p}h, (SELECT unnest(range({bins - 1})) AS j) GROUP BY ALL)",
+                         f"{p}s AS (SELECT f, j, sum(l * l) / sum(l) + sum((a - l) * (a - l)) / sum(a - l) AS score, sum(a) AS w, sum(a * a) AS s FROM {p}g GROUP BY f, j HAVING sum(l) > 0 AND sum(a - l) > 0)",
+                         f"{p} AS MATERIALIZED (SELECT f, j, score / w - s / (w * w) AS gain FROM {p}s WHERE score > s / w ORDER BY score DESC, f, j LIMIT 1)"]
+                value = "CASE f " + " ".join(f"WHEN {i} THEN {cut.format(i=i, j='(j + 1)', bins=bins)}" for i in range(width)) + " END"
+                out.append(f"SELECT {t}::INTEGER AS tree, {n}::INTEGER AS node, f::INTEGER AS feature, round({value}, 6) AS threshold, round(gain, 9) AS gain FROM {p}, mm")
+                bin_of = f"CASE (SELECT f FROM {p}) " + " ".join(f"WHEN {i} THEN f{i}" for i in range(width)) + " END"
+                moves.append(f"WHEN node = {n} AND (SELECT count(*) FROM {p}) = 1 THEN {2 * n} + ({bin_of} > (SELECT j FROM {p}))::INTEGER")
+            new = f"r{t}_{level + 1}"
+            ctes.append(f"{new} AS MATERIALIZED (SELECT * EXCLUDE (node), CASE {' '.join(moves)} ELSE node END AS node FROM {rows})")
+            rows = new
+        ctes += [f"leaf{t} AS MATERIALIZED (SELECT node, [{', '.join(f'(sum(CASE WHEN y = {y} THEN w{t} ELSE 0 END)::DOUBLE / sum(w{t}))' for y in range(4))}] AS p FROM {rows} GROUP BY node)"]
+        routed.append(rows)
+    if what == "splits":
+        return "WITH " + ",\n".join(ctes) + "\n" + "\nUNION ALL ".join(out)
+    # the trees' rows are the rows of b in each, joined by what routes them
+    ctes.append("grid AS MATERIALIZED (SELECT DISTINCT " + ", ".join(f"f{i}" for i in range(width)) + " FROM b)")
+    same = " AND ".join(f"x.f{i} = grid.f{i}" for i in range(width))
+    ctes.append("shares AS MATERIALIZED (SELECT grid.*, list_transform(list_zip(" + ", ".join(f"(SELECT any_value(p) FROM {r} x JOIN leaf{t} USING (node) WHERE {same})" for t, r in enumerate(routed))
+                + "), lambda p: " + " + ".join(f"p[{t + 1}]" for t in range(trees)) + ") AS p FROM grid)")
+    names = "['bulk.', 'discounted.', 'normal.', 'returned.']"
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT l_orderkey, l_linenumber, {names}[list_position(p, list_max(p))] AS predicted FROM b JOIN shares USING ({', '.join(f'f{i}' for i in range(width))})"
+
+
+FOREST_SPLITS = _forest(3, 2, 16, 1, "splits")
+FOREST_PREDICT = _forest(3, 2, 16, 1, "predict")
+
 # --- text -----------------------------------------------------------------
 _TOKENS = "(SELECT unnest(string_split(rtrim(text, ' '), ' ')) AS token FROM documents)"
 VOCABULARY = f"SELECT token AS word, count(*) AS n FROM {_TOKENS} GROUP BY token HAVING count(*) >= 5"
@@ -512,6 +564,8 @@ ORACLES = {
     "stream_linreg_fold": STREAM_LINREG_FOLD,
     "stream_linreg_stream": STREAM_LINREG_FOLD,
     "linreg_predict": LINREG_PREDICT,
+    "forest_splits": FOREST_SPLITS,
+    "forest_predict": FOREST_PREDICT,
     "kmeans_fit": KMEANS_FIT,
     "elbow_sweep": ELBOW_SWEEP,
     "random_centers": RANDOM_CENTERS,

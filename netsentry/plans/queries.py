@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from netsentry.functions import parse as P
 from netsentry.functions import records as R
 from netsentry.functions import vectors as V
-from netsentry.operators import classify, cluster, features, regression, text
+from netsentry.operators import classify, cluster, features, forest, regression, text
 from netsentry.plans import pipelines
 from netsentry.plans import standins as S
 from netsentry.session import scratch_path
@@ -410,6 +410,33 @@ def q_rf_fit_score(spark, sf_dir):
         li.unpersist()
 
 
+FOREST_TREES, FOREST_DEPTH, FOREST_BINS, FOREST_SEED = 3, 2, 16, 1
+FOREST_CLASSES = ["bulk.", "discounted.", "normal.", "returned."]
+
+
+def _forest(spark, sf_dir):
+    """M4 with hashed draws, fitted on the connection records, saved as a table and read back."""
+    li = S.lineitem_records(spark, sf_dir, label=True)
+    rows = li.select(*S.LI_KEYS, F.concat_ws("-", *(F.col(c).cast("string") for c in S.LI_KEYS)).alias("key"),
+                     F.array(*(F.col(c).cast("double") for c in S.LI_NUMERIC)).alias("x"),
+                     (F.array_position(F.array(*map(F.lit, FOREST_CLASSES)), F.col("label")) - 1).cast("int").alias("y"))
+    fitted = forest.fit_forest(rows, "key", "x", "y", len(FOREST_CLASSES), len(S.LI_NUMERIC), FOREST_TREES, FOREST_DEPTH, FOREST_BINS, FOREST_SEED)
+    return rows, pipelines.materialize(fitted.to_df(spark), scratch_path(spark, "forest"))
+
+
+def q_forest_splits(spark, sf_dir):
+    """M4: the splits of the forest and what they gain."""
+    _, saved = _forest(spark, sf_dir)
+    return saved.where("feature is not null").select("tree", "node", "feature", r6("threshold").alias("threshold"), r9("gain").alias("gain"))
+
+
+def q_forest_predict(spark, sf_dir):
+    """M5: each record's class by the saved forest."""
+    rows, saved = _forest(spark, sf_dir)
+    label = F.element_at(F.array(*map(F.lit, FOREST_CLASSES)), forest.predict("x", forest.Forest.from_df(saved)) + 1)
+    return rows.select(*S.LI_KEYS, label.alias("predicted"))
+
+
 # --------------------------------------------------------- streaming k-means
 INIT_CENTERS = [[0.0], [50.0]]
 INIT_WEIGHTS = [0.0, 0.0]
@@ -589,6 +616,8 @@ QUERIES = {
     "hash_split": q_hash_split,
     "accuracy": q_accuracy,
     "rf_fit_score": q_rf_fit_score,
+    "forest_splits": q_forest_splits,
+    "forest_predict": q_forest_predict,
     # streaming models
     "stream_kmeans_step": q_stream_kmeans_step,
     "stream_kmeans_fold": q_stream_kmeans_fold,
