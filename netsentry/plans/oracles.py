@@ -517,6 +517,8 @@ _TOKENS = "(SELECT unnest(string_split(rtrim(text, ' '), ' ')) AS token FROM doc
 VOCABULARY = f"SELECT token AS word, count(*) AS n FROM {_TOKENS} GROUP BY token HAVING count(*) >= 5"
 WORD2VEC_FIT = f"SELECT token AS word FROM {_TOKENS} GROUP BY token HAVING count(*) >= 5"
 
+WORD_VECTORS = f"SELECT token AS word, 100::INTEGER AS width, true AS finite, true AS moved FROM {_TOKENS} GROUP BY token HAVING count(*) >= 5"
+
 ORACLES = {
     "nearest_center": NEAREST_CENTER,
     "distance_to_centers": DISTANCE_TO_CENTERS,
@@ -581,5 +583,6 @@ ORACLES = {
     "score_stream": SCORE_STREAM,
     "two_hop_stream": TWO_HOP_STREAM,
     "word2vec_fit": WORD2VEC_FIT,
+    "word_vectors": WORD_VECTORS,
     "vocabulary": VOCABULARY,
 }

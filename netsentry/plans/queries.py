@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from netsentry.functions import parse as P
 from netsentry.functions import records as R
 from netsentry.functions import vectors as V
-from netsentry.operators import classify, cluster, features, forest, regression, text
+from netsentry.operators import classify, cluster, features, forest, regression, text, word_vectors
 from netsentry.plans import pipelines
 from netsentry.plans import standins as S
 from netsentry.session import scratch_path
@@ -560,6 +560,16 @@ def q_word2vec_fit(spark, sf_dir):
     return model.getVectors().select("word")
 
 
+def q_word_vectors(spark, sf_dir):
+    """M13, trained in shards: each word of the vocabulary with its vector's width, whether all its components are finite and
+    whether it has left its start."""
+    toks = S.table(spark, sf_dir, "documents", ["text"]).select(P.tokenize("text").alias("tokens"))
+    vectors = word_vectors.fit_word_vectors(toks, "tokens", size=100, min_count=5, negatives=2, passes=1, shards=8)
+    x = F.col("vector")
+    return vectors.select("word", F.size(x).alias("width"), F.forall(x, lambda v: ~F.isnan(v) & (F.abs(v) < float("inf"))).alias("finite"),
+                          F.exists(x, lambda v: F.abs(v) > 0.005).alias("moved"))
+
+
 def q_synonyms(spark, sf_dir):
     """M14, word level: the words most similar to the most frequent one, by the vectors of a model fitted on the documents."""
     toks = S.table(spark, sf_dir, "documents", ["text"]).select(P.tokenize("text").alias("tokens"))
@@ -631,6 +641,7 @@ QUERIES = {
     "linreg_predict": q_linreg_predict,
     # text
     "word2vec_fit": q_word2vec_fit,
+    "word_vectors": q_word_vectors,
     "synonyms": q_synonyms,
     "vocabulary": q_vocabulary,
 }
