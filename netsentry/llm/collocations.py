@@ -8,11 +8,11 @@ the phrase read so far, and a part of fewer pointers than the least count is aba
 
 1. Words are counted per language in each batch and summed by Spark. From these counts come ``n``, the words that
    a phrase can hold (as a bitmap of fixed size: hashes of words that occur often enough; a word that is let through by
-   chance only costs time), and the *frequent* words, at most ``1 / share`` of them.
+   chance only costs time), and the *frequent* words, fewer than ``2 ** SHARE_BITS`` of them.
 2. A suffix ends before the first word that cannot be in a phrase. It is dealt by its first word;
    while the words read so far are all frequent ones, by one word more. So a group of suffixes
-   holds no more than the count of a word that is not frequent, or suffixes that are all alike, which are
-   sent as a number. The counts of phrases that are shorter than what they were dealt by are sums over groups.
+   holds no more than the count of a word that is not frequent (one in ``2 ** SHARE_BITS`` of all; raise it for corpora whose
+   groups would not fit a task), or suffixes that are all alike, which are sent as a number. The counts of phrases that are shorter than what they were dealt by are sums over groups.
 3. Spark sorts the groups (its sort spills to disk); a task reads group after group, a few
    megabytes at a time, and sorts each by the multikey quicksort.
 4. Phrases are scored by joins with the counts of their parts. A phrase inside a longer one can only be dropped for
@@ -41,8 +41,7 @@ from netsentry.llm.common import regroup, release, staged
 
 MAX_WORDS = 4  # words of the longest phrase
 FILTER_BITS = 25  # the bitmap of words that occur often enough has 2 ** FILTER_BITS bits
-SHARE_BITS = 16  # a frequent word is more than one in 2 ** SHARE_BITS words, so there are fewer than that
-GROUP = 200_000  # and one that occurs at least so often
+SHARE_BITS = 10  # a frequent word is more than one in 2 ** SHARE_BITS words, so there are fewer than that
 BATCH = 8 << 20  # bytes of text that are cut into words at once
 CHUNK = 8 << 20  # bytes of suffixes that are sorted at once, beyond a whole group
 SLICE = 1 << 17  # suffixes that are copied at once
@@ -190,7 +189,7 @@ def partition(table: np.ndarray, pointers: np.ndarray, least: int) -> Iterator[t
 
 def count_phrases(frequent: set[tuple[bytes, bytes]], least: int, longest: int):
     """Sorted groups of suffixes to rows (lang, phrase, f). Phrases of frequent words only that are no longer than what
-    their group was dealt by come with the group's share of their count."""
+    their group was dealt by come with the share that a chunk of groups has of their count."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size, last = 0, None
@@ -231,6 +230,7 @@ def count_phrases(frequent: set[tuple[bytes, bytes]], least: int, longest: int):
             for column, value in zip(out, (lang, phrase, f)):
                 column.append(value)
 
+        shares: dict[tuple[str, str], int] = {}
         lo = 0
         while lo < len(leads):
             hi = lo + 1
@@ -240,19 +240,22 @@ def count_phrases(frequent: set[tuple[bytes, bytes]], least: int, longest: int):
             total = int(same[lo:hi].sum() + lines[hi] - lines[lo])
             deep = len(lead) if (lang.encode(), lead[-1].encode()) in frequent else len(lead) - 1
             for k in range(2, deep + 1):
-                put(lang, " ".join(lead[:k]), total)
+                of = lang, " ".join(lead[:k])
+                shares[of] = shares.get(of, 0) + total
             if total >= least and deep < len(lead) and len(lead) > 1:
                 put(lang, leads[lo], total)
             if lines[hi] - lines[lo] >= least:
                 for words, f in partition(table, np.arange(lines[lo], lines[hi]), least):
                     put(lang, b" ".join([leads[lo].encode(), *(known[w] for w in words)]).decode(), f)
             lo = hi
+        for (lang, phrase), f in shares.items():
+            put(lang, phrase, f)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], ["lang", "phrase", "f"])
 
     return run
 
 
-def phrase_counts(docs: DataFrame, least: int = 30, longest: int = MAX_WORDS, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, least: int = 30, longest: int = MAX_WORDS, share_bits: int = SHARE_BITS) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, f) of all phrases of 1 to ``longest`` words that occur ``least`` times or more, (lang, n))."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
@@ -265,7 +268,7 @@ def phrase_counts(docs: DataFrame, least: int = 30, longest: int = MAX_WORDS, gr
     bitmap = np.zeros(1 << max(FILTER_BITS - 3, 0), np.uint8)
     bitmap[cells["byte"].to_numpy()] = cells["bits"].to_numpy().astype(np.uint8)
     everything = words.agg(F.sum("f")).first()[0] or 0
-    bound = max(group, (everything >> SHARE_BITS) + 1)
+    bound = (everything >> share_bits) + 1
     frequent = {(r["lang"].encode(), r["word"].encode()) for r in words.where(F.col("f") >= bound).select("lang", "word").collect()}
     dealt = rows.mapInArrow(deal_suffixes(bitmap, frequent, longest), "lang string, lead string, same long, tails binary")
     sorted_ = dealt.repartition("lang", "lead").sortWithinPartitions("lang", "lead")
@@ -303,7 +306,7 @@ def rank_phrases(scored: DataFrame, top: int, parts: int = 64) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top).drop("_part")
 
 
-def mine_collocations(docs: DataFrame, least: int = 30, top: int = 2000, group: int = GROUP) -> DataFrame:
+def mine_collocations(docs: DataFrame, least: int = 30, top: int = 2000, share_bits: int = SHARE_BITS) -> DataFrame:
     """The best phrases of two to ``MAX_WORDS`` words of each language: lang, rank, phrase, a, l, r, n, score."""
-    counts, totals = phrase_counts(docs, least, group=group)
+    counts, totals = phrase_counts(docs, least, share_bits=share_bits)
     return rank_phrases(score_phrases(counts), top).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

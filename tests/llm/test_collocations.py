@@ -54,12 +54,12 @@ def texts(seed, n=120):
     return out + [(None, "en"), ("", None), ("...!?", "de"), ("the the the the the the the the the the", "en"), ("same words here again", "fr")] + [("same words here again", "fr")] * 40
 
 
-@pytest.mark.parametrize("seed,least,group,top", [(1, 3, 200_000, 2000), (2, 3, 8, 2000), (3, 2, 3, 2000), (4, 5, 30, 7)])
-def test_mined_phrases(spark, monkeypatch, seed, least, group, top):
+@pytest.mark.parametrize("seed,least,share_bits,top", [(1, 3, 0, 2000), (2, 3, 6, 2000), (3, 2, 13, 2000), (4, 5, 4, 7)])
+def test_mined_phrases(spark, monkeypatch, seed, least, share_bits, top):
     monkeypatch.setattr(collocations, "FILTER_BITS", 12 if seed % 2 else 25)
     rows = texts(seed)
     docs = spark.createDataFrame([(None if i % 9 == 0 else i, t, la, 1, "z") for i, (t, la) in enumerate(rows)], SCHEMA).repartition(5)
-    got = sorted(tuple(r) for r in collocations.mine_collocations(docs, least, top, group).collect())
+    got = sorted(tuple(r) for r in collocations.mine_collocations(docs, least, top, share_bits).collect())
     assert got == mined(rows, least, top)
     assert got
 
@@ -70,14 +70,14 @@ def test_long_text_in_several_chunks(spark, monkeypatch):
     r = random.Random(5)
     long = " ".join(r.choice(["a", "b", "c", "d e f", "g,", "%d" % r.randrange(3000)]) for _ in range(40000))
     rows = [(long, "en"), ("a b c d", "en")]
-    got = sorted(tuple(x) for x in collocations.mine_collocations(spark.createDataFrame([(1, *x, 1, "z") for x in rows], SCHEMA), 30, 2000, 500).collect())
+    got = sorted(tuple(x) for x in collocations.mine_collocations(spark.createDataFrame([(1, *x, 1, "z") for x in rows], SCHEMA), 30, 2000, 5).collect())
     assert got == mined(rows, 30, 2000)
 
 
 def test_counts_are_whole(spark):
     rows = texts(9)
     f, n = phrases(rows, 4)
-    counts, totals = collocations.phrase_counts(spark.createDataFrame([(1, *x, 1, "z") for x in rows], SCHEMA), 4, group=10)
+    counts, totals = collocations.phrase_counts(spark.createDataFrame([(1, *x, 1, "z") for x in rows], SCHEMA), 4, share_bits=5)
     assert {(r["lang"], r["phrase"]): r["f"] for r in counts.collect()} == {(la, b" ".join(p).decode()): c for (la, p), c in f.items()}
     assert {r["lang"]: r["n"] for r in totals.collect()} == n
 
