@@ -107,10 +107,10 @@ TEXT_SCAN = """SELECT doc_id, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS
 FROM (SELECT doc_id, string_split(rtrim(text, chr(10)), chr(10)) AS t FROM documents)"""
 _CSV_LABEL = """CASE WHEN l_discount >= 0.06 THEN 'discounted.' WHEN l_quantity >= 40 THEN 'bulk.'
        WHEN l_returnflag = 'R' THEN 'returned.' ELSE 'normal.' END"""
-CSV_SCAN = f"""SELECT l_orderkey, l_linenumber, l_returnflag, {", ".join(f"CASE WHEN l_orderkey % 13 <> 0 THEN {c} END AS {c}" for c in
-  ("l_linestatus", "l_quantity", "l_extendedprice", "l_discount"))},
-  CASE WHEN l_orderkey % 11 <> 0 AND l_orderkey % 13 <> 0 THEN l_tax END AS l_tax,
-  CASE WHEN l_orderkey % 13 <> 0 THEN {_CSV_LABEL} END AS label
+CSV_SCAN = """SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_quantity, l_extendedprice, l_discount,
+  CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE l_tax END AS l_tax,
+  CASE WHEN l_discount >= 0.06 THEN 'discounted.' WHEN l_quantity >= 40 THEN 'bulk.'
+       WHEN l_returnflag = 'R' THEN 'returned.' ELSE 'normal.' END AS label
 FROM lineitem"""
 # the numbers of a spoiled line as Spark writes doubles: small, so plain decimals
 CSV_REJECTS = f"""SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 13 = 0 THEN l_orderkey || ',' || l_linenumber || ',' || l_returnflag
@@ -580,8 +580,8 @@ ORACLES = {
     "stream_linreg_predict": STREAM_LINREG_PREDICT,
     "stream_text_vectors": STREAM_TEXT_VECTORS,
     "stream_text_points": STREAM_TEXT_POINTS,
-    "score_stream": SCORE_STREAM,
-    "two_hop_stream": TWO_HOP_STREAM,
+    "score_stream_as_batch": SCORE_STREAM,
+    "two_hop_nearest": TWO_HOP_STREAM,
     "word2vec_fit": WORD2VEC_FIT,
     "word_vectors": WORD_VECTORS,
     "vocabulary": VOCABULARY,

@@ -244,9 +244,9 @@ def q_tokenize(spark, sf_dir):
 CORRUPT = "corrupt"
 
 
-def _csv_files(spark, sf_dir):
+def _csv_files(spark, sf_dir, short: bool):
     """S1 + S3: records written as header-less CSV files, with a schema built from a spec. Some lines are bad: every
-    11th order's tax is a text; of every 13th order the line ends after three fields."""
+    11th order's tax is a text; ``short``: of every 13th order the line ends after three fields."""
     from netsentry.sources.spec import schema_from_spec
     spec = "class list.\n" + "\n".join(
         [f"{c}: symbolic." for c in S.LI_SYMBOLIC] + [f"{c}: continuous." for c in S.LI_NUMERIC]) + "\n"
@@ -257,20 +257,20 @@ def _csv_files(spark, sf_dir):
     order = F.col("l_orderkey")
     tax = F.when(F.pmod(order, F.lit(11)) == 0, F.lit("n/a")).otherwise(num[3])
     whole = F.concat_ws(",", *(F.col(c).cast("string") for c in S.LI_KEYS), F.col("l_returnflag"), F.col("l_linestatus"), num[0], num[1], num[2], tax, F.col("label"))
-    line = F.when(F.pmod(order, F.lit(13)) == 0, F.substring_index(whole, ",", 3)).otherwise(whole)
+    line = F.when(F.lit(short) & (F.pmod(order, F.lit(13)) == 0), F.substring_index(whole, ",", 3)).otherwise(whole)
     path = scratch_path(spark, "csv")
     files.write_text(li.select(line.alias("value")), path)
     return path, T.StructType([*key.fields, *schema.fields])
 
 
 def q_csv_scan(spark, sf_dir):
-    """CSV files read with an explicit schema; PERMISSIVE, so a bad number and what a short line lacks are null."""
-    return files.read_csv(spark, *_csv_files(spark, sf_dir))
+    """CSV files read with an explicit schema; PERMISSIVE, so a bad number is null."""
+    return files.read_csv(spark, *_csv_files(spark, sf_dir, False))
 
 
 def q_csv_rejects(spark, sf_dir):
     """The lines that could not be read whole, from the corrupt-record column."""
-    rows = files.read_csv(spark, *_csv_files(spark, sf_dir), corrupt=CORRUPT)
+    rows = files.read_csv(spark, *_csv_files(spark, sf_dir, True), corrupt=CORRUPT)
     return rows.where(F.col(CORRUPT).isNotNull()).select("l_orderkey", "l_linenumber", F.col(CORRUPT).alias("line"))
 
 

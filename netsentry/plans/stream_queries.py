@@ -100,16 +100,27 @@ def _event_records(spark, sf_dir):
     return rec.withColumn("label", label)
 
 
-def q_score_stream(spark: SparkSession, sf_dir: str, trigger_bytes: int = TRIGGER_BYTES) -> DataFrame:
-    """T4 + F11 + P14: fit and save both stages on the parsed records, score the record
-    message stream batch by batch with the saved models, and compare each row with the batch
-    score of the same models: (timeStamp, srcIp, desIp, as_in_batch)."""
+def _scored(spark: SparkSession, sf_dir: str, trigger_bytes: int):
+    """Both stages fitted on the parsed records and saved, and the record message stream scored batch by batch with them: (models, base folder)."""
     base = scratch_path(spark, "score-stream")
     train = pipelines.materialize(_event_records(spark, sf_dir), f"{base}/train")
     m1, m2, _ = pipelines.fit_two_stage(train, R.SYMBOLIC_INPUTS, R.ASSEMBLER_INPUTS, 4, "timeStamp",
                                         path1=f"{base}/pipeline1", path2=f"{base}/pipeline2")
     _write_messages(_event_messages(spark, sf_dir), f"{base}/source")
     _drain(_message_stream(spark, f"{base}/source", trigger_bytes), scorer.Scorer(m1, m2, f"{base}/out"), f"{base}/checkpoint")
+    return (m1, m2), base
+
+
+def q_score_stream(spark: SparkSession, sf_dir: str, trigger_bytes: int = TRIGGER_BYTES) -> DataFrame:
+    """T4 + F11 + P14: the streamed scores (timeStamp, srcIp, desIp, predictedLabel)."""
+    _, base = _scored(spark, sf_dir, trigger_bytes)
+    return spark.read.parquet(f"{base}/out/scored").drop("batch")
+
+
+def q_score_stream_as_batch(spark: SparkSession, sf_dir: str, trigger_bytes: int = TRIGGER_BYTES) -> DataFrame:
+    """T4 + F11 row by row: each streamed record, and whether its label is the one that the same saved models give
+    the record in one batch (timeStamp, srcIp, desIp, as_in_batch)."""
+    (m1, m2), base = _scored(spark, sf_dir, trigger_bytes)
     key = ["timeStamp", "srcIp", "desIp"]
     good, _ = scorer.parse_messages(spark.read.schema("value string").parquet(f"{base}/source"))
     batch = pipelines.score(good, m1, m2, key).withColumnRenamed(R.PREDICTED_LABEL, "_batch")
@@ -117,10 +128,9 @@ def q_score_stream(spark: SparkSession, sf_dir: str, trigger_bytes: int = TRIGGE
     return streamed.join(batch, key, "full").select(*key, F.col(R.PREDICTED_LABEL).eqNullSafe(F.col("_batch")).alias("as_in_batch"))
 
 
-def q_two_hop_stream(spark: SparkSession, sf_dir: str, trigger_bytes: int = TRIGGER_BYTES) -> DataFrame:
+def _two_hops(spark: SparkSession, sf_dir: str, trigger_bytes: int) -> str:
     """T2 with two streaming queries: records -> scaled-vector messages on an
-    intermediate folder -> online k-means (k = 30, decay 0.95). Each message comes out with its key, and
-    whether its cluster is the nearest under the model version stored for its micro-batch."""
+    intermediate folder -> online k-means (k = 30, decay 0.95) -> key/cluster; the folder of all that."""
     base = scratch_path(spark, "two-hop")
     train = pipelines.materialize(_event_records(spark, sf_dir), f"{base}/train")
     pre = pipelines.stage1_pipeline(R.SYMBOLIC_INPUTS, R.ASSEMBLER_INPUTS, None, None).fit(train)
@@ -132,6 +142,18 @@ def q_two_hop_stream(spark: SparkSession, sf_dir: str, trigger_bytes: int = TRIG
     model = StreamingKMeans(30, 0.95, "batches", state_path=f"{base}/state", out_path=f"{base}/out",
                             vec_col="x", key_cols=["key"], dim=dim, init_weight=1.0, seed=7)
     _drain(_message_stream(spark, f"{base}/mid", trigger_bytes), topology.Hop2(model), f"{base}/ck2")
+    return base
+
+
+def q_two_hop_stream(spark: SparkSession, sf_dir: str, trigger_bytes: int = TRIGGER_BYTES) -> DataFrame:
+    """Each message's key and cluster."""
+    return spark.read.parquet(f"{_two_hops(spark, sf_dir, trigger_bytes)}/out/assignments").select("key", "cluster")
+
+
+def q_two_hop_nearest(spark: SparkSession, sf_dir: str, trigger_bytes: int = TRIGGER_BYTES) -> DataFrame:
+    """T2 row by row: each message's key, and whether its cluster is the nearest under the model version stored for its
+    micro-batch."""
+    base = _two_hops(spark, sf_dir, trigger_bytes)
     sent = topology.hop2_vectors(spark.read.schema("value string").parquet(f"{base}/mid"))
     got = spark.read.parquet(f"{base}/out/assignments")
     versions = StateTable(spark, f"{base}/state")
@@ -293,7 +315,9 @@ STREAM_QUERIES = {
     "stream_lines": q_stream_lines,
     "stream_union": q_stream_union,
     "score_stream": q_score_stream,
+    "score_stream_as_batch": q_score_stream_as_batch,
     "two_hop_stream": q_two_hop_stream,
+    "two_hop_nearest": q_two_hop_nearest,
     "stream_kmeans_stream": q_stream_kmeans_stream,
     "stream_linreg_stream": q_stream_linreg_stream,
     "weight_lines": q_weight_lines,
