@@ -11,7 +11,7 @@ in at least T = ceil(t * size) of its shingles' inverted lists.
    others, the (shared - T + 1) shingles with the shortest lists are its short
    lists: any partner stands in at least one of them. Documents joined by short
    lists form candidate groups (connected components; found with a star per
-   list, never with pairs).
+   list, never with pairs; first within a task, then between the tasks' components).
 3. Search. Groups that hold several different sets are searched with DivideSkip:
    the short lists are heap-merged with skips, the long ones are probed by binary
    search for the merge's survivors, and the exact similarity decides. A document
@@ -39,7 +39,7 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsentry.llm.common import mix, regroup, release, shingle_set, staged, utf8, word_hashes
@@ -47,6 +47,7 @@ from netsentry.llm.components import components
 
 GROUP = 1024
 BUCKET_TEXT = 8 << 20
+POST_TEXT = 2 << 20  # bytes of text whose postings are made at once
 BROADCAST_ROWS = 500_000
 MU = 0.01
 
@@ -99,7 +100,7 @@ def least_overlap(n, num: int, den: int):
 
 def post(batches: Iterable[pa.RecordBatch], width: int, bits: int) -> Iterator[pa.RecordBatch]:
     """A row per document (kind 0), and packed postings per bucket (kind 1)."""
-    for part in regroup(batches):
+    for part in regroup(batches, size=POST_TEXT):
         ids = part.column(0).to_pylist()
         sets = shingle_sets(part.column(1).to_pylist(), width)
         keys = [set_keys(s) if len(s) else (None, None) for s in sets]
@@ -117,7 +118,9 @@ def post(batches: Iterable[pa.RecordBatch], width: int, bits: int) -> Iterator[p
         short = (key >> np.uint64(32 - bits)).astype(np.uint32)
         cut = np.flatnonzero(np.diff(bucket, prepend=-1))
         for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(key)]):
-            rows.append((1, int(bucket[lo]), None, None, None, None, pack_arrays(doc, size, short[lo:hi], idx[lo:hi])))
+            # only the documents that occur in the slice go with it
+            own, number = np.unique(idx[lo:hi], return_inverse=True)
+            rows.append((1, int(bucket[lo]), None, None, None, None, pack_arrays(doc[own], size[own], short[lo:hi], number.astype(np.uint16))))
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(
             (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=_NAMES)
 
@@ -159,6 +162,7 @@ def measure_lists(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.R
         none = [None] * len(data)
         yield pa.RecordBatch.from_arrays([pa.array([1] * len(data), pa.int32()), pa.array(to[cut], pa.int32()), *(pa.array(none, pa.int64()) for _ in range(4)),
                                           pa.array(data, pa.binary())], names=_NAMES)
+        release()
         del blobs, docs, sizes, keys, doc, size, key, length, order, to, data
     release()
 
@@ -191,15 +195,24 @@ def short_lists(batches: Iterable[pa.RecordBatch], num: int, den: int) -> Iterat
 
 
 def stars(name: np.ndarray, doc: np.ndarray, step: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Rows (list, a, b): every document of a list with the list's first one."""
+    """Rows (list, a, b). The lists of a task join its documents to components: a row (-1, document, root) for each document that is
+    no root, and for the other tasks a row (list, root, root) for each list."""
+    if not len(name):
+        return
     order = np.lexsort((doc, name))
     name, doc = name[order], doc[order]
-    begin = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, np.int64)
-    low = np.repeat(doc[begin], np.diff(np.append(begin, len(name)))) if len(name) else doc
-    # Within a task: the star. Across tasks: one row (list, first document) each.
-    a, b = np.unique(np.stack([doc, low], 1)[doc != low], axis=0).T if (doc != low).any() else (doc[:0], doc[:0])
+    begin = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+    docs, number = np.unique(doc, return_inverse=True)
+    low = np.repeat(number[begin], np.diff(np.append(begin, len(name))))
+    forest = _Forest(len(docs))
+    edges = np.unique(number.astype(np.int64)[number != low] * len(docs) + low[number != low])
+    for e in edges.tolist():
+        forest.join(*divmod(e, len(docs)))
+    root = docs[np.array([forest.find(x) for x in range(len(docs))], np.int64)]
+    a, b = docs[root != docs], root[root != docs]
+    of_list = root[number[begin]]
     names = np.concatenate([np.full(len(a), -1), name[begin]])
-    a, b = np.concatenate([a, doc[begin]]), np.concatenate([b, doc[begin]])
+    a, b = np.concatenate([a, of_list]), np.concatenate([b, of_list])
     for lo in range(0, len(names), step):
         yield pa.RecordBatch.from_arrays([pa.array(x[lo:lo + step]) for x in (names, a, b)], names=["name", "a", "b"])
 
@@ -310,13 +323,9 @@ def similar_groups(docs: DataFrame, width: int, num: int, den: int, key: str = "
     near = staged(lists.where("kind = 1").select("bucket", "data").repartition(parts, "bucket")
                   .mapInArrow(lambda b: short_lists(b, num, den), "name long, a long, b long"), "short")
 
-    def across(batches):
-        rows = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        for b in stars(*map(np.concatenate, zip(*rows))) if rows else ():
-            yield from pa.Table.from_batches([b]).filter(pa.array(b.column(1).to_numpy() != b.column(2).to_numpy())).to_batches()
-
-    wide = near.where("name >= 0").select("name", "a").repartition(parts, "name").mapInArrow(across, "name long, a long, b long")
-    groups = staged(components(near.where("name < 0").select("a", "b").unionByName(wide.select("a", "b"))), "groups")
+    # A list holds one row for each task; two roots are joined once, however many lists they share.
+    wide = near.where("name >= 0").select("a", F.min("a").over(Window.partitionBy("name")).alias("b")).where("a <> b").distinct()
+    groups = staged(components(near.where("name < 0").select("a", "b").unionByName(wide)), "groups")
     reps = known.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     # One document of each different set is searched.
     several = staged(groups.join(reps.select(F.col("rep").alias("node")).distinct(), "node"), "searched")
