@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain, repeat
 
@@ -46,8 +47,8 @@ from netsentry.llm.token_automaton import SPACE, ByteBpe, byte_bpe
 
 RESULT = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 PART_BITS = 26  # a partition of pairs for every 2 ** PART_BITS bytes of text
-MAX_PIECES = 1 << 17  # pieces whose alignment is remembered per worker
-MAX_REMEMBERED = 64  # bytes of such a piece
+BATCH = 4 << 20  # bytes of Arrow data whose texts make a run
+MAX_WORDS = 1 << 17  # words whose A ids are remembered per worker
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -87,17 +88,31 @@ class PieceSide:
         return [i if len(p) > 1 else [self.space] for i, p in zip(ids, pieces)]
 
 
-class Aligner:
-    """Aligned pieces of text: (n_a, n_b, n_groups, groups as text, links as pair numbers), or None where the
-    tokens' bytes are not the piece's."""
+@dataclass
+class Aligned:
+    """Aligned pieces of text. A piece whose tokens' bytes are not its own is not ``sound`` and has no tokens."""
+
+    sound: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    links: np.ndarray  # pair numbers of all pieces, one after the other
+    groups: list[bytes]  # the groups of each piece as text, each group with a semicolon after it
+
 
+class Aligner:
     def __init__(self, a_path: str, b_path: str):
         self.a: ByteBpe = byte_bpe(a_path)
+        self.a.max_words = MAX_WORDS
         self.b = PieceSide(b_path)
         self.n_a = len(self.a.automaton.labels)
         self.a_size = np.array([len(x or b"") for x in self.a.automaton.labels])
         self.b_size = np.array([len(x) for x in self.b.bytes])
-        self.known: dict[bytes, tuple | None] = {}
+        numbers = [b"%d," % i for i in range(max(self.n_a, self.b.size))]
+        self.digits = np.frombuffer(b"".join(numbers), np.uint8)
+        self.number_size = np.fromiter(map(len, numbers), np.int64)
+        self.number_at = np.cumsum(self.number_size) - self.number_size
 
     def cuts(self, data: bytes, segments: np.ndarray) -> np.ndarray:
         """Where the pieces begin: at segments, and at spaces after something that is no white space."""
@@ -109,54 +124,42 @@ class Aligner:
         inner = byte[1:][(kind[1:] == SPACE) & (kind[:-1] < SPACE)]
         return np.union1d(inner, segments)
 
-    def align(self, pieces: list[bytes]) -> list[tuple | None]:
-        new = [p for p in pieces if p not in self.known]
-        if new:
-            found = dict(zip(new, self._align(new)))
-            out = [found[p] if p in found else self.known[p] for p in pieces]
-            if len(self.known) + len(new) > MAX_PIECES:
-                self.known.clear()
-            self.known.update((p, r) for p, r in list(found.items())[:MAX_PIECES] if len(p) <= MAX_REMEMBERED)
-            return out
-        return [self.known[p] for p in pieces]
-
-    def _align(self, pieces: list[bytes]) -> Iterator[tuple | None]:
+    def align(self, pieces: list[bytes]) -> Aligned:
         a_ids, a_at = self.a.encode(pieces, specials=False)
-        b_lists = self.b.encode(pieces)
-        b_bytes = self.b.bytes
-        sound = [b"".join([b_bytes[i] for i in ids]) == p for ids, p in zip(b_lists, pieces)]
-        b_lists = [ids if ok else [] for ids, ok in zip(b_lists, sound)]
-        b_at = cumulated(np.fromiter(map(len, b_lists), np.int64, len(pieces)))
-        b_ids = np.fromiter(chain.from_iterable(b_lists), np.int64, int(b_at[-1]))
+        b_lists = self.b.encode(pieces) if pieces else []
+        b_bytes = self.b.bytes.__getitem__
+        sound = np.fromiter((b"".join(map(b_bytes, ids)) == p for ids, p in zip(b_lists, pieces)), bool, len(pieces))
+        n_a = np.where(sound, np.diff(a_at), 0)
+        n_b = np.where(sound, np.fromiter(map(len, b_lists), np.int64, len(pieces)), 0)
+        b_at = cumulated(n_b)
+        b_ids = np.fromiter(chain.from_iterable(ids for ids, ok in zip(b_lists, sound) if ok), np.int64, int(b_at[-1]))
         begin = cumulated(np.fromiter(map(len, pieces), np.int64, len(pieces)))
         a_end = np.cumsum(self.a_size[a_ids])  # pieces lie one after the other, as their A tokens do
+        kept = np.repeat(sound, np.diff(a_at))
+        a_ids, a_end, a_at = a_ids[kept].astype(np.int64), a_end[kept], cumulated(n_a)
         a_begin = a_end - self.a_size[a_ids]
         size = self.b_size[b_ids]
-        b_of = np.repeat(np.arange(len(pieces)), np.diff(b_at))
-        b_end = np.cumsum(size)
-        b_end += (begin[:-1] - (b_end - size)[np.minimum(b_at[:-1], max(len(size) - 1, 0))] if len(size) else begin[:-1])[b_of]
-        b_begin = b_end - size
+        inside = cumulated(size)
+        b_begin = inside[:-1] - np.repeat(inside[b_at[:-1]] - begin[:-1], n_b)
+        b_end = b_begin + size
         first = np.searchsorted(b_end, a_begin, "right")
         links = np.searchsorted(b_begin, a_end, "left") - first
-        links[~np.repeat(np.array(sound, bool), np.diff(a_at))] = 0
-        pair = b_ids[spread(first, links)] * self.n_a + np.repeat(a_ids, links)
-        pair_at = np.append(0, np.cumsum(links))[a_at]
-        a_cut = np.isin(a_end, b_end)  # the last A token of a group
-        b_cut = np.isin(b_end, a_end)
-        a_text, b_text = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-        a_last, b_last = (np.flatnonzero(a_cut) + 1).tolist(), (np.flatnonzero(b_cut) + 1).tolist()
-        a_group = np.append(0, np.cumsum(a_cut))[a_at].tolist()
-        b_group = np.append(0, np.cumsum(b_cut))[b_at].tolist()
-        pair, pair_at, a_at, b_at = pair.tolist(), pair_at.tolist(), a_at.tolist(), b_at.tolist()
-        for k, ok in enumerate(sound):
-            if not ok:
-                yield None
-                continue
-            i, j, groups = a_at[k], b_at[k], []
-            for x, y in zip(a_last[a_group[k]:a_group[k + 1]], b_last[b_group[k]:b_group[k + 1]]):
-                groups.append(f"{','.join(a_text[i:x])}|{','.join(b_text[j:y])}")
-                i, j = x, y
-            yield a_at[k + 1] - a_at[k], b_at[k + 1] - b_at[k], len(groups), ";".join(groups).encode(), tuple(pair[pair_at[k]:pair_at[k + 1]])
+        pairs = b_ids[spread(first, links)] * self.n_a + np.repeat(a_ids, links)
+        a_cut, b_cut = np.isin(a_end, b_end), np.isin(b_end, a_end)  # the last tokens of groups
+        a_group, b_group = np.cumsum(a_cut) - a_cut, np.cumsum(b_cut) - b_cut
+        n = int(a_cut.sum())
+        of_a, of_b = np.bincount(a_group, minlength=n), np.bincount(b_group, minlength=n)
+        at = cumulated(of_a + of_b)[:-1]
+        token = np.zeros(len(a_ids) + len(b_ids), np.int64)
+        token[at[a_group] + np.arange(len(a_ids)) - cumulated(of_a)[a_group]] = a_ids
+        token[(at + of_a)[b_group] + np.arange(len(b_ids)) - cumulated(of_b)[b_group]] = b_ids
+        shown = cumulated(self.number_size[token])
+        text = self.digits[spread(self.number_at[token], self.number_size[token])]
+        text[shown[at + of_a] - 1] = ord("|")
+        text[shown[at + of_a + of_b] - 1] = ord(";")
+        data, bounds = text.tobytes(), shown[a_at + b_at].tolist()
+        return Aligned(sound, n_a, n_b, np.diff(cumulated(a_cut)[a_at]), np.diff(cumulated(links)[a_at]), pairs,
+                       [data[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:])])
 
 
 @lru_cache(maxsize=2)
@@ -167,7 +170,7 @@ def aligner(a_path: str, b_path: str) -> Aligner:
 def aligned_batches(batches: Iterable[pa.RecordBatch], text: str, a_path: str, b_path: str):
     """(rows, texts' own pieces as numbers and where they begin, alignment of each different piece)."""
     side = aligner(a_path, b_path)
-    for rows in regroup(batches, rows=1 << 16, column=text):
+    for rows in regroup(batches, rows=1 << 16, size=BATCH, column=text):
         texts = [b" " + t if t else b"" for t in rows[text].cast(pa.binary()).to_pylist()]
         data = b"".join(texts)
         begin = cumulated(np.fromiter(map(len, texts), np.int64, len(texts)))
@@ -185,8 +188,7 @@ def align_texts(docs: DataFrame, a_path: str, b_path: str, text: str = "text", o
         for rows, code, at, found in aligned_batches(batches, text, a_path, b_path):
             groups = []
             for lo, hi in zip(at[:-1], at[1:]):
-                mine = [found[c] for c in code[lo:hi].tolist()]
-                groups.append(b";".join([m[3] for m in mine]).decode() if mine and None not in mine else None)
+                groups.append(b"".join([found.groups[c] for c in code[lo:hi].tolist()])[:-1].decode() if hi > lo and found.sound[code[lo:hi]].all() else None)
             yield from rows.append_column(out, pa.array(groups, pa.string())).combine_chunks().to_batches()
 
     return docs.select(*(f.name for f in schema if f.name != out)).mapInArrow(run, schema)
@@ -200,34 +202,27 @@ def _runs(kept: T.StructType, text: str, a_path: str, b_path: str, parts: int):
         task = TaskContext.get().partitionId() << 32
         for k, (rows, code, at, found) in enumerate(aligned_batches(batches, text, a_path, b_path)):
             yield from write(task + k, rows, code, at, found)
-        release()
+            del rows, code, at, found
+            release()
 
-    def write(number: int, rows: pa.Table, code: np.ndarray, at: np.ndarray, found: list) -> Iterator[pa.RecordBatch]:
+    def write(number: int, rows: pa.Table, code: np.ndarray, at: np.ndarray, found: Aligned) -> Iterator[pa.RecordBatch]:
         n = rows.num_rows
-        sound = np.fromiter((f is not None for f in found), bool, len(found))
-        found = [f or (0, 0, 0, b"", ()) for f in found]
-        wrong = np.append(0, np.cumsum(~sound[code]))[at]
-        good = (np.diff(wrong) == 0) & (np.diff(at) > 0)
+        good = (np.diff(cumulated(~found.sound[code])[at]) == 0) & (np.diff(at) > 0)
         doc = np.repeat(np.arange(n), np.diff(at))
-        code_of = code[good[doc]]
-        doc = doc[good[doc]]
-        sums = []
-        for k in range(3):
-            each = np.fromiter((f[k] for f in found), np.int64, len(found))
-            sums.append(np.diff(np.append(0, np.cumsum(each[code_of]))[np.searchsorted(doc, np.arange(n + 1))]))
-        size = np.fromiter((len(f[4]) for f in found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(f[4] for f in found), np.int64, int(size.sum()))
+        kept = good[doc]
+        code_of, doc = code[kept], doc[kept]
+        at_of = np.searchsorted(doc, np.arange(n + 1))
+        sums = [np.diff(cumulated(each[code_of])[at_of]) for each in (found.n_a, found.n_b, found.n_groups, found.n_links)]
+        size = found.n_links
         links = size[code_of]
-        sums.append(np.diff(np.append(0, np.cumsum(links))[np.searchsorted(doc, np.arange(n + 1))]))
-        text_of = [f[3] for f in found].__getitem__
-        digest = [hashlib.sha256(b";".join(map(text_of, code[lo:hi].tolist()))).hexdigest() if ok else "" for ok, lo, hi in zip(good, at[:-1], at[1:])]
+        text_of = found.groups.__getitem__
+        digest = [hashlib.sha256(b"".join(map(text_of, code[lo:hi].tolist()))[:-1]).hexdigest() if ok else "" for ok, lo, hi in zip(good, at[:-1], at[1:])]
         head = pa.Table.from_arrays(
             [*(rows[c] for c in own), pa.array(np.full(n, number)), pa.array(np.full(n, -1, np.int32)), pa.array(np.arange(n, dtype=np.int32)),
              *(pa.array(s) for s in sums), pa.array(digest, pa.string()), *(pa.nulls(n, pa.binary()) for _ in range(5))],
             [*own, "run", "part", "idx", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "sums", "spans", "docs", "times"])
         yield from head.combine_chunks().to_batches()
-        key = flat[spread((np.cumsum(size) - size)[code_of], links)] << 16 | np.repeat(doc, links)
-        del flat
+        key = found.links[spread((np.cumsum(size) - size)[code_of], links)] << 16 | np.repeat(doc, links)
         key, times = np.unique(key, return_counts=True)
         pair = key >> 16
         first = np.flatnonzero(np.diff(pair, prepend=-1))

@@ -283,6 +283,7 @@ class ByteBpe:
         labels, merges, self.specials = read_tokenizer(path)
         self.automaton = Automaton(labels, merges)
         self.words = Words(self.automaton)
+        self.max_words = MAX_WORDS
         self.splitter = Splitter()
         self.special = re.compile(b"|".join(re.escape(s) for s in sorted(self.specials, key=len, reverse=True))) if self.specials else None
 
@@ -312,7 +313,7 @@ class ByteBpe:
             ids = [lookup(w) if w not in self.specials else (self.specials[w],) for w in known]
         else:
             ids = list(map(lookup, known))
-        if len(self.words) > MAX_WORDS:
+        if len(self.words) > self.max_words:
             self.words.clear()
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
