@@ -63,6 +63,10 @@ def budgets(width: int, least: float) -> np.ndarray:
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length one. They are first scaled by a power of two, which changes no bit of a result but keeps the
+    squares of very large and very small components inside double precision."""
+    _, power = np.frexp(np.abs(vectors).max(1))
+    vectors = np.ldexp(vectors, -power[:, None])
     return vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
 
 

@@ -80,6 +80,22 @@ def test_ngram_join_in_any_row_order(spark, order):
     assert got == classes(range(len(texts)), links)
 
 
+def test_ngram_join_edges_do_not_grow_with_buckets(spark, monkeypatch):
+    texts = [t for t in sample_texts(seed=3) for _ in range(2)]
+    real, edges, found = ngram_join.components, [], []
+
+    def counted(pairs):
+        edges.append(pairs.count())
+        return real(pairs)
+
+    monkeypatch.setattr(ngram_join, "components", counted)
+    for size in (8 << 20, 1 << 13):
+        monkeypatch.setattr(ngram_join, "BUCKET_TEXT", size)
+        found.append({r.doc_id: r.component_id for r in ngram_join.similar_groups(documents(spark, texts), 3, 9, 10).collect()})
+    assert found[0] == found[1]
+    assert edges[2] <= 2 * edges[0] + len(texts)
+
+
 def test_ngram_join_of_very_long_near_copies(spark):
     words = [f"w{k}" for k in range(100_000)]  # more shingles in one bucket than 16 bits count
     docs = documents(spark, [" ".join(words), "one two three four", " ".join([*words[:50_000], "x", *words[50_001:]])])
@@ -239,6 +255,41 @@ def test_toxicity_learns(spark):
     assert [c for c in toxicity.drop_toxic(docs, labels).columns] == docs.columns
 
 
+ARTICLE = "Rivers carry sand and stones down to the sea, where the waves sort them by size over many years of slow and steady work along the coast."
+
+
+@pytest.fixture(scope="module")
+def page_tree(spark):
+    return html_text.fit_tree(spark)
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "entry-content related-on", "article-body share-count-3", "post with-comments", "story"])
+def test_html_containers_of_the_article(page_tree, name):
+    page = f"<html><body><ul class='menu'><li><a href='/'>Home</a></li></ul><div class='{name}'><p>{ARTICLE}</p><p>{ARTICLE}</p></div></body></html>"
+    assert html_text.main_text(page, page_tree) == f"{ARTICLE}\n{ARTICLE}"
+
+
+@pytest.mark.parametrize("name", ["sidebar", "main-nav", "post-comments", "comment-content", "share-buttons", "article-footer"])
+def test_html_containers_beside_the_article(page_tree, name):
+    page = f"<html><body><article><p>{ARTICLE}</p></article><div class='{name}'><p>Read these other words here too.</p></div></body></html>"
+    assert html_text.main_text(page, page_tree) == ARTICLE
+
+
+def test_html_parts_inside_sentences_and_unclosed_containers(page_tree):
+    formula = "Let <math><mi>x</mi></math> be a number and <object>a picture</object> of it, and think of all the numbers that come after it for a long while."
+    page = f"<html><body><article><p>{formula}</p><select><option>one</select><noscript>Please turn it on.</noscript><p>{ARTICLE}</p></article></body></html>"
+    assert html_text.main_text(page, page_tree) == "Let x be a number and a picture of it, and think of all the numbers that come after it for a long while.\n" + ARTICLE
+    page = f"<html><body><article><div><noscript>Turn it on.</div><p>{ARTICLE}</p></article></body></html>"
+    assert html_text.main_text(page, page_tree) == ARTICLE
+
+
+@pytest.mark.parametrize("factor", [1e200, 1e-200, 1e-310])
+def test_vectors_of_any_length_are_linked(spark, factor):
+    rows = [(1, [1.0, 2.0, 3.0], 0), (2, [factor * x for x in (1.0, 2.0, 3.0)], 0), (3, [factor * x for x in (-1.0, 2.0, 3.0)], 0)]
+    got = embedding_join.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).orderBy("vec_id").collect()
+    assert [(r["n_links"], r["component_id"]) for r in got] == [(1, 1), (1, 1), (0, 3)]
+
+
 def test_html_text(spark):
     page = ("<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><div class='ad'>Buy now and save a lot today.</div><article><h1>A &amp; B</h1>"
             "<p>First <b>line</b>\n of   text, long enough to be read as an article's own.<p>Short.</p><script>x</script><div id='comments'><p>I disagree with all of this.</p></div></article>"
