@@ -12,9 +12,12 @@ The fit is a Spark ML tree over about a hundred rows; its nodes go to the
 tasks as nested tuples. Pages are read once in Arrow batches and never
 shuffled.
 
+Only scripts, styles, text areas, titles and templates are skipped unread; what stands in a formula is part of its
+sentence, and lists to choose from, frames and no-script notices are containers like a menu.
+
 Defined results: null, empty and text-free pages give an empty text; broken
-markup (unclosed or stray tags) is read as far as it goes; repeated rows each
-get their row; an empty table gives an empty table.
+markup (unclosed or stray tags) is read as far as it goes; very long pages are read whole; repeated rows each
+get their row; columns beside key, url and page are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,10 +36,11 @@ from netsentry.llm.common import regroup
 from netsentry.llm.html_training import labelled_pages
 
 #: HTML element names and container words.
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE |= set("math mi mn mo mrow ms mtext msub msup msubsup mfrac msqrt mroot mover munder munderover mstyle mspace semantics".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title template noscript iframe object svg math select".split())
-OTHER_TAGS = set("head nav header footer aside form menu dialog button fieldset".split())
+RAW = set("script style textarea title template".split())
+OTHER_TAGS = set("head nav header footer aside form menu dialog button fieldset select noscript iframe svg".split())
 OTHER_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 OTHER_WORDS = set("ad ads advert advertisement adverts sponsor sponsored promo promoted promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side rail footer foot masthead topbar header comment comments disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription signup login share sharing social related recommended recommendations trending popular widget pagination pager tags copyright legal disclaimer skip".split())
 MAIN_WORDS = set("article main content post entry story".split())
@@ -47,19 +51,32 @@ _PART = re.compile(r"[a-z]+")
 FEATURES = ["words", "link_density", "words_before", "density_before", "words_after", "density_after", "in_article", "in_other", "page_has_article"]
 
 
+def name_says(name: str) -> int:
+    """What a class name or id says of its element, as ``container``. ``has-sidebar`` says nothing of it; of a name of several words the
+    side ones count (``comment-content``, ``main-nav``), but an article's own header is not the page's."""
+    parts = _PART.findall(name)
+    if not parts or parts[0] in ("has", "with", "no", "without", "is", "not"):
+        return 0
+    main, other = [p for p in parts if p in MAIN_WORDS], [p for p in parts if p in OTHER_WORDS]
+    if main and other == ["header"]:
+        return 0
+    return -1 if other else int(bool(main))
+
+
 def container(tag: str, attr: str, inside_article: bool) -> int:
-    """1: the article; -1: something else; 0: nothing is said."""
+    """1: the article; -1: something else; 0: nothing is said. A class name or id that says article wins over others that say
+    something else."""
     values = {m[1].lower(): (m[2] or "").strip("\"'").lower() for m in _ATTR.finditer(attr)} if attr else {}
-    parts = set(_PART.findall(values.get("class", "") + " " + values.get("id", "")))
+    says = {name_says(n) for n in f"{values.get('class', '')} {values.get('id', '')}".split()}
     if tag in ("html", "body"):
         return 0
     if "hidden" in values or values.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", values.get("style", "")):
         return -1
     if tag == "header" and inside_article:
         return 0
-    if tag in OTHER_TAGS or values.get("role") in OTHER_ROLES or parts & OTHER_WORDS:
+    if tag in OTHER_TAGS or values.get("role") in OTHER_ROLES or (-1 in says and 1 not in says):
         return -1
-    return int(tag in ("article", "main") or values.get("role") in ("main", "article") or bool(parts & MAIN_WORDS))
+    return int(tag in ("article", "main") or values.get("role") in ("main", "article") or 1 in says)
 
 
 def blocks_of(page: str | None) -> list[tuple[str, int, float, int, int]]:
@@ -84,6 +101,15 @@ def blocks_of(page: str | None) -> list[tuple[str, int, float, int, int]]:
             if links:
                 link_pieces.append(s)
 
+    def leave(tag: str) -> None:
+        nonlocal article, other
+        while stack:
+            t, kind = stack.pop()
+            article -= kind > 0
+            other -= kind < 0
+            if t == tag:
+                break
+
     page = page or ""
     at = 0
     while True:
@@ -113,6 +139,8 @@ def blocks_of(page: str | None) -> list[tuple[str, int, float, int, int]]:
             if tag in VOID or (m["attr"] or "").endswith("/"):
                 continue
             if not m["end"]:
+                if tag not in ("option", "optgroup") and any(t == "select" for t, _ in stack):  # nothing else stands in a list to choose from
+                    leave("select")
                 kind = container(tag, m["attr"], article > 0)
                 if tag == "p" and not kind:
                     continue
@@ -120,12 +148,7 @@ def blocks_of(page: str | None) -> list[tuple[str, int, float, int, int]]:
                 article += kind > 0
                 other += kind < 0
             elif any(t == tag for t, _ in stack):
-                while stack:
-                    t, kind = stack.pop()
-                    article -= kind > 0
-                    other -= kind < 0
-                    if t == tag:
-                        break
+                leave(tag)
     close()
     return out
 
