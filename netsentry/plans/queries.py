@@ -564,7 +564,7 @@ def q_word_vectors(spark, sf_dir):
     """M13, trained in shards: each word of the vocabulary with its vector's width, whether all its components are finite and
     whether it has left its start."""
     toks = S.table(spark, sf_dir, "documents", ["text"]).select(P.tokenize("text").alias("tokens"))
-    vectors = word_vectors.fit_word_vectors(toks, "tokens", size=100, min_count=5, negatives=2, passes=1, shards=8)
+    vectors = word_vectors.fit_word_vectors(toks, "tokens", size=100, min_count=5, window=3, negatives=1, passes=1, shards=8)
     x = F.col("vector")
     return vectors.select("word", F.size(x).alias("width"), F.forall(x, lambda v: ~F.isnan(v) & (F.abs(v) < float("inf"))).alias("finite"),
                           F.exists(x, lambda v: F.abs(v) > 0.005).alias("moved"))
