@@ -40,11 +40,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsentry.llm.common import mix, regroup, set_aside, staged, utf8
+from netsentry.llm.common import mix, regroup, release, set_aside, staged, utf8
 
 LENGTH = 200
 GRAM = 64
-HOT = 50_000
+HOT = 16_384
 SLICE_ROWS = 2048
 BROADCAST_MB = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -230,8 +230,12 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
             if lo < last:
                 yield done(t.slice(lo, last - lo))
             held = [t.slice(last)]
+            del t
+            release()
         if held:
             yield done(pa.concat_tables(held).combine_chunks())
+        del held
+        release()
 
     inner = (tagged.where("crowded is null").select("key", "row", "pos", "lft", "rgt", "data").repartition(tasks, "key")
              .sortWithinPartitions("key").mapInArrow(compare, _RUN))
