@@ -146,19 +146,25 @@ def parse_vector(c, mode: str = "strict") -> Column:
     """
     if mode not in ("strict", "lenient"):
         raise ValueError(f"mode must be strict or lenient, not {mode}")
-    s = F.trim(_col(c))
-    dense = F.from_json(s, "array<double>", {"allowNonNumericNumbers": "true"})
-    sp = F.from_json(F.regexp_replace(s, _SPARSE_RE, _SPARSE_JSON), "struct<n:int,i:array<int>,v:array<double>>")
-    sparse = F.when(sp["n"] == 0, F.array().cast("array<double>")).otherwise(_let(
-        F.map_from_arrays(sp["i"], sp["v"]),
-        lambda m: F.transform(F.sequence(F.lit(0), sp["n"] - 1),
-                              lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)))))
-    inside = (F.size(sp["i"]) == F.size(sp["v"])) & F.forall(sp["i"], lambda i: i.isNotNull() & (i >= 0) & (i < sp["n"]))
     bad = F.lit(None).cast("array<double>")
-    if mode == "strict":
-        bad = F.when(s.isNotNull(), F.raise_error(F.concat(F.lit("not a vector: "), s)).cast("array<double>"))
-    parsed = F.when(s.startswith("["), dense).when(s.rlike(_SPARSE_RE), F.when(inside, sparse))
-    return _let(parsed, lambda x: F.when(x.isNull() | F.exists(x, lambda v: v.isNull()), bad).otherwise(x))
+
+    def from_sparse(sp: Column) -> Column:
+        sparse = F.when(sp["n"] == 0, F.array().cast("array<double>")).otherwise(_let(
+            F.map_from_arrays(sp["i"], sp["v"]),
+            lambda m: F.transform(F.sequence(F.lit(0), sp["n"] - 1),
+                                  lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)))))
+        inside = (F.size(sp["i"]) == F.size(sp["v"])) & F.forall(sp["i"], lambda i: i.isNotNull() & (i >= 0) & (i < sp["n"]))
+        return F.when(inside, sparse)
+
+    def parse(s: Column) -> Column:
+        dense = F.from_json(s, "array<double>", {"allowNonNumericNumbers": "true"})
+        sp = F.from_json(F.regexp_replace(s, _SPARSE_RE, _SPARSE_JSON), "struct<n:int,i:array<int>,v:array<double>>")
+        # the text is read once: every mention of ``sp`` outside a ``_let`` would read it again, inside a lambda for each element
+        parsed = F.when(s.startswith("["), dense).when(s.rlike(_SPARSE_RE), _let(sp, from_sparse))
+        wrong = F.when(s.isNotNull(), F.raise_error(F.concat(F.lit("not a vector: "), s)).cast("array<double>")) if mode == "strict" else bad
+        return _let(parsed, lambda x: F.when(x.isNull() | F.exists(x, lambda v: v.isNull()), wrong).otherwise(x))
+
+    return _let(F.trim(_col(c)), parse)
 
 
 # --------------------------------------------------------------------- P8

@@ -126,6 +126,26 @@ def nearest_center_of(vec, centers: Sequence[Sequence[float]]) -> Column:
     return F.coalesce(nearest(checked_width(vec, c.shape[1])), F.lit(-1))
 
 
+def nearest_center_by(vec, version, centers: dict[int, Sequence[Sequence[float]]]) -> Column:
+    """``nearest_center_of`` under the centres of each row's ``version`` (long); all versions have centres of one width."""
+    by = {v: _centers_matrix(c) for v, c in centers.items()}
+    dim = {c.shape[1] for c in by.values()} or {0}
+    if len(dim) > 1:
+        raise ValueError("centres of one width are needed")
+    (dim,) = dim
+
+    @arrow_udf("int")
+    def nearest(v: pa.Array, version: pa.Array) -> pa.Array:
+        x, which = _matrix(v, dim), version.to_numpy(zero_copy_only=False)
+        out = np.zeros(len(x), np.int32)
+        for one in np.unique(which):
+            at = which == one
+            out[at] = np.argmin(_sqdist_matrix(x[at], by[int(one)]), axis=1)
+        return pa.array(out)
+
+    return F.coalesce(nearest(checked_width(vec, dim), version), F.lit(-1))
+
+
 def sq_distances(vec, centers: Sequence[Sequence[float]], mode: str = "vectorized") -> Column:
     """Array of squared distances of ``vec`` to every centre; slot i is centre i.
 

@@ -23,7 +23,7 @@ from netsentry.session import scratch_path
 from netsentry.sources import files, kafka
 from netsentry.streaming import scorer, text, topology
 from netsentry.streaming.batches import Arrivals, NumberedBatches
-from netsentry.streaming.kmeans import StateTable, StreamingKMeans, predict
+from netsentry.streaming.kmeans import StateTable, StreamingKMeans, predict_versions
 from netsentry.streaming.linreg import StreamingLinearRegression
 from netsentry.streaming.predict import KMeansPredictor, LinearPredictor
 from netsentry.streaming.summary import SummarySink, read_summaries
@@ -33,8 +33,9 @@ TRIGGER_BYTES = 64 << 20
 
 
 def _write_messages(df: DataFrame, path: str) -> None:
-    """Message files of a source folder (the stand-in of a topic)."""
-    df.select("value").write.parquet(path)
+    """Message files of a source folder (the stand-in of a topic), each small beside what a trigger admits: the tasks of a
+    micro-batch share it by its files."""
+    df.select("value").write.option("maxRecordsPerFile", files.MESSAGES_PER_FILE).parquet(path)
 
 
 def _message_stream(spark: SparkSession, path: str, trigger_bytes: int = TRIGGER_BYTES) -> DataFrame:
@@ -84,7 +85,7 @@ def q_stream_union(spark: SparkSession, sf_dir: str, trigger_bytes: int = TRIGGE
     """X1 + S7: two sources (two receivers/topics) unioned into one stream."""
     base = scratch_path(spark, "stream-union")
     msgs = _event_messages(spark, sf_dir).withColumn("_src", F.pmod(F.xxhash64("value"), F.lit(2)))
-    msgs.write.partitionBy("_src").parquet(f"{base}/sources")
+    msgs.write.option("maxRecordsPerFile", files.MESSAGES_PER_FILE).partitionBy("_src").parquet(f"{base}/sources")
     streams = [_message_stream(spark, f"{base}/sources/_src={d}", trigger_bytes) for d in range(2)]
     _drain(kafka.union_streams(streams), _ParseSink(f"{base}/out"), f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out").drop("batch")
@@ -156,9 +157,8 @@ def q_two_hop_nearest(spark: SparkSession, sf_dir: str, trigger_bytes: int = TRI
     base = _two_hops(spark, sf_dir, trigger_bytes)
     sent = topology.hop2_vectors(spark.read.schema("value string").parquet(f"{base}/mid"))
     got = spark.read.parquet(f"{base}/out/assignments")
-    versions = StateTable(spark, f"{base}/state")
-    checked = [predict(sent.join(got.where(F.col("batch") == v), "key"), "x", versions.read(v), "_nearest") for v in versions.versions()]
-    return kafka.union_streams(checked).select("key", (F.col("cluster") == F.col("_nearest")).alias("nearest"))
+    checked = predict_versions(sent.join(got, "key"), "x", "batch", StateTable(spark, f"{base}/state").read_all(), "_nearest")
+    return checked.select("key", (F.col("cluster") == F.col("_nearest")).alias("nearest"))
 
 
 def _numbered(model, arrivals: Arrivals, base: str, trigger_bytes: int) -> None:

@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 
 from netsentry.sources import kafka
 
+#: Rows of a message file: a few MB at most, far below what a trigger admits. One file of one row group is read by one task
+#: whatever its size, so a micro-batch of few large files would keep all other cores waiting.
+MESSAGES_PER_FILE = 20_000
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, mode: str = "PERMISSIVE",
              sep: str = ",", header: bool = False, corrupt: str | None = None, multi_line: bool = False) -> DataFrame:

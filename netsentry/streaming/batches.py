@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netsentry.sources import fs
+from netsentry.sources.files import MESSAGES_PER_FILE
 
 
 class NumberedBatches:
@@ -89,7 +90,7 @@ class Arrivals:
         self.spark, self.path = df.sparkSession, path.rstrip("/")
         self.source = f"{self.path}/source"
         rows = df.withColumn("_of", F.col(batch_col))
-        (rows.select("value", "_of") if fmt == "text" else rows).write.partitionBy("_of").format(fmt).save(f"{self.path}/waiting")
+        (rows.select("value", "_of") if fmt == "text" else rows).write.option("maxRecordsPerFile", MESSAGES_PER_FILE).partitionBy("_of").format(fmt).save(f"{self.path}/waiting")
         fs.mkdirs(self.spark, self.source)
         self.schema = df.schema
 

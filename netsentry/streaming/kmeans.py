@@ -182,6 +182,13 @@ def predict(df: DataFrame, vec: str, state: KMeansState, out: str = "cluster") -
     return df.withColumn(out, V.nearest_center_of(arr, state.centers.tolist()))
 
 
+def predict_versions(df: DataFrame, vec: str, version: str, states: dict[int, KMeansState], out: str = "cluster") -> DataFrame:
+    """``predict`` of each row under the model version that its ``version`` column names, all versions in one pass; a version
+    that is not there fails the job. The versions are k x dim numbers a micro-batch."""
+    models = {v: s.centers.tolist() for v, s in states.items()}
+    return df.withColumn(out, V.nearest_center_by(V.as_double_array(df, vec), F.col(version).cast("long"), models))
+
+
 def weights_line(state: KMeansState) -> str:
     """The comma-joined cluster weights of a model."""
     return ",".join(repr(float(x)) for x in state.weights)
@@ -208,6 +215,15 @@ class StateTable:
     def read(self, version: int) -> KMeansState:
         return KMeansState.from_rows(self.spark.read.parquet(self._version_path(version)).collect())
 
+    def read_all(self) -> dict[int, KMeansState]:
+        """Every committed version, by one read."""
+        rows: dict[int, list] = {v: [] for v in self.versions()}
+        if rows:
+            tables = self.spark.read.option("basePath", self.path).parquet(*map(self._version_path, rows))
+            for r in tables.withColumn("v", F.col("v").cast("long")).collect():
+                rows[r["v"]].append(r)
+        return {v: KMeansState.from_rows(r) for v, r in rows.items()}
+
     def latest_before(self, version: int) -> tuple[int | None, KMeansState | None]:
         # batch ids are consecutive: the previous version is normally there
         if version > 0 and self.has(version - 1):

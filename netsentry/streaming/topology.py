@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from netsentry.functions import parse as P
 from netsentry.functions import records as R
 from netsentry.functions import vectors as V
+from netsentry.sources.files import MESSAGES_PER_FILE
 from netsentry.streaming.kmeans import StreamingKMeans
 from netsentry.streaming.scorer import parse_messages
 
@@ -47,9 +48,9 @@ def hop1_stream(stream: DataFrame, prehandler: PipelineModel, mode: str = "stric
 
 def start_hop1(stream: DataFrame, prehandler: PipelineModel, mid_path: str, checkpoint: str,
                trigger: dict | None = None, sparse: bool | str = "auto"):
-    """Hop 1 into the exactly-once file sink at ``mid_path``."""
+    """Hop 1 into the exactly-once file sink at ``mid_path``, in files that hop 2's tasks can share."""
     w = hop1_stream(stream, prehandler, "strict", sparse).writeStream.format("parquet") \
-        .option("path", mid_path).option("checkpointLocation", checkpoint)
+        .option("path", mid_path).option("checkpointLocation", checkpoint).option("maxRecordsPerFile", MESSAGES_PER_FILE)
     return w.trigger(**(trigger or {"processingTime": "5 seconds"})).start()
 
 
