@@ -6,7 +6,7 @@ no task holds more than two shards:
 
 1. Each task counts the pairs of words up to ``window`` apart within its sentences, a pair at distance d
    with weight ``(window - d + 1) / window`` (what a window of random width expects); Spark sums them, and joins with the counted vocabulary
-   leave the pairs of words that occur ``min_count`` times.
+   leave the pairs of words that occur ``min_count`` times. A pair is stored as two row numbers (a word's row in its shard) and a weight.
 2. A pair's block is (shard of the word, shard of the word beside it). Blocks (i, i + s) for one s share no shard,
    so they are trained at the same time, one task each, by skip-gram with negative sampling: batches of pairs in
    a drawn order, negatives drawn from the block's own context shard by count ** 0.75, steps scaled per word (Adagrad),
@@ -25,24 +25,35 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsentry.operators.text import vocabulary
 from netsentry.session import scratch_path
 
 BATCH = 4096  # pairs whose gradients are taken together
+WORDS_AT_ONCE = 1 << 18  # words of whole sentences whose pairs are counted together in a task
 #: Rows of weights: a word's own vector (kind 0) or its vector as a context (kind 1), with the squares its steps are scaled by.
-WEIGHTS = "kind int, shard int, word string, n long, vec array<float>, squares array<float>"
+WEIGHTS = "kind int, shard int, row int, word string, n long, vec array<float>, squares array<float>"
 
 
 def _pairs(window: int, longest: int):
     """Arrow batches of token lists to rows (word, beside, weight): each unordered pair once, words of a pair in order."""
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.ListArray]:
+        """The lists some at a time: up to ``WORDS_AT_ONCE`` words, or one list."""
         for batch in batches:
             lists = batch.column(0).drop_null()
+            ends = lists.offsets.to_numpy()[1:] if len(lists) else np.zeros(0, np.int64)
+            lo, begin = 0, lists.offsets[0].as_py() if len(lists) else 0
+            while lo < len(lists):
+                hi = max(lo + 1, int(np.searchsorted(ends, begin + WORDS_AT_ONCE, side="right")))
+                yield lists.slice(lo, hi - lo)
+                lo, begin = hi, int(ends[hi - 1])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lists in pieces(batches):
             words = lists.flatten().dictionary_encode()
-            size = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
+            size = np.diff(lists.offsets.to_numpy())
             known = len(words.dictionary)
             code = words.indices.fill_null(-1).to_numpy().astype(np.int64)
             sentence = np.repeat(np.arange(len(size)) << 32, size) + np.concatenate([np.zeros(0, np.int64), *(np.arange(n) // longest for n in size)])
@@ -69,20 +80,30 @@ def word_pairs(df: DataFrame, tokens: str, words: DataFrame, window: int = 5, lo
     once = once.select(F.least("word", "beside").alias("word"), F.greatest("word", "beside").alias("beside"), "weight").groupBy("word", "beside").agg(F.sum("weight").alias("weight"))
     kept = words.select("word")
     once = once.join(kept, "word", "left_semi").join(kept.withColumnRenamed("word", "beside"), "beside", "left_semi")
-    return once.unionByName(once.where("word <> beside").select(F.col("beside").alias("word"), F.col("word").alias("beside"), "weight"))
+    there, back = F.struct("word", "beside"), F.struct(F.col("beside").alias("word"), F.col("word").alias("beside"))
+    both = F.when(F.col("word") == F.col("beside"), F.array(there)).otherwise(F.array(there, back))  # not a union, which would count the pairs twice over
+    return once.select(F.explode(both).alias("p"), "weight").select("p.word", "p.beside", "weight")
+
+
+def numbered_pairs(pairs: DataFrame, words: DataFrame, shards: int) -> DataFrame:
+    """Pairs as (block, turn, row, beside_row, weight): the words' rows in their shards. ``words`` has (shard, word, row)."""
+    own = words.select("word", F.col("shard").alias("block"), "row")
+    other = words.select(F.col("word").alias("beside"), F.col("shard").alias("_beside_shard"), F.col("row").alias("beside_row"))
+    dealt = pairs.join(own, "word").join(other, "beside")
+    return dealt.select("block", F.pmod(F.col("_beside_shard") - F.col("block"), F.lit(shards)).alias("turn"), "row", "beside_row", F.col("weight").cast("float").alias("weight"))
 
 
 def _start(size: int, seed: int):
-    """Rows (shard, word, n) to the first weights: small hash-drawn vectors, and zeros as contexts."""
+    """Rows (shard, row, word, n) to the first weights: small hash-drawn vectors, and zeros as contexts."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch["word"].to_pylist()
             drawn = [np.random.default_rng(int.from_bytes(hashlib.md5(f"{seed}/{w}".encode()).digest()[:8], "big")).uniform(-0.5, 0.5, size) / size for w in words]
             zero = [0.0] * size
             for kind, vecs in ((0, [v.tolist() for v in drawn]), (1, [zero] * len(words))):
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(words), pa.int32()), batch["shard"], batch["word"], batch["n"],
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(words), pa.int32()), batch["shard"], batch["row"], batch["word"], batch["n"],
                                                   pa.array(vecs, pa.list_(pa.float32())), pa.array([zero] * len(words), pa.list_(pa.float32()))],
-                                                 ["kind", "shard", "word", "n", "vec", "squares"])
+                                                 ["kind", "shard", "row", "word", "n", "vec", "squares"])
 
     return run
 
@@ -116,26 +137,37 @@ def train_block(word: np.ndarray, beside: np.ndarray, weight: np.ndarray, own: n
             move(context, context_sq, other.ravel(), to_context.astype(np.float32))
 
 
+def _numbers(column: pa.ChunkedArray, size: int) -> np.ndarray:
+    """The rows of a column of lists of ``size`` floats as a matrix that can be changed."""
+    out, at = np.empty((len(column), size), np.float32), 0
+    for chunk in column.chunks:
+        out[at:at + len(chunk)] = chunk.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+        at += len(chunk)
+    return out
+
+
 def _train(size: int, negatives: int, step: float, passes: int, seed: tuple[int, ...]):
     def run(key: tuple, pairs: pa.Table, weights: pa.Table) -> pa.Table:
-        sides = []
-        kind = weights["kind"].to_numpy()
+        sides, kind = [], weights["kind"].to_numpy()
         for k in (0, 1):
-            t = weights.filter(pa.array(kind == k)).sort_by("word")
-            names = t["word"].to_pylist()
-            matrices = [np.array(t[c].combine_chunks().flatten().to_numpy(), np.float32).reshape(-1, size) for c in ("vec", "squares")]
-            sides.append((t, {w: i for i, w in enumerate(names)}, matrices))
+            t = weights.filter(pa.array(kind == k))
+            order = np.argsort(t["row"].to_numpy())  # row r of a shard at place r
+            names = t.drop_columns(["vec", "squares"]).take(pa.array(order))
+            sides.append((names, [_numbers(t[c], size)[order] for c in ("vec", "squares")]))
+            del t
+        del weights
         if pairs.num_rows:
-            pairs = pairs.sort_by([("word", "ascending"), ("beside", "ascending")])  # so that the drawn order means the same pairs in every run
-            word, beside = (np.fromiter(map(side[1].__getitem__, pairs[c].to_pylist()), np.int64) for side, c in zip(sides, ("word", "beside")))
-            train_block(word, beside, pairs["weight"].to_numpy(), sides[0][2][0], sides[1][2][0], sides[0][2][1], sides[1][2][1], sides[1][0]["n"].to_numpy(),
+            word, beside, weight = (pairs[c].to_numpy() for c in ("row", "beside_row", "weight"))
+            del pairs
+            order = np.lexsort((beside, word))  # so that the drawn order means the same pairs in every run
+            train_block(word[order], beside[order], weight[order], sides[0][1][0], sides[1][1][0], sides[0][1][1], sides[1][1][1], sides[1][0]["n"].to_numpy(),
                         negatives, step, passes, np.random.default_rng([*seed, key[0].as_py()]))
         out = []
-        for t, _, matrices in sides:
-            at = np.arange(t.num_rows + 1, dtype=np.int32) * size
+        for t, matrices in sides:
+            at = pa.array(np.arange(t.num_rows + 1, dtype=np.int32) * size)
             for c, m in zip(("vec", "squares"), matrices):
-                t = t.set_column(t.column_names.index(c), c, pa.ListArray.from_arrays(pa.array(at), pa.array(m.ravel())))
-            out.append(t.select(["kind", "shard", "word", "n", "vec", "squares"]))
+                t = t.append_column(c, pa.ListArray.from_arrays(at, pa.array(m.ravel())))
+            out.append(t.select(["kind", "shard", "row", "word", "n", "vec", "squares"]))
         return pa.concat_tables(out)
 
     return run
@@ -153,17 +185,17 @@ def fit_word_vectors(df: DataFrame, tokens: str = "tokens", size: int = 100, min
         frame.write.parquet(f"{base}/{name}")
         return spark.read.parquet(f"{base}/{name}")
 
-    words = kept(vocabulary(df.select(F.filter(tokens, lambda w: w.isNotNull()).alias(tokens)), tokens, min_count).select(shard.alias("shard"), "word", "n"), "words")
-    beside = F.pmod(F.xxhash64("beside"), F.lit(shards)).cast("int")
-    dealt = word_pairs(df, tokens, words, window).withColumn("block", shard).withColumn("turn", F.pmod(beside - F.col("block"), F.lit(shards)))
-    dealt.write.partitionBy("turn").parquet(f"{base}/pairs")
-    pairs = spark.read.schema("word string, beside string, weight double, block int, turn int").parquet(f"{base}/pairs")
+    known = kept(vocabulary(df.select(F.filter(tokens, lambda w: w.isNotNull()).alias(tokens)), tokens, min_count).select(shard.alias("shard"), "word", "n"), "vocabulary")
+    row = F.row_number().over(Window.partitionBy("shard").orderBy("word")) - 1
+    words = kept(known.select("shard", row.alias("row"), "word", "n"), "words")
+    numbered_pairs(word_pairs(df, tokens, words, window), words, shards).write.partitionBy("turn").parquet(f"{base}/pairs")
+    pairs = spark.read.schema("block int, row int, beside_row int, weight float, turn int").parquet(f"{base}/pairs")
     weights = kept(words.mapInArrow(_start(size, seed), WEIGHTS), "weights-start")
     for epoch in range(epochs):
         for turn in range(shards):
             # the task of block i holds the words of shard i, and as contexts those of shard i + turn
             held = weights.withColumn("block", F.when(F.col("kind") == 0, F.col("shard")).otherwise(F.pmod(F.col("shard") - turn, F.lit(shards))))
-            now = pairs.where(F.col("turn") == turn).select("word", "beside", "weight", "block")
+            now = pairs.where(F.col("turn") == turn).select("row", "beside_row", "weight", "block")
             trained = now.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(_train(size, negatives, step, passes, (seed, epoch, turn)), WEIGHTS)
             weights = kept(trained, f"weights-{epoch}-{turn}")
     return weights.where("kind = 0").select("word", F.col("vec").alias("vector"))

@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from netsentry.operators import text, word_vectors
@@ -66,3 +67,29 @@ def test_vectors_and_twins(spark):
 
 def test_empty_corpus(spark):
     assert word_vectors.fit_word_vectors(frame(spark, [None, []]), shards=2).collect() == []
+
+
+def test_pairs_do_not_depend_on_the_pieces(spark, monkeypatch):
+    lists = corpus(n=40)
+    frames = [pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.string()))], ["tokens"]) for x in (lists[:25], lists[25:])]
+
+    def counted(words_at_once):
+        monkeypatch.setattr(word_vectors, "WORDS_AT_ONCE", words_at_once)
+        total, most = collections.Counter(), 0
+        for batch in word_vectors._pairs(3, 1000)([frames[0], frames[1].slice(3), frames[1].slice(0, 3), frames[0].slice(0, 0)]):
+            most = max(most, batch.num_rows)
+            for r in batch.to_pylist():
+                total[tuple(sorted((r["word"], r["beside"])))] += r["weight"]
+        return {k: round(v, 9) for k, v in total.items()}, most
+
+    whole, most = counted(1 << 18)
+    few, least = counted(30)
+    assert few == whole and least < most and least <= 3 * 30
+
+
+def test_pairs_are_stored_as_numbers(spark):
+    words = spark.createDataFrame([(0, 0, "a"), (1, 0, "b"), (1, 1, "c")], "shard int, row int, word string")
+    pairs = spark.createDataFrame([("a", "b", 1.5), ("c", "a", 2.0), ("b", "c", 1.0)], "word string, beside string, weight double")
+    got = word_vectors.numbered_pairs(pairs, words, 2)
+    assert all(t in ("int", "float") for _, t in got.dtypes)
+    assert sorted(map(tuple, got.collect())) == [(0, 1, 0, 0, 1.5), (1, 0, 0, 1, 1.0), (1, 1, 1, 0, 2.0)]
