@@ -19,9 +19,8 @@ def word2vec(input_col: str = "tokens", vector_size: int = 100, min_count: int =
              max_sentence_length: int = 1000, window_size: int = 5) -> Word2Vec:
     """Word2Vec with the library's defaults (size 100, min count 5, one
     iteration, step 0.025). ``num_partitions`` > 1 trains that many
-    partitions in parallel and merges their updates - on a large corpus one
-    partition would put the whole training pass in one task (see
-    ``parallel_word2vec``). The vocabulary is
+    partitions in parallel and merges their updates; each holds the whole
+    model (``parallel_word2vec`` does not). The vocabulary is
     counted with a distributed aggregate; the vocabulary x size weight
     matrices are broadcast, so ``min_count`` bounds what is shipped.
     Sentences longer than ``max_sentence_length`` are cut into consecutive
@@ -31,14 +30,17 @@ def word2vec(input_col: str = "tokens", vector_size: int = 100, min_count: int =
                     maxSentenceLength=max_sentence_length, windowSize=window_size)
 
 
-#: Training partitions of ``parallel_word2vec`` unless the caller names another number: the
+#: Shards of ``parallel_word2vec`` unless the caller names another number: the
 #: fitted vectors depend on it, so it is not taken from the cluster at hand.
 TRAIN_PARTITIONS = 8
 
 
-def parallel_word2vec(df: DataFrame, input_col: str = "tokens", num_partitions: int = TRAIN_PARTITIONS, **kw) -> Word2Vec:
-    """``word2vec`` trained on ``num_partitions`` partitions."""
-    return word2vec(input_col, num_partitions=num_partitions, **kw)
+def parallel_word2vec(df: DataFrame, input_col: str = "tokens", num_partitions: int = TRAIN_PARTITIONS, **kw):
+    """An estimator of word vectors (``fit(df).getVectors()``) for corpora of any vocabulary. The library's own fit (``word2vec``)
+    keeps the vocabulary and both weight matrices on the driver and in each task, in whatever number of partitions
+    it trains; this one trains ``num_partitions`` shards (``operators.word_vectors``)."""
+    from netsentry.operators.word_vectors import ShardedWord2Vec
+    return ShardedWord2Vec(input_col, shards=num_partitions, **kw)
 
 
 def vocabulary(df: DataFrame, tokens_col: str = "tokens", min_count: int = 5) -> DataFrame:

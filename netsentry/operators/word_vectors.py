@@ -22,12 +22,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netsentry.functions import vectors as V
 from netsentry.operators.text import vocabulary
 from netsentry.session import scratch_path
 
@@ -199,3 +201,32 @@ def fit_word_vectors(df: DataFrame, tokens: str = "tokens", size: int = 100, min
             trained = now.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(_train(size, negatives, step, passes, (seed, epoch, turn)), WEIGHTS)
             weights = kept(trained, f"weights-{epoch}-{turn}")
     return weights.where("kind = 0").select("word", F.col("vec").alias("vector"))
+
+
+class ShardedWord2VecModel:
+    """A fitted model whose vectors are a table in the shared folder."""
+
+    def __init__(self, vectors: DataFrame):
+        self._vectors = vectors
+
+    def getVectors(self) -> DataFrame:
+        """(word, vector), as the library's model gives them."""
+        return self._vectors.select("word", V.to_vector(F.col("vector").cast("array<double>")).alias("vector"))
+
+
+@dataclass(frozen=True)
+class ShardedWord2Vec:
+    """An estimator with the library's names whose vocabulary and weights are never on the driver nor whole in a task."""
+
+    tokens: str = "tokens"
+    vector_size: int = 100
+    min_count: int = 5
+    max_iter: int = 1
+    window_size: int = 5
+    negatives: int = 2
+    shards: int = 8
+    seed: int = 42
+
+    def fit(self, df: DataFrame) -> ShardedWord2VecModel:
+        return ShardedWord2VecModel(fit_word_vectors(df, self.tokens, self.vector_size, self.min_count, self.window_size, self.negatives,
+                                                     epochs=self.max_iter, passes=1, shards=self.shards, seed=self.seed))

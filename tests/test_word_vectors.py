@@ -93,3 +93,19 @@ def test_pairs_are_stored_as_numbers(spark):
     got = word_vectors.numbered_pairs(pairs, words, 2)
     assert all(t in ("int", "float") for _, t in got.dtypes)
     assert sorted(map(tuple, got.collect())) == [(0, 1, 0, 0, 1.5), (1, 0, 0, 1, 1.0), (1, 1, 1, 0, 2.0)]
+
+
+def test_the_parallel_fit_needs_no_vocabulary_on_the_driver(spark, monkeypatch):
+    from pyspark.ml.feature import Word2Vec
+
+    def whole(*_):
+        raise AssertionError("the library's fit holds the model on the driver")
+
+    monkeypatch.setattr(Word2Vec, "_fit", whole)
+    lists = corpus()
+    model = text.parallel_word2vec(frame(spark, lists), "tokens", num_partitions=3, vector_size=12, min_count=5, max_iter=5).fit(frame(spark, lists))
+    counts = collections.Counter(w for s in lists for w in s or [] if w)
+    assert {r["word"] for r in model.getVectors().collect()} == {w for w, n in counts.items() if n >= 5}
+    near = text.synonyms(model, "x0", 8).collect()
+    assert [r["similarity"] for r in near] == sorted((r["similarity"] for r in near), reverse=True)
+    assert sum(r["word"].startswith(("x", "twin")) for r in near) >= 7
