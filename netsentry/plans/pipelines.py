@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame
@@ -51,7 +52,9 @@ def fit_two_stage(train: DataFrame, symbolic: Sequence[str], assembler_inputs: S
     """Fit (or load) both stages; returns (model1, model2, scored test rows).
 
     The train/test split is a stable hash of ``split_key``, so a reloaded
-    stage 2 never scores its own training rows.
+    stage 2 never scores its own training rows. The forest reads its input several times (width,
+    rows, bins, tree points): the columns it uses of the training rows are kept on disk while it is fitted, in the partitions
+    they have, so that stage 1 and the distances run once for it and no memory is taken from its own cache.
     """
     p1 = stage1_pipeline(symbolic, assembler_inputs, "label", k, seed)
     m1 = models.load_or_fit(train.sparkSession, path1, p1, train) if path1 else p1.fit(train)
@@ -59,7 +62,12 @@ def fit_two_stage(train: DataFrame, symbolic: Sequence[str], assembler_inputs: S
     tr, te = features.hash_split(staged, split_key, list(weights))
     labels = features.labels_of(m1, R.INDEXED_LABEL)
     p2 = stage2_pipeline(labels, seed=seed)
-    m2 = models.load_or_fit(train.sparkSession, path2, p2, tr) if path2 else p2.fit(tr)
+    kept = tr.select(R.SCALED_FEATURES, R.DISTANCE_TO_CENTERS, R.KMEANS_PREDICTION, R.INDEXED_LABEL).persist(StorageLevel.DISK_ONLY)
+    try:
+        kept.count()  # by all tasks; the first look at a row would else compute a whole partition in one
+        m2 = models.load_or_fit(train.sparkSession, path2, p2, kept) if path2 else p2.fit(kept)
+    finally:
+        kept.unpersist()
     return m1, m2, m2.transform(te)
 
 
