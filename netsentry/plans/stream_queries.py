@@ -52,10 +52,27 @@ def _drain(stream: DataFrame, handler: Callable, checkpoint: str) -> None:
     _ended(scorer.start(stream, handler, checkpoint, {"availableNow": True}))
 
 
-def _event_messages(spark, sf_dir, corrupted=True):
+#: Events a task makes lines of and parses: far more work than their few bytes in the table show.
+EVENTS_PER_TASK = 50_000
+
+
+def _spread_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events, in as many partitions as their number (the table's own count) asks for: a large table of few row groups is else read,
+    and all that follows done, by as few tasks. A small table stays as it is."""
     ev = S.events(spark, sf_dir)
-    line = S.event_line_corrupted() if corrupted else S.event_line()
-    return ev.select(S.event_message(line).alias("value"))
+    tasks = ev.count() // EVENTS_PER_TASK
+    return ev.repartition(tasks) if tasks > 1 else ev
+
+
+def _event_lines(spark, sf_dir, line):
+    """``event_id`` and the line, made once however often it is used: an alias would be put in place of every mention, a generated
+    column is not."""
+    return _spread_events(spark, sf_dir).select("event_id", F.explode(F.array(line)).alias("line"))
+
+
+def _event_messages(spark, sf_dir, corrupted=True):
+    lines = _event_lines(spark, sf_dir, S.event_line_corrupted() if corrupted else S.event_line())
+    return lines.select(S.event_message(F.col("line")).alias("value"))
 
 
 def _event_record_lines(spark, sf_dir):
@@ -92,8 +109,7 @@ def q_stream_union(spark: SparkSession, sf_dir: str, trigger_bytes: int = TRIGGE
 
 
 def _event_records(spark, sf_dir):
-    ev = S.events(spark, sf_dir)
-    lines = ev.select(S.event_line().alias("line"))
+    lines = _event_lines(spark, sf_dir, S.event_line())
     rec, _ = P.parse_records(lines, R.stream_record_schema(), "line", "strict")
     # a learnable class rule over the record's own fields
     label = (F.when(F.col("duration") > 100, F.lit("smurf.")).when(F.col("protocol_type") == "error", F.lit("neptune."))
