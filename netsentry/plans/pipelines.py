@@ -52,23 +52,38 @@ def fit_two_stage(train: DataFrame, symbolic: Sequence[str], assembler_inputs: S
     """Fit (or load) both stages; returns (model1, model2, scored test rows).
 
     The train/test split is a stable hash of ``split_key``, so a reloaded
-    stage 2 never scores its own training rows. The forest reads its input several times (width,
-    rows, bins, tree points): the columns it uses of the training rows are kept on disk while it is fitted, in the partitions
-    they have, so that stage 1 and the distances run once for it and no memory is taken from its own cache.
+    stage 2 never scores its own training rows. K-means and forest read their input several times: the
+    columns they use are kept on disk meanwhile, in the partitions they have, so that the steps before them
+    run once and no memory is taken from their own caches.
     """
-    p1 = stage1_pipeline(symbolic, assembler_inputs, "label", k, seed)
-    m1 = models.load_or_fit(train.sparkSession, path1, p1, train) if path1 else p1.fit(train)
-    staged = append_distances(m1.transform(train), stage1_centers(m1))
-    tr, te = features.hash_split(staged, split_key, list(weights))
-    labels = features.labels_of(m1, R.INDEXED_LABEL)
-    p2 = stage2_pipeline(labels, seed=seed)
-    kept = tr.select(R.SCALED_FEATURES, R.DISTANCE_TO_CENTERS, R.KMEANS_PREDICTION, R.INDEXED_LABEL).persist(StorageLevel.DISK_ONLY)
+    spark = train.sparkSession
+    *before, clusters = stage1_pipeline(symbolic, assembler_inputs, "label", k, seed).getStages()
+    m1 = models.load_if_saved(spark, path1) if path1 else None
+    fitted = m1.stages[:-1] if m1 else Pipeline(stages=before).fit(train).stages
+    rows = PipelineModel(stages=fitted).transform(train).select(split_key, R.SCALED_FEATURES, R.INDEXED_LABEL).persist(StorageLevel.DISK_ONLY)
+    kept = None
     try:
-        kept.count()  # by all tasks; the first look at a row would else compute a whole partition in one
-        m2 = models.load_or_fit(train.sparkSession, path2, p2, kept) if path2 else p2.fit(kept)
+        if m1 is None:
+            # a selection, not the kept frame itself: k-means then caches its vectors for its iterations
+            m1 = PipelineModel(stages=[*fitted, clusters.fit(rows.select(R.SCALED_FEATURES))])
+            if path1:
+                models.save(m1, path1)
+        p2 = stage2_pipeline(features.labels_of(m1, R.INDEXED_LABEL), seed=seed)
+        m2 = models.load_if_saved(spark, path2) if path2 else None
+        if m2 is None:
+            near = append_distances(features.find_stage(m1, KMeansModel).transform(rows), stage1_centers(m1))
+            tr = features.hash_split(near, split_key, list(weights))[0]
+            kept = tr.select(R.SCALED_FEATURES, R.DISTANCE_TO_CENTERS, R.KMEANS_PREDICTION, R.INDEXED_LABEL).persist(StorageLevel.DISK_ONLY)
+            kept.count()  # by all tasks; the first look at a row would else compute a whole partition in one
+            m2 = p2.fit(kept)
+            if path2:
+                models.save(m2, path2)
     finally:
-        kept.unpersist()
-    return m1, m2, m2.transform(te)
+        rows.unpersist()
+        if kept is not None:
+            kept.unpersist()
+    staged = append_distances(m1.transform(train), stage1_centers(m1))
+    return m1, m2, m2.transform(features.hash_split(staged, split_key, list(weights))[1])
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:

@@ -30,6 +30,11 @@ def load_pipeline(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def load_if_saved(spark: SparkSession, path: str) -> PipelineModel | None:
+    """The model at ``path``, or None if no whole one was saved there."""
+    return PipelineModel.load(path) if fs.exists(spark, path.rstrip("/") + MARKER) else None
+
+
 def load_or_fit(spark: SparkSession, path: str, pipeline, df: DataFrame) -> PipelineModel:
     """Load the model at ``path`` if one was saved there, else fit and save.
 
@@ -37,8 +42,8 @@ def load_or_fit(spark: SparkSession, path: str, pipeline, df: DataFrame) -> Pipe
     any shared store. The marker beside the model is written last: a
     half-written model has none and is refitted over.
     """
-    if fs.exists(spark, path.rstrip("/") + MARKER):
-        return PipelineModel.load(path)
-    model = pipeline.fit(df)
-    save(model, path)
+    model = load_if_saved(spark, path)
+    if model is None:
+        model = pipeline.fit(df)
+        save(model, path)
     return model
