@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from itertools import chain, repeat
 
 import numpy as np
@@ -59,30 +59,43 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 class Bits:
-    """The bits of some words and the slots of their contexts."""
+    """The bits of some words and the slots of their contexts. Contexts begin with the word, so
+    a byte that continues the same beginning as in the word before is kept once: of sorted
+    words, every beginning once. ``node``: per byte of the words, which kept byte it is."""
 
     def __init__(self, words: list[bytes]):
         coded = [w if w == END else w + b" " for w in words]
         size = np.fromiter(map(len, coded), np.int64, len(coded))
         self.start = np.cumsum(size) - size
         self.word = np.repeat(np.arange(len(coded)), size)
-        self.data = np.frombuffer(b"".join(coded), np.uint8)
-        pos = np.arange(len(self.data)) - self.start[self.word]
-        value = self.data.astype(np.uint64) + np.uint64(1)
-        contexts = [np.minimum(pos, 7).astype(np.uint64)]
-        last = np.zeros(len(value), np.uint64)
+        data = np.frombuffer(b"".join(coded), np.uint8)
+        pos = np.arange(len(data)) - self.start[self.word]
+        before = np.maximum(np.arange(len(data)) - np.concatenate([[0], size[:-1]])[self.word], 0)  # this place in the word before
+        same = (data[before] == data) & (pos < np.concatenate([[0], size[:-1]])[self.word])
+        new = pos >= np.minimum.reduceat(np.where(same, int(size.max()), pos), self.start)[self.word]
+        kept = np.flatnonzero(new)
+        order = np.argsort(pos, kind="stable")  # in a column of places, a byte not kept is the last kept one
+        self.node = np.empty(len(data), np.int64)
+        self.node[order] = np.maximum.accumulate(np.where(new, np.arange(len(data)), 0)[order] + pos[order] * len(data)) - pos[order] * len(data)
+        self.node = (np.cumsum(new) - 1)[self.node]
+        value = data.astype(np.uint64) + np.uint64(1)
+        first = np.minimum(pos[kept], 7).astype(np.uint64)
+        contexts, last = [first], np.zeros(len(kept), np.uint64)
         for k in range(1, 5):
-            before = np.zeros(len(value), np.uint64)
-            before[k:] = value[:-k]
-            last = last * np.uint64(257) + np.where(pos >= k, before, np.uint64(0))
+            last = last * np.uint64(257) + np.where(pos[kept] >= k, value[np.maximum(kept - k, 0)], np.uint64(0))
             contexts.append(last)
         power = np.cumprod(np.full(int(size.max()), _A), dtype=np.uint64)
         part = value * power[pos]
         sums = np.cumsum(part, dtype=np.uint64) - part  # up to, not with, this byte
-        contexts.append((sums - sums[self.start][self.word]) + pos.astype(np.uint64) * _B)
+        contexts.append((sums - sums[self.start][self.word])[kept] + pos[kept].astype(np.uint64) * _B)
+        self.data = data[kept]
         self.contexts = np.stack([(c + np.uint64(j + 1)) * _A for j, c in enumerate(contexts)])
         self.contexts ^= self.contexts >> np.uint64(29)
 
+    def occurrences(self, n: np.ndarray) -> np.ndarray:
+        """Of each kept byte, from the words' occurrences."""
+        return np.bincount(self.node, n.astype(np.float64)[self.word], len(self.data))
+
     def bit(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(slots by predictor, value) of bit ``k`` of every byte."""
         node = np.uint64(1 << k) | (self.data.astype(np.uint64) >> np.uint64(8 - k))
@@ -90,6 +103,12 @@ class Bits:
         return slots.astype(np.int64), (self.data >> (7 - k)) & 1
 
 
+def in_order(words: list[bytes], n: np.ndarray) -> tuple[Bits, np.ndarray]:
+    """The bits of the sorted words, and their occurrences in that order."""
+    order = sorted(range(len(words)), key=words.__getitem__)
+    return Bits([words[k] for k in order]), n[order]
+
+
 def stretch_counts(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4)))
 
@@ -131,14 +150,14 @@ class Model:
                 low, share = map_place(x)
                 p = (squash(x) + self.refined[gate, low] * (1 - share) + self.refined[gate, low + 1] * share) / 2
                 lp += np.log10(np.clip(np.where(value == 1, p, 1 - p), 1e-6, 1 - 1e-6))
-            out[lo:lo + WORDS_AT_ONCE] = np.add.reduceat(lp, bits.start)
+            out[lo:lo + WORDS_AT_ONCE] = np.add.reduceat(lp[bits.node], bits.start)
         return out
 
 
 def count_slots(words: list[bytes], n: np.ndarray, table: np.ndarray) -> None:
     """Add the bits of each word, ``n`` times, to the counts."""
     bits, flat = Bits(words), table.reshape(-1)
-    weight = np.tile(n.astype(np.float64)[bits.word], PREDICTORS)
+    weight = np.tile(bits.occurrences(n), PREDICTORS)
     for k in range(8):
         slots, value = bits.bit(k)
         np.add.at(flat, (slots * 2 + value).reshape(-1), weight)
@@ -151,8 +170,8 @@ def learn_mixer(batches: Iterable[tuple[list[bytes], np.ndarray]], counts: np.nd
     for words, n in batches:
         tokens += float(n.sum())
         for lo in range(0, len(words), step):
-            bits = Bits(words[lo:lo + step])
-            c = n[lo:lo + step].astype(np.float64)[bits.word]
+            bits, of = in_order(words[lo:lo + step], n[lo:lo + step])
+            c = bits.occurrences(of)
             for k in range(8):
                 slots, value = bits.bit(k)
                 both = pairs.take(slots).view(np.float32).reshape(*slots.shape, 2)
@@ -246,6 +265,14 @@ def log10_sum(r: Column, lp: Column) -> Column:
     return F.when(r > 0, F.greatest(log, lp) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(log - lp)))).otherwise(lp)
 
 
+def sorted_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """``WORDS_AT_ONCE`` words at a time, sorted within some megabytes of them."""
+    for part in regroup(batches, rows=1 << 18, size=16 << 20, column="word"):
+        part = part.sort_by("word")
+        for lo in range(0, part.num_rows, WORDS_AT_ONCE):
+            yield part.slice(lo, WORDS_AT_ONCE)
+
+
 def learn(types: DataFrame) -> Model:
     """The model from all training words and their counts."""
     spark = types.sparkSession
@@ -253,10 +280,8 @@ def learn(types: DataFrame) -> Model:
 
     def slots(batches):
         table = np.zeros((1 << SLOT_BITS, 2))
-        for b in batches:
-            words, n = b.column(0).to_pylist(), b.column(1).to_numpy()
-            for lo in range(0, len(words), WORDS_AT_ONCE):
-                count_slots(words[lo:lo + WORDS_AT_ONCE], n[lo:lo + WORDS_AT_ONCE], table)
+        for b in sorted_words(batches):
+            count_slots(b.column(0).to_pylist(), b.column(1).to_numpy(), table)
         for r in range(1 << (SLOT_BITS - RANGE_BITS)):
             part = table[r << RANGE_BITS:(r + 1) << RANGE_BITS]
             at = np.flatnonzero(part.any(1))
@@ -326,8 +351,8 @@ def score_texts(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
     model = spark.sparkContext.broadcast(learn(types))
 
     def price(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(word_log10(model.value.log10_words(b.column(0).to_pylist()), b.column(1).to_numpy(), total, once))], names=["word", "n", "lp"])
+        for b in sorted_words(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0).combine_chunks(), b.column(1).combine_chunks(), pa.array(word_log10(model.value.log10_words(b.column(0).to_pylist()), b.column(1).to_numpy(), total, once))], names=["word", "n", "lp"])
 
     priced = staged(types.mapInArrow(price, "word binary, n long, lp double"), "priced")
     floor = math.log10(total + distinct + 1)

@@ -228,6 +228,18 @@ def test_context_mixing_learns_from_all_occurrences():
     assert tokens == n.sum() and seen.sum() == once.sum() / context_mixing.PREDICTORS
 
 
+def test_context_mixing_keeps_each_beginning_once():
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abc") for _ in range(rnd.randint(1, 6))).encode() for _ in range(400)] + [context_mixing.END]
+    for some in (words, sorted(words)):
+        bits = context_mixing.Bits(some)
+        coded = [w if w == context_mixing.END else w + b" " for w in some]
+        assert (bits.data[bits.node] == np.frombuffer(b"".join(coded), np.uint8)).all()
+        for j, w in enumerate(some):  # the same contexts as alone
+            assert (bits.contexts[:, bits.node[bits.start[j]:][:len(coded[j])]] == context_mixing.Bits([w]).contexts).all()
+    assert len(bits.data) == len({w[:k + 1] for w in coded for k in range(len(w))})
+
+
 def test_toxicity_search_is_exact():
     rnd = random.Random(7)
     idf = {f"t{k}".encode(): 1 + k / 10 for k in range(20)}
