@@ -12,16 +12,23 @@ probability) refines the result. A word's bits and its plain frequency are then
 rate at which new words turn up (words seen once, over all): frequent words get their
 frequency, new ones are spelled. Within a document, two last stages adapt. The word
 frequencies of ``KINDS`` kinds of training documents (a kind: the same two most frequent words,
-so mostly a language) and those of all are mixed by weights that follow how well each foretold
-the document so far. And the probability is mixed with that of a repeat of one of the document's
+so mostly a language), those of all and the word's probability after the word before are mixed by
+weights that follow how well each foretold the document so far. And the probability is mixed with that of a repeat of one of the document's
 earlier words, at a rate that follows the repeats seen so far. All probabilities use only what came before, so the
 score is the logarithm of a proper probability of the word sequence.
 
+The probability after the word before is mixed from bits, too: a word is coded as one bit (whether it is
+none of the ``FREQUENT`` most frequent) and the bits of its rank. A bit's contexts are the bits before
+it, alone and together with the class of the word before in the text, across the ends of words. Classes: the
+``OWN`` most frequent words have their own, all others one by their last byte. Both contexts are counted
+over the training texts, each occurrence; gates, mixer and map are as above, learned per class and averaged.
+
 What is learned: words and their counts of all training documents (a distributed
 aggregate, written to the shared folder); the predictors' counts over all those words, summed in
 one table of 2^SLOT_BITS slots; mixer weights, averaged over the tasks' online runs; the map.
 The table has a fixed size and is broadcast; so are the ``FREQUENT`` most frequent words. All
-other words meet their counts and probabilities in an ordinary join.
+other words meet their counts and probabilities in an ordinary join. The counts after the classes have a
+fixed size too (``CLASSES`` times ``FREQUENT``); texts are split into words' numbers once, kept in the shared folder.
 
 Defined results: null and empty texts are the end alone; very long texts are scored whole;
 without training documents every count is 0; repeated rows each get their row; an empty table
@@ -54,6 +61,9 @@ REPEAT_SHARE = 0.35
 RATE = 0.02
 KINDS = 8
 KIND_PRIOR = 200.0
+CLASSES = 32
+OWN = 16
+CLASS_BIT = 27  # a text's numbers: the word's in the lower bits, its class above
 END = b"\n"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -163,6 +173,16 @@ def count_slots(words: list[bytes], n: np.ndarray, table: np.ndarray) -> None:
         np.add.at(flat, (slots * 2 + value).reshape(-1), weight)
 
 
+def mixer_step(weights: np.ndarray, seen: np.ndarray, x: np.ndarray, gate: np.ndarray, value: np.ndarray, c: np.ndarray) -> None:
+    """Take some bits, ``c`` times each, into the map's counts and the weights."""
+    mixed = np.einsum("ji,ji->i", weights.T.astype(np.float32)[:, gate], x)
+    low, share = map_place(mixed)
+    seen += np.bincount(((gate * STEPS + low + (share >= 0.5)) * 2 + value), c, len(seen))
+    error = c * (value - squash(mixed))
+    change = np.stack([np.bincount(gate, error * row, GATES) for row in x], 1)
+    weights += RATE * change / (np.bincount(gate, c, GATES)[:, None] + 1)
+
+
 def learn_mixer(batches: Iterable[tuple[list[bytes], np.ndarray]], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """One online run over words and their occurrences: (weights, map counts, tokens seen)."""
     weights, seen, tokens = np.full((GATES, PREDICTORS), 0.3), np.zeros(GATES * STEPS * 2), 0.0
@@ -179,15 +199,73 @@ def learn_mixer(batches: Iterable[tuple[list[bytes], np.ndarray]], counts: np.nd
                 n0 = np.maximum(both[..., 0] - (1 - one), np.float32(0))  # without this very occurrence
                 n1 = np.maximum(both[..., 1] - one, np.float32(0))
                 x, gate = stretch_counts(n0, n1), gates_of((n0 + n1)[[5, 3]])
-                mixed = np.einsum("ji,ji->i", weights.T.astype(np.float32)[:, gate], x)
-                low, share = map_place(mixed)
-                seen += np.bincount(((gate * STEPS + low + (share >= 0.5)) * 2 + value), c, len(seen))
-                error = c * (value - squash(mixed))
-                change = np.stack([np.bincount(gate, error * row, GATES) for row in x], 1)
-                weights += RATE * change / (np.bincount(gate, c, GATES)[:, None] + 1)
+                mixer_step(weights, seen, x, gate, value, c)
     return weights, seen.reshape(GATES, STEPS, 2), tokens
 
 
+def refine(seen: np.ndarray) -> np.ndarray:
+    """The adaptive map from its counts."""
+    prior = squash(np.linspace(-8, 8, STEPS))
+    return (seen[..., 1] + 8 * prior) / (seen.sum(2) + 8)
+
+
+def tree(n: np.ndarray) -> np.ndarray:
+    """Counts of 0 and 1 at each bit of the words' numbers. ``n``: of each frequent word and, last, of all
+    others. Row 0: whether it is one of the others; from row 2^d: bit d of the rank, by the bits before."""
+    depth = max(len(n) - 2, 0).bit_length()
+    ranks = np.zeros(1 << depth)
+    ranks[:len(n) - 1] = n[:-1]
+    return np.concatenate([[[ranks.sum(), n[-1]]]] + [ranks.reshape(1 << d, 2, -1).sum(2) for d in range(depth)])
+
+
+def learn_next(n: np.ndarray, everywhere: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """One online run over the words after one class: (weights, map counts, tokens seen)."""
+    weights, seen, step = np.full((GATES, 2), 0.5), np.zeros(GATES * STEPS * 2), WORDS_AT_ONCE // 10
+    counts, sides = np.stack([tree(n), tree(everywhere)]), tree(np.ones(len(n)))
+    for lo in range(0, len(sides), step):
+        for bit in (0, 1):
+            at = lo + np.flatnonzero((counts[0, lo:lo + step, bit] > 0) & (sides[lo:lo + step] > 0).all(1))
+            left = counts[:, at].copy()
+            left[..., bit] = np.maximum(left[..., bit] - 1, 0)  # without this very occurrence
+            x = stretch_counts(left[..., 0], left[..., 1]).astype(np.float32)
+            mixer_step(weights, seen, x, gates_of(left.sum(2)), np.full(len(at), bit), counts[0, at, bit])
+    return weights, seen.reshape(GATES, STEPS, 2), float(n.sum())
+
+
+def log_next(n: np.ndarray, everywhere: np.ndarray, weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
+    """Log probability of each frequent word and, last, of any other, after one class."""
+    counts, sides = np.stack([tree(n), tree(everywhere)]), tree(np.ones(len(n)))
+    gate = gates_of(counts.sum(2))
+    x = np.einsum("ji,ji->i", weights.T[:, gate], stretch_counts(counts[..., 0], counts[..., 1]))
+    low, share = map_place(x)
+    p = np.clip((squash(x) + refined[gate, low] * (1 - share) + refined[gate, low + 1] * share) / 2, 1e-6, 1 - 1e-6)
+    p = np.where(sides[:, 1] == 0, 0.0, np.where(sides[:, 0] == 0, 1.0, p))  # no words, no probability
+    with np.errstate(divide="ignore"):
+        log = np.log(np.column_stack([1 - p, p]))
+    out = log[0, :1]
+    for d in range((len(log) - 1).bit_length()):
+        out = (out[:, None] + log[1 << d:2 << d]).reshape(-1)
+    return np.append(out[:len(n) - 1], log[0, 1])
+
+
+def classes_of(words: list[bytes], rank: np.ndarray) -> np.ndarray:
+    """Each word's class as the word before another."""
+    last = np.fromiter((w[-1] for w in words), np.int64, len(words))
+    return np.where(rank < OWN, rank, OWN + (last * 40503 >> 8) % (CLASSES - OWN))
+
+
+def numbered_words(part: pa.Table, frequent: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens by document, tokens' numbers in the document, their ranks, the class of the word before); ``end``:
+    the class of an end, which comes before a text."""
+    raw = part.column("ids").to_pylist()
+    size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+    ids = np.frombuffer(b"".join(raw), np.uint32).astype(np.int64)
+    before = np.roll(ids >> CLASS_BIT, 1)
+    before[np.cumsum(size) - size] = end
+    ids &= (1 << CLASS_BIT) - 1
+    return size, ids, np.minimum(ids, frequent), before
+
+
 def words_of(text: str | None) -> list[bytes]:
     return utf8(text).lower().split()
 
@@ -221,28 +299,33 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 class Kinds:
-    """Word frequencies of all documents (column 0) and of each kind, for the
+    """Word frequencies of all documents (column 0), of each kind, and after each class, for the
     frequent words; and what a rarer word's probability is multiplied with."""
 
-    def __init__(self, p: np.ndarray, counts: np.ndarray, by_kind: np.ndarray, totals: np.ndarray):
+    def __init__(self, p: np.ndarray, counts: np.ndarray, by_kind: np.ndarray, totals: np.ndarray, after: np.ndarray):
         """``p``: probability of each frequent word; ``counts``: its occurrences in all
-        and ``by_kind`` in each kind; ``totals``: tokens of each kind."""
+        and ``by_kind`` in each kind; ``totals``: tokens of each kind; ``after``: log probability
+        after each class, of any rarer word in the last column."""
         inside = by_kind.sum(0)
         rare = (totals - inside + 1) / (totals + 2)
         shape = (by_kind + KIND_PRIOR * (counts / max(1, counts.sum()))[:, None]) / (inside + KIND_PRIOR)
         self.words = np.column_stack([p, (1 - rare) * shape])
-        self.words = np.vstack([self.words, np.concatenate([[1.0], rare / max(1e-12, 1 - p.sum())])])  # the last row: any other word
+        rest = max(1e-12, 1 - p.sum())
+        self.words = np.vstack([self.words, np.concatenate([[1.0], rare / rest])])  # the last row: any other word
+        self.after = after
+        self.after[:, -1] -= math.log(rest)
         self.words = np.maximum(self.words, 1e-300)
         self.logs = np.log(self.words)
-        self.start = np.log(np.full(len(totals) + 1, 1 / (len(totals) + 1)))
+        self.start = np.log(np.full(len(totals) + 2, 1 / (len(totals) + 2)))
 
-    def mixed(self, begin: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def mixed(self, begin: np.ndarray, size: np.ndarray, at: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Per token its probability (of a rarer word: the factor to its own), the
         columns weighted by how well they foretold the document's earlier tokens."""
         out = np.empty(len(at))
         for d in range(0, len(size), 32):  # a few documents at a time stay in the processor's cache
             lo, hi = int(begin[d]), int(begin[d:d + 32][-1] + size[d:d + 32][-1])
-            p, log = self.words[at[lo:hi]], self.logs[at[lo:hi]]
+            after = self.after[before[lo:hi], at[lo:hi]].astype(np.float64)[:, None]
+            p, log = np.hstack([self.words[at[lo:hi]], np.exp(after)]), np.hstack([self.logs[at[lo:hi]], after])
             weight = np.cumsum(log, axis=0)
             weight -= log
             weight += self.start - np.repeat(weight[begin[d:d + 32] - lo], size[d:d + 32], axis=0)
@@ -273,6 +356,62 @@ def sorted_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
             yield part.slice(lo, WORDS_AT_ONCE)
 
 
+_COUNTS = "r int, at binary, n binary"
+
+
+def add_rows(parts: DataFrame, shape: tuple[int, ...], places: type) -> DataFrame:
+    """(``r``, ``n``): each row of counts, from the tasks' counts at the places that have any."""
+    def total(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for r, at, n in zip(*(c.to_pylist() for c in b.columns)):
+                sums.setdefault(r, np.zeros(shape))[np.frombuffer(at, places)] += np.frombuffer(n).reshape(-1, *shape[1:])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.astype(np.float32).tobytes() for s in sums.values()], pa.binary())], names=["r", "n"])
+
+    return parts.repartition(16, "r").mapInArrow(total, "r int, n binary")
+
+
+def learn_after(coded: DataFrame, everywhere: np.ndarray, end: int) -> np.ndarray:
+    """Log probability after each class (rows) of each frequent word and, last, of any other. ``coded``: texts
+    as numbers, of which those with ``train`` are learned; ``everywhere``: the words' occurrences."""
+    width = len(everywhere)
+
+    def follow(batches):
+        table = np.zeros((CLASSES, width))
+        for part in regroup(batches, size=2 << 20, column="ids"):
+            _, _, at, before = numbered_words(part, width - 1, end)
+            np.add.at(table.reshape(-1), before * width + at, 1.0)
+        for r in range(CLASSES):
+            at = np.flatnonzero(table[r])
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([at.astype(np.uint32).tobytes()], pa.binary()),
+                                                  pa.array([table[r, at].tobytes()], pa.binary())], names=["r", "at", "n"])
+
+    rows = staged(add_rows(coded.where("train").select("ids").mapInArrow(follow, _COUNTS), (width,), np.uint32), "after")
+    counts_of = lambda b: (np.frombuffer(n, np.float32).astype(np.float64) for n in b.column(1).to_pylist())
+
+    def mixer(batches):
+        for b in batches:
+            runs = [learn_next(n, everywhere) for n in counts_of(b)]
+            yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array([r[k].tobytes() for r in runs], pa.binary()) for k in (0, 1)] + [pa.array([r[2] for r in runs], pa.float64())], names=["r", "w", "s", "t"])
+
+    # A few kB of each of the CLASSES classes, then FREQUENT numbers of each: the model, not the corpus.
+    runs = sorted(rows.mapInArrow(mixer, "r int, w binary, s binary, t double").collect())
+    tokens = sum(t for *_, t in runs)
+    weights = sum(t / tokens * np.frombuffer(bytes(w)).reshape(GATES, 2) for _, w, _, t in runs) if tokens else np.full((GATES, 2), 0.5)
+    refined = refine(sum((np.frombuffer(bytes(s)).reshape(GATES, STEPS, 2) for _, _, s, _ in runs), np.zeros((GATES, STEPS, 2))))
+
+    def price(batches):
+        for b in batches:
+            logs = [log_next(n, everywhere, weights, refined).astype(np.float32).tobytes() for n in counts_of(b)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(logs, pa.binary())], names=["r", "lp"])
+
+    out = np.tile(log_next(np.zeros(width), everywhere, weights, refined).astype(np.float32), (CLASSES, 1))
+    for r, lp in rows.mapInArrow(price, "r int, lp binary").collect():
+        out[r] = np.frombuffer(bytes(lp), np.float32)
+    return out
+
+
 def learn(types: DataFrame) -> Model:
     """The model from all training words and their counts."""
     spark = types.sparkSession
@@ -289,16 +428,9 @@ def learn(types: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()),
                                                   pa.array([part[at].tobytes()], pa.binary())], names=["r", "at", "n"])
 
-    def total(batches):
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for r, at, n in zip(*(c.to_pylist() for c in b.columns)):
-                sums.setdefault(r, np.zeros((1 << RANGE_BITS, 2)))[np.frombuffer(at, np.uint16)] += np.frombuffer(n).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.astype(np.float32).tobytes() for s in sums.values()], pa.binary())], names=["r", "n"])
-
     counts = np.zeros((1 << (SLOT_BITS - RANGE_BITS), 1 << RANGE_BITS, 2), np.float32)
     # A fixed number of ranges of fixed size: the model, not the corpus.
-    for r, n in known.mapInArrow(slots, "r int, at binary, n binary").repartition(16, "r").mapInArrow(total, "r int, n binary").collect():
+    for r, n in add_rows(known.mapInArrow(slots, _COUNTS), (1 << RANGE_BITS, 2), np.uint16).collect():
         counts[r] = np.frombuffer(bytes(n), np.float32).reshape(-1, 2)
     counts = counts.reshape(-1, 2)
     shared = spark.sparkContext.broadcast(counts)
@@ -313,10 +445,9 @@ def learn(types: DataFrame) -> Model:
         weights += t * np.frombuffer(bytes(w)).reshape(GATES, PREDICTORS)
         seen += np.frombuffer(bytes(s)).reshape(GATES, STEPS, 2)
         tokens += t
+    shared.destroy()
     weights = weights / tokens if tokens else np.full((GATES, PREDICTORS), 0.3)
-    prior = squash(np.linspace(-8, 8, STEPS))
-    refined = (seen[..., 1] + 8 * prior) / (seen.sum(2) + 8)
-    return Model(counts, weights, refined)
+    return Model(counts, weights, refine(seen))
 
 
 def adaptive_terms(begin: np.ndarray, size: np.ndarray, ids: np.ndarray, share: float = REPEAT_SHARE) -> tuple[np.ndarray, np.ndarray]:
@@ -337,6 +468,7 @@ def adaptive_terms(begin: np.ndarray, size: np.ndarray, ids: np.ndarray, share:
     return 1 - rate, rate * before / np.maximum(at, 1)
 
 
+_CODED = "row long, train boolean, ids binary, n_bytes long, rare binary"
 _DOC = "row long, n_tokens long, known long, base double, score double, n_bytes long, rare array<struct<word:binary,r:double>>"
 
 
@@ -355,6 +487,7 @@ def score_texts(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([b.column(0).combine_chunks(), b.column(1).combine_chunks(), pa.array(word_log10(model.value.log10_words(b.column(0).to_pylist()), b.column(1).to_numpy(), total, once))], names=["word", "n", "lp"])
 
     priced = staged(types.mapInArrow(price, "word binary, n long, lp double"), "priced")
+    model.destroy()  # used up; its files would stay on every executor's disk
     floor = math.log10(total + distinct + 1)
     # Bounded by parameters: FREQUENT words, KINDS kinds. They come as Arrow columns.
     few = staged(priced.where("n > 0").orderBy(F.desc("n"), "word").limit(FREQUENT), "frequent")
@@ -366,12 +499,12 @@ def score_texts(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
     parts = by_kind.where(F.array_contains(names, F.col("kind"))).join(F.broadcast(few.select("word")), "word").select("word", F.array_position(names, F.col("kind")).alias("k"), F.col("n")).toArrow()
     rows = np.fromiter(map(number.__getitem__, parts.column("word").to_pylist()), np.int64, len(parts))
     shares[rows, parts.column("k").to_numpy() - 1] = parts.column("n").to_numpy()
-    frequent = spark.sparkContext.broadcast((number, np.append(counts, 0), Kinds(10.0 ** top.column("lp").to_numpy(), counts, shares, np.array([r[1] for r in kinds], np.float64))))
-    del top, parts, rows, shares
+    by_kinds = shares, np.array([r[1] for r in kinds], np.float64)
+    ranks = spark.sparkContext.broadcast(number)
+    end = int(classes_of([END], np.array([number.get(END, len(number))]))[0])
 
-    def score(batches):
-        number, counts, kinds = frequent.value
-        base_of = np.log10(counts + 1) - floor
+    def code(batches):
+        number = ranks.value
         for part in regroup(batches, size=2 << 20):
             split = [words_of(t) + [END] for t in part.column("text").to_pylist()]
             size = np.fromiter(map(len, split), np.int64, len(split))
@@ -379,22 +512,47 @@ def score_texts(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
             words = [w for ws in split for w in ws]
             coded = pa.array(words, pa.binary()).dictionary_encode()
             ids, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-            at = np.fromiter(map(number.get, names, repeat(len(number))), np.int64, len(names))[ids]
+            rank = np.fromiter(map(number.get, names, repeat(len(number))), np.int64, len(names))
+            own = np.where(rank < len(number), rank, len(number) + np.arange(len(names))) | classes_of(names, rank) << CLASS_BIT
+            raw = own.astype(np.uint32)[ids].tobytes()
+            other = ids[rank[ids] == len(number)]
+            far = [names[w] for w in other.tolist()]
+            upto = np.cumsum(np.add.reduceat((rank[ids] == len(number)).astype(np.int64), begin)).tolist()
+            length = np.fromiter(map(len, names), np.int64, len(names))[ids] + 1
+            yield pa.RecordBatch.from_arrays(
+                [part.column("row").combine_chunks(), part.column("train").combine_chunks(),
+                 pa.array([raw[4 * b:4 * (b + n)] for b, n in zip(begin.tolist(), size.tolist())], pa.binary()), pa.array(np.add.reduceat(length, begin)),
+                 pa.array([b" ".join(far[lo:hi]) for lo, hi in zip([0] + upto, upto)], pa.binary())],
+                names=["row", "train", "ids", "n_bytes", "rare"])
+
+    coded = staged(source.select("row", "train", "text").mapInArrow(code, _CODED), "coded")
+    ranks.destroy()
+    after = learn_after(coded, np.append(counts, total - counts.sum()).astype(np.float64), end)
+    frequent = spark.sparkContext.broadcast((np.append(counts, 0), Kinds(10.0 ** top.column("lp").to_numpy(), counts, *by_kinds, after)))
+    del top, parts, rows, shares, by_kinds, after
+
+    def score(batches):
+        counts, kinds = frequent.value
+        base_of = np.log10(counts + 1) - floor
+        for part in regroup(batches, size=2 << 20, column="ids"):
+            size, ids, at, before = numbered_words(part, len(counts) - 1, end)
+            begin = np.cumsum(size) - size
             other, same = adaptive_terms(begin, size, ids)
-            rare = at == len(number)
-            other = other * kinds.mixed(begin, size, at)
+            rare = at == len(counts) - 1
+            other = other * kinds.mixed(begin, size, at, before)
             lp = np.log10(np.where(rare, other, same + other))
-            far = pa.StructArray.from_arrays([pa.array([names[w] for w in ids[rare].tolist()], pa.binary()), pa.array(same[rare] / other[rare])], names=["word", "r"])
+            names = [w for ws in part.column("rare").to_pylist() if ws for w in ws.split(b" ")]
+            far = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(same[rare] / other[rare])], names=["word", "r"])
             far = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.add.reduceat(rare.astype(np.int64), begin))]), pa.int32()), far)
             known = ~rare & (counts[at] > 0)
-            n_bytes = np.fromiter(map(len, words), np.int64, len(words)) + 1
             yield pa.RecordBatch.from_arrays(
                 [part.column("row").combine_chunks(), pa.array(size), pa.array(np.add.reduceat(known.astype(np.int64), begin)), pa.array(np.add.reduceat(np.where(rare, 0.0, base_of[at]), begin)),
-                 pa.array(np.add.reduceat(lp, begin)), pa.array(np.add.reduceat(n_bytes, begin)),
+                 pa.array(np.add.reduceat(lp, begin)), part.column("n_bytes").combine_chunks(),
                  far],
                 names=["row", "n_tokens", "known", "base", "score", "n_bytes", "rare"])
 
-    scored = staged(source.select("row", "text").mapInArrow(score, _DOC), "scored")
+    scored = staged(coded.select("row", "ids", "n_bytes", "rare").mapInArrow(score, _DOC), "scored")
+    frequent.destroy()
     rest = (scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.r").join(priced, "word")
             .groupBy("row").agg(F.count_if(F.col("n") > 0).alias("known2"),
                                 F.sum(F.log10(F.col("n") + 1) - floor).alias("base2"),

@@ -240,6 +240,37 @@ def test_context_mixing_keeps_each_beginning_once():
     assert len(bits.data) == len({w[:k + 1] for w in coded for k in range(len(w))})
 
 
+def test_context_mixing_learns_the_order_of_words(spark):
+    # Words once each, the same in both orders: only contexts across words tell the two apart.
+    rnd = random.Random(5)
+    pairs = [(f"first{k}", f"second{k % 3}") for k in range(12)]
+    texts = [" ".join(" ".join(p) for p in rnd.sample(pairs, 6)) for _ in range(200)]
+    ahead, back = "first0 second0 first1 second1 first2 second2", "second2 first2 second1 first1 second0 first0"
+    held = len(texts)
+    got = {r.doc_id: r.score for r in context_mixing.score_texts(documents(spark, [*texts, ahead, back]).select("doc_id", "text"), F.col("doc_id") < held).collect()}
+    assert got[held] > got[held + 1] + 0.3
+
+
+def test_context_mixing_after_a_class():
+    # Bit by bit against the words' numbers, and all words together have the probability 1.
+    rnd = np.random.default_rng(4)
+    for k in (0, 1, 2, 5, 64, 77):
+        n, everywhere = rnd.integers(0, 9, k + 1) * 1.0, rnd.integers(9, 90, k + 1) * 1.0
+        counts, depth = context_mixing.tree(n), max(k - 1, 0).bit_length()
+        for row, both in enumerate(counts):
+            for bit in (0, 1):
+                if row == 0:
+                    want = n[-1] if bit else n[:-1].sum()
+                else:
+                    d = row.bit_length() - 1
+                    want = sum(n[w] for w in range(k) if (w >> (depth - 1 - d)) == (row - (1 << d)) * 2 + bit)
+                assert both[bit] == want
+        weights, seen, tokens = context_mixing.learn_next(n, everywhere)
+        assert tokens == n.sum() and seen.sum() <= n.sum() * (depth + 1)
+        lp = context_mixing.log_next(n, everywhere, weights, context_mixing.refine(seen))
+        assert len(lp) == k + 1 and math.isclose(np.exp(lp).sum(), 1, rel_tol=1e-6)
+
+
 def test_toxicity_search_is_exact():
     rnd = random.Random(7)
     idf = {f"t{k}".encode(): 1 + k / 10 for k in range(20)}
