@@ -1,6 +1,7 @@
 """Word vectors trained in shards."""
 
 import collections
+import pathlib
 import random
 
 import numpy as np
@@ -109,3 +110,54 @@ def test_the_parallel_fit_needs_no_vocabulary_on_the_driver(spark, monkeypatch):
     near = text.synonyms(model, "x0", 8).collect()
     assert [r["similarity"] for r in near] == sorted((r["similarity"] for r in near), reverse=True)
     assert sum(r["word"].startswith(("x", "twin")) for r in near) >= 7
+
+
+def size_of(path):
+    return sum(p.stat().st_size for p in pathlib.Path(path.removeprefix("file:")).rglob("*.parquet"))
+
+
+def test_the_weights_lie_on_disk_once(spark, scratch, monkeypatch):
+    r = random.Random(3)
+    lists = [[f"w{r.randrange(600)}" for _ in range(30)] for _ in range(500)]
+    sizes, delete = [], word_vectors.fs.delete
+
+    def watched(session, path):
+        sizes.append(size_of(scratch))
+        return delete(session, path)
+
+    monkeypatch.setattr(word_vectors, "scratch_path", lambda *_: scratch)
+    monkeypatch.setattr(word_vectors.fs, "delete", watched)
+    before = {k: spark.conf.get(k, None) for k in word_vectors.SETTINGS}
+    vectors = word_vectors.fit_word_vectors(frame(spark, lists).repartition(3), size=100, window=3, negatives=1, passes=1, shards=4)
+    assert vectors.count() == 600
+    weights = 600 * 2 * 2 * 100 * 4  # own vectors and contexts with their squares
+    assert len(sizes) >= 2 * 4 * 4 and max(sizes) < 1.75 * weights and size_of(scratch) < weights
+    assert {k: spark.conf.get(k, None) for k in word_vectors.SETTINGS} == before
+
+
+def test_stored_pairs_are_those_of_the_windows(spark, scratch):
+    lists = corpus(n=60) + [[None], ["x1", None, "x2"]]
+    df = frame(spark, lists).repartition(3)
+    words = word_vectors.stored_pairs(spark, scratch, df, 5, 3, 3, 5)
+    named = {(r["shard"], r["row"]): r["word"] for r in words.collect()}
+    counts = collections.Counter(w for s in lists for w in s or [] if w)
+    assert {r["word"]: r["n"] for r in words.collect()} == {w: n for w, n in counts.items() if n >= 5}
+    got = {}
+    for r in spark.read.parquet(f"{scratch}/pairs").collect():
+        at = np.cumsum(word_vectors._unpacked(bytes(r["keys"]), r["n"], np.int64))
+        for k, n in zip(at.tolist(), word_vectors._unpacked(bytes(r["weights"]), r["n"], np.int64).tolist(), strict=True):
+            a, b = named[r["a"], k // r["width"]], named[r["b"], k % r["width"]]
+            assert r["a"] <= r["b"] and (a, b) not in got and (b, a) not in got
+            got[a, b] = got[b, a] = n / 3
+    want = word_vectors.word_pairs(df, "tokens", words, 3, 5).collect()
+    assert set(got) == {(r["word"], r["beside"]) for r in want} and all(abs(got[r["word"], r["beside"]] - r["weight"]) < 1e-9 for r in want)
+
+
+def test_totals_are_those_of_reduceat():
+    r = np.random.default_rng(2)
+    rows = np.concatenate([r.integers(0, 900, 1500), r.integers(0, 20, 300), np.full(40, 7)])
+    gradient = r.standard_normal((len(rows), 9)).astype(np.float32)
+    at, total = word_vectors._totals(rows, lambda o: gradient[o])
+    order = np.argsort(rows, kind="stable")
+    want, first = np.unique(rows[order], return_index=True)
+    assert (at == want).all() and (total == np.add.reduceat(gradient[order], first, axis=0)).all()
