@@ -40,7 +40,7 @@ from netsentry.sources import fs
 
 BATCH = 4096  # pairs whose gradients are taken together
 WORDS_AT_ONCE = 1 << 20  # words of whole sentences whose pairs are counted together in a task
-PAIRS_A_ROW = 1 << 20
+PAIRS_A_ROW = 1 << 16
 WORDS_A_ROW = 256
 #: Text some lists at a time: the words that occur with their counts, each place's word (from 1; 0 for a null) and the lists' lengths.
 PIECES = "piece long, words array<string>, counts array<bigint>, many long, codes binary, lists long, sizes binary"
@@ -225,15 +225,15 @@ def _start(size: int, seed: int):
     return run
 
 
-def _totals(rows: np.ndarray, gradient: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The different rows in order and the sums of their gradients, added in the order in which ``np.add.reduceat`` adds: to a row's first the sum of its
+def _totals(rows: np.ndarray, gradient: Callable[..., np.ndarray], out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows in order and, in ``out``, the sums of their gradients (``gradient`` gives those of the places it is asked for), added in the order in which ``np.add.reduceat`` adds: to a row's first the sum of its
     others. ``reduceat`` itself takes a step for every row and column, so it is left those rows that come more than eight times."""
     bits = len(rows).bit_length()
     ordered = np.sort(rows.astype(np.int64) << bits | np.arange(len(rows)))  # rows in order, those of a row as they came
     order, there = ordered & (1 << bits) - 1, ordered >> bits
     first = _firsts(there)
     counts = np.diff(first, append=len(rows))
-    total = gradient(order[first])
+    total = gradient(order[first], out[:len(first)])
     few = np.flatnonzero((counts > 1) & (counts <= 8))
     others = gradient(order[first[few] + 1])
     for k in range(2, 8):
@@ -252,45 +252,64 @@ def train_block(word: np.ndarray, beside: np.ndarray, weight: np.ndarray, own: n
     chance = np.cumsum(counts.astype(float) ** 0.75)
     chance /= chance[-1]
 
-    def move(vectors: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradient: Callable[[np.ndarray], np.ndarray]) -> None:
-        """``gradient`` gives those of the places it is asked for."""
-        at, total = _totals(rows, gradient)
-        square = squares[at]
-        square += total * total
+    width = own.shape[1]
+    wide = min(BATCH, len(word)) * (negatives + 1)
+    totals, squared, moved, of_context = (np.empty((wide, width), np.float32) for _ in range(4))  # used again and again, as new memory costs more than the sums
+    of_own = np.empty((min(BATCH, len(word)), width), np.float32)
+
+    def taken(vectors: np.ndarray, rows: np.ndarray, to: np.ndarray | None = None) -> np.ndarray:
+        return np.take(vectors, rows, axis=0, out=None if to is None else to[:len(rows)], mode="clip")
+
+    def move(vectors: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradient: Callable[..., np.ndarray]) -> None:
+        at, total = _totals(rows, gradient, totals)
+        square, vector = taken(squares, at, squared), moved[:len(at)]
+        square += np.multiply(total, total, out=vector)
         squares[at] = square
         np.sqrt(square, out=square)
         square += 1e-6
         total *= step
         total /= square
-        vectors[at] -= total
+        vectors[at] = np.subtract(taken(vectors, at, moved), total, out=vector)
 
     for _ in range(passes):
         order = rng.permutation(len(word))
         for lo in range(0, len(order), BATCH):
             b = order[lo:lo + BATCH]
             other = np.concatenate([beside[b][:, None], np.searchsorted(chance, rng.random((len(b), negatives)))], axis=1)
-            v, u = own[word[b]], context[other]
+            place = np.repeat(np.arange(len(b)), negatives + 1)
+            v, u = taken(own, word[b], of_own), taken(context, other.ravel(), of_context).reshape(len(b), negatives + 1, width)
             goal = np.zeros(other.shape, np.float32)
             goal[:, 0] = 1.0
             error = (1.0 / (1.0 + np.exp(-np.clip(np.einsum("bd,bkd->bk", v, u), -30, 30))) - goal) * weight[b][:, None].astype(np.float32)
-            to_own = np.einsum("bk,bkd->bd", error, u).astype(np.float32, copy=False)
-            move(own, own_sq, word[b], lambda o, g=to_own: g[o])
-            move(context, context_sq, other.ravel(), lambda o, e=error.ravel(), g=v, k=other.shape[1]: e[o][:, None] * g[o // k])
+            to_own, each = np.einsum("bk,bkd->bd", error, u).astype(np.float32, copy=False), error.astype(np.float32, copy=False).reshape(-1, 1)
+
+            def to_context(o: np.ndarray, to: np.ndarray | None = None, v: np.ndarray = v, each: np.ndarray = each, place: np.ndarray = place) -> np.ndarray:
+                found = taken(v, place[o], to)
+                found *= each[o]
+                return found
+
+            move(own, own_sq, word[b], lambda o, to=None, g=to_own: taken(g, o, to))
+            move(context, context_sq, other.ravel(), to_context)
 
 
-def _directed(x: np.ndarray, y: np.ndarray, weight: np.ndarray, block: int, other: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, row beside, weight) of a block in order, from the unordered pairs of its shards."""
+def _directed(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], block: int, other: int) -> list[np.ndarray]:
+    """(row, row beside, weight) of a block in order, from the unordered pairs of its shards; ``pairs`` is emptied, so that they are held once."""
+    columns = [np.concatenate(c) for c in zip(*pairs, strict=True)]
+    pairs.clear()
     if block > other:
-        x, y = y, x
+        columns[:2] = columns[1::-1]
     elif block == other:
-        back = x != y
-        x, y, weight = np.concatenate([x, y[back]]), np.concatenate([y, x[back]]), np.concatenate([weight, weight[back]])
-    key = x.astype(np.int64)
-    key *= int(y.max()) + 1
-    key += y
-    order = np.argsort(key)  # so that the drawn order means the same pairs in every run
-    del key
-    return x[order], y[order], weight[order]
+        back = columns[0] != columns[1]
+        columns = [np.concatenate([c, columns[k][back]]) for c, k in zip(columns, (1, 0, 2), strict=True)]
+    key = columns[0].astype(np.int64)
+    key *= int(columns[1].max()) + 1
+    key += columns[1]
+    if (key[1:] < key[:-1]).any():
+        order = np.argsort(key)  # so that the drawn order means the same pairs in every run
+        del key
+        for k in range(3):
+            columns[k] = columns[k][order]
+    return columns
 
 
 def _train(size: int, window: int, negatives: int, step: float, passes: int, seed: tuple[int, ...], block: int, other: int, last: bool):
@@ -314,10 +333,7 @@ def _train(size: int, window: int, negatives: int, step: float, passes: int, see
                         matrix[at:at + n] = _unpacked(packed.as_buffer(), n * size, np.float32).reshape(n, size)
         for side in about.values():
             side.sort(key=lambda x: x[0])
-        joined = [np.concatenate(c) for c in zip(*pairs, strict=True)]
-        pairs.clear()
-        word, beside, weight = _directed(*joined, block, other)
-        del joined
+        word, beside, weight = _directed(pairs, block, other)
         (own, own_sq), (context, context_sq) = sides["own"], sides["context"]
         train_block(word, beside, weight, own, context, own_sq, context_sq, np.concatenate([c.to_numpy() for *_, c in about["context"]]), negatives, step, passes, np.random.default_rng([*seed, block]))
         for part in ("own",) if last else ("own", "context"):
