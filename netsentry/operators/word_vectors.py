@@ -169,9 +169,11 @@ def _block_pairs(window: int, longest: int):
                 keys.append((np.minimum(x, y) * len(known) + np.maximum(x, y)) * window + (d - 1))
             key = np.sort(np.concatenate(keys))
             del keys, sentence, there, code
+            if not len(key):
+                continue
             key, d = np.divmod(key, window)
             first = _firsts(key)
-            weight = np.add.reduceat(window - d, first) if len(first) else np.zeros(0, np.int64)
+            weight = np.add.reduceat(window - d, first)
             x, y = np.divmod(key[first], len(known))
             shard, row = known - 1 >> 32, known - 1 & 0xFFFFFFFF
             block = shard[x] << 32 | shard[y]

@@ -153,6 +153,11 @@ def test_stored_pairs_are_those_of_the_windows(spark, scratch):
     assert set(got) == {(r["word"], r["beside"]) for r in want} and all(abs(got[r["word"], r["beside"]] - r["weight"]) < 1e-9 for r in want)
 
 
+def test_a_corpus_without_pairs(spark):
+    vectors = word_vectors.fit_word_vectors(frame(spark, [["alone"]] * 5 + [["rare", "too"]]).repartition(2), size=8, shards=2).collect()
+    assert [r["word"] for r in vectors] == ["alone"] and len(vectors[0]["vector"]) == 8
+
+
 def test_totals_are_those_of_reduceat():
     r = np.random.default_rng(2)
     rows = np.concatenate([r.integers(0, 900, 1500), r.integers(0, 20, 300), np.full(40, 7)])
